@@ -23,17 +23,13 @@ def box_downsample(pixels: DataFrame, target_w: int | Column, target_h: int | Co
     kx = F.when(F.col("tw") <= F.col("width"), shrink_cell(F.col("x"), F.col("width"), F.col("tw")))
     ky = F.when(F.col("th") <= F.col("height"), shrink_cell(F.col("y"), F.col("height"), F.col("th")))
     alpha = F.col("a").cast("long")
-    sums = (
-        sized.groupBy(
-            "image_id", "width", "height", "tw", "th",
-            kx.otherwise(F.col("x")).alias("kx"),
-            ky.otherwise(F.col("y")).alias("ky"),
-        )
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(alpha).alias("sa"),
-            *[F.sum(F.col(c) * alpha).alias(f"s{c}") for c in "rgb"],
-        )
+    sums = sized.groupBy(
+        "image_id", kx.otherwise(F.col("x")).alias("kx"), ky.otherwise(F.col("y")).alias("ky")
+    ).agg(
+        *[F.max(c).alias(c) for c in ("width", "height", "tw", "th")],  # constant per image
+        F.count(F.lit(1)).alias("n"),
+        F.sum(alpha).alias("sa"),
+        *[F.sum(F.col(c) * alpha).alias(f"s{c}") for c in "rgb"],
     )
     x0, x1 = target_range(F.col("kx"), F.col("width"), F.col("tw"))
     y0, y1 = target_range(F.col("ky"), F.col("height"), F.col("th"))
