@@ -18,7 +18,10 @@ def alpha_bbox(pixels: DataFrame, threshold: int = OPAQUE) -> DataFrame:
     One row per image, combined map-side: a hot image costs one row per task.
     """
     content = F.col("a") >= threshold
-    return pixels.groupBy("image_id", "width", "height").agg(
+    # The null test is what a join on image_id would add; stated here, every use of the
+    # bounds has the same plan and Spark runs it once.
+    named = pixels.filter(F.col("image_id").isNotNull())
+    return named.groupBy("image_id", "width", "height").agg(
         F.min(F.when(content, F.col("x"))).alias("x0"),
         F.min(F.when(content, F.col("y"))).alias("y0"),
         (F.max(F.when(content, F.col("x"))) + 1).alias("x1"),

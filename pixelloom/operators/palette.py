@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.columns import channel, idiv, pack_rgba
+from pixelloom.functions.ranking import split_row_number
 from pixelloom.model import PIXEL
 from pixelloom.operators.channels import OPAQUE, hard_alpha
 from pixelloom.operators.resample import box_downsample, upscale
 
 MIN_COLORS, MAX_COLORS = 2, 256
 
+# Cells of a grid that one row may hold; larger grids take the general path.
+MAX_GRID_CELLS = 1 << 20
+
 # A colour occurs at most 2^39 times per image in the packed histogram.
 COUNT_BITS = 39
 
@@ -141,9 +145,17 @@ def pixelize(
     colors: int = 32,
     upscale_by: int = 1,
 ) -> DataFrame:
-    """Area-average onto a target_w x target_h grid, quantise, optionally upscale."""
+    """Area-average onto a target_w x target_h grid, quantise, optionally upscale.
+
+    A grid beyond ``MAX_GRID_CELLS`` goes through ``quantize`` instead of one
+    row per image; the result is the same.
+    """
     tw, th, k = max(1, int(target_w)), max(1, int(target_h)), max(1, int(upscale_by))
-    rows = quantized_grids(box_downsample(pixels, tw, th), colors).select(
+    small = box_downsample(pixels, tw, th)
+    if tw * th > MAX_GRID_CELLS:
+        out = quantize(small, colors)
+        return upscale(out, k).select(*PIXEL) if k > 1 else out
+    rows = quantized_grids(small, colors).select(
         "image_id", "width", "height", F.posexplode("px").alias("pos", "v")
     )
     out = rows.select(
@@ -167,12 +179,27 @@ def pixelize_meta(target_w: int, target_h: int, colors: int) -> dict[str, Column
 def palette(pixels: DataFrame) -> DataFrame:
     """The colours of each image with their counts, most frequent first.
 
-    Counting is combined map-side; what is ranked per image is the histogram,
-    bounded by the number of distinct colours.
+    Counting is combined map-side. The histogram of a hot image may still be
+    large, so its rank is taken section by section: a section (count, r and g) has
+    at most 65536 colours.
     """
-    counted = pixels.groupBy("image_id", "r", "g", "b", "a").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("image_id").orderBy(F.desc("n"), "r", "g", "b", "a")
-    return counted.withColumn("palette_ix", F.row_number().over(order) - 1)
+    counted = (
+        pixels.select("image_id", pack_rgba(*[F.col(c) for c in "rgba"]).alias("rgba"))
+        .groupBy("image_id", "rgba")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # Both sides of the ranking need exactly these columns, so Spark reuses the exchange.
+    section = F.shiftright("rgba", 16)
+    spread = counted.repartition("image_id", "n", section).withColumn("section", section)
+    ranked = split_row_number(
+        spread, "image_id", [F.desc("n"), "section"], ["rgba"], ["n", "section"], "palette_ix"
+    )
+    return ranked.select(
+        "image_id",
+        *[channel(F.col("rgba"), i).alias(c) for i, c in enumerate("rgba")],
+        "n",
+        "palette_ix",
+    )
 
 
 def color_counts(pixels: DataFrame) -> DataFrame:

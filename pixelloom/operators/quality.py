@@ -14,7 +14,8 @@ def check_images(pixels: DataFrame, images: DataFrame | None = None) -> DataFram
 
     Distinct positions are counted exactly with bitmaps: each 32k range of
     positions of an image is one 4 KB bitmap, or-ed map-side, instead of one
-    shuffled row per pixel. With ``images``, an image without pixels is listed.
+    shuffled row per pixel. With ``images``, an image without pixels is listed, and
+    pixels of an undeclared image are not ok.
     """
     placed = F.col("x").between(0, F.col("width") - 1) & F.col("y").between(0, F.col("height") - 1)
     good_values = F.lit(True)
@@ -52,10 +53,10 @@ def check_images(pixels: DataFrame, images: DataFrame | None = None) -> DataFram
         wanted = images.select(
             "image_id", (F.col("width").cast("long") * F.col("height")).alias("declared")
         )
-        facts = wanted.join(facts, "image_id", "left").withColumns(
+        facts = wanted.join(facts, "image_id", "full").withColumns(
             {
-                "expected": F.col("declared"),
-                "one_size": F.coalesce("one_size", F.lit(True)),
+                "expected": F.coalesce("declared", "expected"),
+                "one_size": F.coalesce("one_size", F.lit(True)) & F.col("declared").isNotNull(),
                 **{
                     c: F.coalesce(c, F.lit(0))
                     for c in ("pixels", "positions", "misplaced", "bad_values")

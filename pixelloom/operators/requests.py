@@ -19,7 +19,6 @@ FLOAT_TEXT = (
     r"([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)(e[+-]?[0-9]+(_[0-9]+)*)?"
     r"|inf|infinity|nan)\s*$"
 )
-PLACEHOLDER = r"^\$\{(.*)\}$"
 
 
 def parse_params(pairs: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
@@ -133,10 +132,17 @@ def typed_params(resolved: DataFrame, declared: DataFrame) -> DataFrame:
     return long.join(types, ["scope_id", "name"], "left")
 
 
+def _is_placeholder(value: Column) -> Column:
+    return F.startswith(value, F.lit("${")) & F.endswith(value, F.lit("}"))
+
+
+def _placeholder_name(value: Column) -> Column:
+    return F.substring(value, F.lit(3), F.length(value) - 3)
+
+
 def _fill(value: Column, kind: T.DataType, params: Column) -> Column:
     if isinstance(kind, T.StringType):
-        name = F.regexp_extract(value, PLACEHOLDER, 1)
-        return F.when(value.rlike(PLACEHOLDER), params[name]).otherwise(value)
+        return F.when(_is_placeholder(value), params[_placeholder_name(value)]).otherwise(value)
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda one: _fill(one, kind.elementType, params))
     if isinstance(kind, T.MapType):
@@ -174,8 +180,7 @@ def fill_templates(rows: DataFrame, column: str, params: str = "params") -> tupl
     kind = rows.schema[column].dataType
     given = F.coalesce(F.col(params), F.create_map().cast("map<string,string>"))
     wanted = F.transform(
-        F.filter(_strings(F.col(column), kind), lambda s: s.rlike(PLACEHOLDER)),
-        lambda s: F.regexp_extract(s, PLACEHOLDER, 1),
+        F.filter(_strings(F.col(column), kind), _is_placeholder), _placeholder_name
     )
     undefined = F.array_sort(F.array_distinct(F.array_except(wanted, F.map_keys(given))))
     judged = rows.withColumn("undefined", undefined)

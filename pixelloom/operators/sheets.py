@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.columns import idiv
+from pixelloom.functions.ranking import split_row_number
 
 # Frames of one sequence ranked in one task; a longer sequence is split into ranges.
 RANGE_ROWS = 100_000
@@ -50,8 +51,7 @@ def rank_frames(frames: DataFrame, order_column: str = "frame_no", range_rows: i
 
     A window over the whole sequence would sort a hot one in one task. Each
     sequence is cut into equal ranges of the order column, as many as its length
-    asks for (one for an ordinary sequence); frames are numbered within a range,
-    and the counts of the ranges before it are added.
+    asks for (one for an ordinary sequence), and numbered range by range.
     """
     order = F.col(order_column).cast("long")
     extent = frames.groupBy("seq_id").agg(
@@ -63,28 +63,9 @@ def rank_frames(frames: DataFrame, order_column: str = "frame_no", range_rows: i
     ranged = frames.join(extent.select("seq_id", "lo", step.alias("step")), "seq_id").withColumn(
         "range_no", idiv(order - F.col("lo"), F.col("step"))
     )
-    before = (
-        ranged.groupBy("seq_id", "range_no")
-        .agg(F.count(F.lit(1)).alias("in_range"))
-        .withColumn(
-            "before",
-            F.coalesce(
-                F.sum("in_range").over(
-                    Window.partitionBy("seq_id").orderBy("range_no")
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .select("seq_id", "range_no", "before")
-    )
-    within = Window.partitionBy("seq_id", "range_no").orderBy(order, "image_id")
-    return (
-        ranged.withColumn("rank", F.row_number().over(within) - 1)
-        .join(before, ["seq_id", "range_no"])
-        .withColumn("pos", F.col("before") + F.col("rank"))
-        .drop("lo", "step", "range_no", "rank", "before")
-    )
+    return split_row_number(
+        ranged, "seq_id", ["range_no"], [order, "image_id"], ["range_no"], "pos"
+    ).drop("lo", "step", "range_no")
 
 
 def pack_sheet(

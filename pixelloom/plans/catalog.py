@@ -352,7 +352,8 @@ def quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def image_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return palette.palette(palette.pixelize(inputs.glyphs(spark, sf_dir), 8, 6, 6))
+    ranked = palette.palette(palette.pixelize(inputs.glyphs(spark, sf_dir), 8, 6, 6))
+    return ranked.withColumn("palette_ix", F.col("palette_ix").cast("int"))
 
 
 @query

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.functions.columns import cells, idiv, pack_rgba
+from pixelloom.functions.columns import cells, channel, idiv, pack_rgba
 from pixelloom.model import STORABLE_KINDS
 
 # Pixels per stored band: bounds a row of the store for an image of any size.
@@ -55,15 +55,16 @@ def from_bands(bands: DataFrame) -> DataFrame:
     rows = F.greatest(F.lit(1), idiv(F.lit(BAND_PIXELS), F.col("width"))).cast("int")
     count = idiv(F.length("data"), 4).cast("int")
 
-    def sample(index: int) -> Column:
-        one = F.substring(F.col("data"), F.col("i") * 4 + index + 1, F.lit(1))
-        return F.conv(F.hex(one), 16, 10).cast("int")
-
-    return bands.withColumn("i", F.explode(cells(count))).select(
-        "image_id", "width", "height",
-        (F.col("i") % F.col("width")).alias("x"),
-        (F.col("band") * rows + idiv(F.col("i"), F.col("width"))).cast("int").alias("y"),
-        *[sample(i).alias(c) for i, c in enumerate("rgba")],
+    color = F.conv(F.hex(F.substring(F.col("data"), F.col("i") * 4 + 1, F.lit(4))), 16, 10)
+    return (
+        bands.withColumn("i", F.explode(cells(count)))
+        .withColumn("v", color.cast("long"))
+        .select(
+            "image_id", "width", "height",
+            (F.col("i") % F.col("width")).alias("x"),
+            (F.col("band") * rows + idiv(F.col("i"), F.col("width"))).cast("int").alias("y"),
+            *[channel(F.col("v"), i).alias(c) for i, c in enumerate("rgba")],
+        )
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.columns import cells
@@ -28,16 +28,19 @@ def _rows_of(blobs: DataFrame) -> DataFrame:
             F.col("width") * F.col("channels"),
         ),
     )
-    at = F.col("x") * F.col("channels")
+    # The samples of a pixel as one number, first sample in the highest byte.
+    samples = F.substring(F.col("line"), F.col("x") * F.col("channels") + 1, F.col("channels"))
+    value = F.conv(F.hex(samples), 16, 10).cast("long")
 
-    def sample(index: int):
-        one = F.substring(F.col("line"), at + index + 1, F.lit(1))
-        return F.conv(F.hex(one), 16, 10).cast("int")
+    def sample(index: int) -> Column:
+        shift = 8 * (F.col("channels") - 1 - index)
+        return F.call_function("shiftright", F.col("v"), shift).bitwiseAND(F.lit(255)).cast("int")
 
     gray = F.col("channels") == 1
     return (
         lines.drop("data")
         .withColumn("x", F.explode(cells(F.col("width"))))
+        .withColumn("v", value)
         .select(
             "image_id", "width", "height", "x", "y",
             F.when(gray, sample(0)).otherwise(sample(2)).alias("r"),
