@@ -188,8 +188,9 @@ def palette(pixels: DataFrame) -> DataFrame:
         .groupBy("image_id", "rgba")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # Both sides of the ranking need exactly these columns, so Spark reuses the exchange.
-    section = F.shiftright("rgba", 16)
+    # Both sides of the ranking need exactly these columns and no side gets a filter of
+    # its own (the section is never null), so Spark reuses the exchange.
+    section = F.coalesce(F.shiftright("rgba", 16), F.lit(0))
     spread = counted.repartition("image_id", "n", section).withColumn("section", section)
     ranked = split_row_number(
         spread, "image_id", [F.desc("n"), "section"], ["rgba"], ["n", "section"], "palette_ix"

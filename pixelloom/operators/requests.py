@@ -20,6 +20,9 @@ FLOAT_TEXT = (
     r"|inf|infinity|nan)\s*$"
 )
 
+# Configuration entries that act as parameters.
+CONFIG_PARAMS = {"canvas.width": "width", "canvas.height": "height", "normal.enabled": "normal"}
+
 
 def parse_params(pairs: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """``name=value`` texts to name, type (bool, int, float, string) and value.
@@ -82,6 +85,11 @@ def route(requests: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]
     return routed, rejected
 
 
+def config_params(config: Mapping[str, str | None]) -> dict[str, str | None]:
+    """The parameters that a workspace configuration sets, by parameter name."""
+    return {CONFIG_PARAMS[name]: value for name, value in config.items() if name in CONFIG_PARAMS}
+
+
 def resolve_params(
     requests: DataFrame, declared: DataFrame, config: Mapping[str, str | None]
 ) -> DataFrame:

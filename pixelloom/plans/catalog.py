@@ -30,7 +30,7 @@ from pixelloom.operators import (
     sheets,
 )
 from pixelloom.plans import inputs, sprites
-from pixelloom.session import checkpoint_dir
+from pixelloom.session import blowup_partitions, checkpoint_dir
 from pixelloom.sources import artifacts, images
 from pixelloom.sources.adapters import GlyphModel
 from pixelloom.sources.generate import prompt_images
@@ -156,7 +156,25 @@ def stored_artifact_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stored_artifact_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = spark.read.parquet(f"{_stored(spark, sf_dir)}/entries")
-    return entries.select("image_id", "kind", F.col("meta")["prompt"].alias("prompt"))
+    return entries.select(
+        F.col("id").alias("image_id"), "kind", F.col("meta")["prompt"].alias("prompt")
+    )
+
+
+@query
+def stored_layer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, folder = _stored(spark, sf_dir), workplace(spark, "png")
+    artifacts.export_png(spark, store, folder)
+    # Stored manifest entries, and whether each of their files exists.
+    entries = spark.read.parquet(f"{store}/entries")
+    recorded = entries.select(
+        F.lit("run").alias("run_id"), F.array(F.struct("id", "kind", "diffuse", "normal", "image")).alias("artifacts")
+    )
+    gone = artifacts.missing_artifacts(recorded, artifacts.stored_files(spark, folder))
+    files = artifacts.stored_files(spark, folder)
+    return files.select("file_id", F.lit(False).alias("missing")).unionByName(
+        gone.select("file_id", F.lit(True).alias("missing"))
+    )
 
 
 @query
@@ -513,7 +531,9 @@ def _layered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query
 def layered_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, declared = _layered(spark, sf_dir)
-    config = {"width": "64", "height": "80", "normal": "true"}
+    config = requests.config_params(
+        {"canvas.width": "64", "canvas.height": "80", "normal.enabled": "true", "pivot": "bottom_center"}
+    )
     resolved = requests.resolve_params(asked, declared, config)
     return requests.typed_params(resolved, declared).select("request_id", "name", "type", "value")
 
@@ -793,6 +813,17 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def sql_glyph_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extension.register_sql_functions(spark)
+    asked = inputs.part_prompts(spark, sf_dir).repartition(blowup_partitions(spark), "image_id")
+    return spark.sql(
+        "SELECT image_id, p.* FROM (SELECT image_id, glyph_pixel(prompt_color(prompt, seed), 7, 9, x, y) AS p "
+        "FROM {asked} LATERAL VIEW explode(sequence(0, 8)) AS y LATERAL VIEW explode(sequence(0, 6)) AS x)",
+        asked=asked,
+    )
+
+
 def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = inputs.part_prompts(spark, sf_dir).select(
         F.col("image_id").alias("request_id"),

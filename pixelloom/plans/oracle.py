@@ -398,6 +398,12 @@ def build() -> dict[str, str]:
     out["stored_artifact_entries"] = (
         f"SELECT image_id, {kind6} AS kind, prompt FROM ({PARTS}) WHERE seed % 6 < 4"
     )
+    out["stored_layer_files"] = (
+        f"WITH k AS (SELECT image_id, {kind6} AS kind FROM ({PARTS})) "
+        "SELECT image_id || '-image' AS file_id, false AS missing FROM k WHERE kind IN ('image', 'normal_map') UNION ALL "
+        "SELECT image_id || '-diffuse', false FROM k WHERE kind IN ('sprite_pair', 'sprite_sheet') UNION ALL "
+        "SELECT image_id || '-normal', false FROM k WHERE kind IN ('sprite_pair', 'sprite_sheet')"
+    )
     out["unstorable_artifacts"] = (
         "SELECT kind, 'ValueError: cannot persist artifact kind ' || kind AS reason, count(*) AS n FROM ("
         "SELECT CASE WHEN l_returnflag = 'N' THEN 'image_batch' WHEN l_linestatus = 'O' THEN 'frame_seq' ELSE 'image' END AS kind "
@@ -732,6 +738,7 @@ def build() -> dict[str, str]:
         "SELECT image_id, x, y, (299*r + 587*g + 114*b) / 255000.0::DOUBLE AS luma, "
         "CASE WHEN a >= 128 THEN 255 ELSE 0 END AS alpha, substr(sha256(image_id || ':' || x), 1, 6) AS color FROM glyph",
     )
+    final("sql_glyph_function", lambda s: part_glyphs(s, 7, 9), "SELECT image_id, x, y, r, g, b, a FROM glyph")
     rows("model_outputs", lambda s: glyphs(s, "made", f"{PARTS} WHERE p_size <= 45", 8, 6))
     out["model_errors"] = (
         "SELECT CAST(p_partkey AS VARCHAR) AS request_id, 'text2vid' AS op, "

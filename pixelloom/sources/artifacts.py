@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.columns import cells, channel, idiv, pack_rgba
 from pixelloom.model import STORABLE_KINDS
+from pixelloom.session import blowup_partitions
+
+# Kinds with a diffuse and perhaps a normal file.
+COMPOSED = ("sprite_pair", "sprite_sheet")
 
 # Pixels per stored band: bounds a row of the store for an image of any size.
 BAND_PIXELS = 1 << 16
@@ -23,9 +27,11 @@ def split_storable(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return artifacts.filter(known), rejected
 
 
-def to_bands(pixels: DataFrame) -> DataFrame:
+def to_bands(pixels: DataFrame, *labels: str) -> DataFrame:
     """Pixel rows to bands of whole scanlines: (image_id, width, height, band, data as R,G,B,A).
 
+    ``labels`` are further columns that tell apart pictures of one image.
+
     A band has at most ``BAND_PIXELS`` pixels (one scanline, if that is longer),
     so no image becomes one group. One packed long per pixel is collected
     map-side.
@@ -35,16 +41,16 @@ def to_bands(pixels: DataFrame) -> DataFrame:
     color = pack_rgba(F.col("r"), F.col("g"), F.col("b"), F.col("a"))
     first = idiv(F.col("y"), rows) * rows * F.col("width")
     cut = pixels.select(
-        "image_id", "width", "height",
+        "image_id", "width", "height", *labels,
         idiv(F.col("y"), rows).cast("int").alias("band"),
         F.shiftleft(position - first, 32).bitwiseOR(color).alias("pixel"),
     )
     eight = lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
     return (
-        cut.groupBy("image_id", "width", "height", "band")
+        cut.groupBy("image_id", "width", "height", *labels, "band")
         .agg(F.collect_list("pixel").alias("px"))
         .select(
-            "image_id", "width", "height", "band",
+            "image_id", "width", "height", *labels, "band",
             F.unhex(F.array_join(F.transform(F.sort_array("px"), eight), "")).alias("data"),
         )
     )
@@ -68,12 +74,64 @@ def from_bands(bands: DataFrame) -> DataFrame:
     )
 
 
-def normals_as_pixels(pixels: DataFrame) -> DataFrame:
-    """Normal maps gain alpha 255 when they are stored."""
-    return pixels.select(
-        "image_id", "width", "height", "x", "y",
-        F.col("nr").alias("r"), F.col("ng").alias("g"), F.col("nb").alias("b"),
-        F.lit(255).alias("a"),
+def artifact_entries(artifacts: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Manifest entries: the file id of every layer, sheet geometry and meta.
+
+    Pairs and sheets have a diffuse file and, if their pixels carry normals, a
+    normal file; images and normal maps have one file. A file id is the image id
+    and the layer.
+    """
+    with_normal = F.lit(False)
+    rows = artifacts
+    if "nr" in pixels.columns:
+        shaded = (
+            pixels.filter((F.col("x") == 0) & (F.col("y") == 0) & F.col("nr").isNotNull())
+            .select("image_id", F.lit(True).alias("with_normal"))
+        )
+        rows = artifacts.join(shaded, "image_id", "left")
+        with_normal = F.coalesce("with_normal", F.lit(False))
+    composed = F.col("kind").isin(*COMPOSED)
+    file_id = lambda layer: F.concat(F.col("image_id"), F.lit(f"-{layer}"))
+    extra = [c for c in ("frames", "frame_w", "frame_h") if c in artifacts.columns]
+    return rows.select(
+        F.col("image_id").alias("id"),
+        "kind",
+        F.when(composed, file_id("diffuse")).alias("diffuse"),
+        F.when(composed & with_normal, file_id("normal")).alias("normal"),
+        F.when(~composed, file_id("image")).alias("image"),
+        *extra,
+        "meta",
+    )
+
+
+def artifact_layers(artifacts: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Pixels of every file to store, with ``kind`` and ``layer`` per row.
+
+    Diffuse and normal of a pixel come out of one pass over the pixels; normal
+    maps gain alpha 255.
+    """
+    composed = F.col("kind").isin(*COMPOSED)
+    color = F.struct(
+        F.when(composed, "diffuse").otherwise("image").alias("layer"), "r", "g", "b", "a"
+    )
+    layers = F.array(F.when(F.col("kind") != "normal_map", color))
+    if "nr" in pixels.columns:
+        normal = F.struct(
+            F.when(composed, "normal").otherwise("image").alias("layer"),
+            F.col("nr").alias("r"),
+            F.col("ng").alias("g"),
+            F.col("nb").alias("b"),
+            F.lit(255).alias("a"),
+        )
+        stored = F.col("nr").isNotNull() & F.col("kind").isin(*COMPOSED, "normal_map")
+        layers = F.array(F.when(F.col("kind") != "normal_map", color), F.when(stored, normal))
+    return (
+        pixels.join(artifacts.select("image_id", "kind"), "image_id")
+        .select(
+            "image_id", "width", "height", "x", "y", "kind",
+            F.explode(F.array_compact(layers)).alias("one"),
+        )
+        .select("image_id", "width", "height", "x", "y", "kind", "one.*")
     )
 
 
@@ -84,50 +142,38 @@ def write_artifacts(
 
     ``artifacts``: image_id, kind, meta and, for sheets, frames, frame_w,
     frame_h. ``pixels``: pixel rows, with nr, ng, nb where an artifact has a
-    normal. Entries (with their meta) go to ``entries``, pixel bands to
-    ``bands``, both partitioned by kind; the layer tells diffuse, normal and
-    plain image apart.
+    normal. Entries (file ids, geometry, meta) go to ``entries`` and pixel bands
+    to ``bands``, both partitioned by kind.
     """
     storable, rejected = split_storable(artifacts)
-    storable.write.mode(mode).partitionBy("kind").parquet(f"{path}/entries")
-    kinds = storable.select("image_id", "kind")
-    owned = pixels.join(kinds, "image_id")
-    plain = ["image_id", "width", "height", "x", "y", "r", "g", "b", "a"]
-
-    def store(rows: DataFrame, layer: Column) -> None:
-        # The band rows know only their image; kind and layer join back after packing.
-        layers = kinds.withColumn("layer", layer)
-        to_bands(rows).join(layers, "image_id").write.mode("append").partitionBy("kind").parquet(
-            f"{path}/bands"
-        )
-
-    if mode == "overwrite":
-        empty = to_bands(owned.select(*plain).limit(0)).withColumns(
-            {"layer": F.lit(""), "kind": F.lit("")}
-        )
-        empty.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/bands")
-    composed = F.col("kind").isin("sprite_pair", "sprite_sheet")
-    colors = owned.filter(F.col("kind") != "normal_map") if "nr" in pixels.columns else owned
-    store(colors.select(*plain), F.when(composed, "diffuse").otherwise("image"))
-    if "nr" in pixels.columns:
-        normals = owned.filter(F.col("nr").isNotNull() & (composed | (F.col("kind") == "normal_map")))
-        store(normals_as_pixels(normals), F.when(composed, "normal").otherwise("image"))
+    entries = artifact_entries(storable, pixels)
+    entries.write.mode(mode).partitionBy("kind").parquet(f"{path}/entries")
+    bands = to_bands(artifact_layers(storable, pixels), "kind", "layer")
+    bands.write.mode(mode).partitionBy("kind").parquet(f"{path}/bands")
     return rejected
 
 
 def write_png(pixels: DataFrame, path: str, partitions: int | None = None) -> None:
-    """One ``<image_id>.png`` per image under ``path``, a folder all executors see.
+    """One ``<image_id>.png`` per image under ``path``, a folder all executors see."""
+    _write_bands(to_bands(pixels), path, partitions)
+
+
+def export_png(spark: SparkSession, store: str, path: str, partitions: int | None = None) -> None:
+    """A PNG file per stored layer, named by its file id."""
+    bands = spark.read.parquet(f"{store}/bands")
+    named = bands.withColumn("image_id", F.concat_ws("-", "image_id", "layer"))
+    _write_bands(named.select("image_id", "width", "height", "band", "data"), path, partitions)
+
+
+def _write_bands(bands: DataFrame, path: str, partitions: int | None) -> None:
+    """Write bands as PNG files.
 
     Images are spread by id and arrive as sorted bands; a task compresses one
     band at a time, so memory is bounded by a band, not by the image. A file is
     written under a temporary name and then moved, which makes a retried task
     harmless.
     """
-    bands = to_bands(pixels)
-    n = partitions or max(
-        int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-        bands.sparkSession.sparkContext.defaultParallelism,
-    )
+    n = partitions or blowup_partitions(bands.sparkSession)
     ordered = bands.repartition(n, "image_id").sortWithinPartitions("image_id", "band")
 
     def write(rows: Iterator) -> None:

@@ -103,13 +103,20 @@ def test_artifact_store_layers_and_rejects(spark, images, tmp_path):
     path = str(tmp_path / "store")
     rejected = artifacts.write_artifacts(kinds, shaded, path, mode="overwrite")
     assert [r.reason for r in rejected.collect()] == ["ValueError: cannot persist artifact kind mask"]
-    entries = {r.image_id: r for r in spark.read.parquet(f"{path}/entries").collect()}
+    entries = {r.id: r for r in spark.read.parquet(f"{path}/entries").collect()}
+    assert entries["p"].normal == "p-normal" and entries["p"].image is None
+    assert entries["i"].image == "i-image" and entries["i"].normal is None
     assert entries["p"].meta == {"pivot": "[1, 2]"} and entries["s"].frame_w == 3
     bands = spark.read.parquet(f"{path}/bands")
     layers = {(r.image_id, r.layer) for r in bands.select("image_id", "layer").collect()}
     assert layers == {("p", "diffuse"), ("p", "normal"), ("s", "diffuse"), ("s", "normal"), ("i", "image"), ("n", "image")}
     alpha = artifacts.from_bands(bands.filter("layer = 'normal' OR image_id = 'n'")).select("a").distinct().collect()
     assert [r.a for r in alpha] == [255]
+    artifacts.export_png(spark, path, str(tmp_path / "files"))
+    pixels, _ = image_source.read_images(spark, str(tmp_path / "files"))
+    out = images.arrays(pixels)
+    assert set(out) == {"p-diffuse", "p-normal", "s-diffuse", "s-normal", "i-image", "n-image"}
+    assert (out["p-diffuse"] == disc(8, 8)).all() and out["p-normal"][0, 0].tolist() == [128, 128, 255, 255]
 
 
 def test_manifest_append_results_and_missing_files(spark, images, tmp_path):
