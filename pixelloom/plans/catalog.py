@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -30,7 +31,7 @@ from pixelloom.operators import (
     sheets,
 )
 from pixelloom.plans import inputs, sprites
-from pixelloom.session import blowup_partitions, checkpoint_dir
+from pixelloom.session import blowup_partitions, checkpoint_dir, ship_package
 from pixelloom.sources import artifacts, images
 from pixelloom.sources.adapters import GlyphModel
 from pixelloom.sources.generate import prompt_images
@@ -42,8 +43,15 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Register under the name of the function; the workers get the package first."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def workplace(spark: SparkSession, name: str) -> str:
