@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.columns import idiv
+from pixelloom.functions.columns import cells, channel, idiv, pack_rgba
 from pixelloom.functions.ranking import split_row_number
+from pixelloom.model import NORMAL
 
 # Frames of one sequence ranked in one task; a longer sequence is split into ranges.
 RANGE_ROWS = 100_000
 
+# Pixels per strip of an image that is joined to its frames.
+STRIP_PIXELS = 4096
+
 
 def check_frames(frames: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split sequences into equal-size ones and rejects with a reason.
@@ -20,6 +24,13 @@ def check_frames(frames: DataFrame, images: DataFrame) -> tuple[DataFrame, DataF
     a frame names an unknown image, or two frames differ in size. Aggregates
     only, so a hot sequence is combined map-side.
     """
+    judged = _judge(frames, images, [])
+    good = judged.filter(F.col("reason").isNull()).select("seq_id", "frames", "frame_w", "frame_h")
+    return good, judged.filter(F.col("reason").isNotNull()).select("seq_id", "frames", "reason")
+
+
+def _judge(frames: DataFrame, images: DataFrame, further: list[Column]) -> DataFrame:
+    """One row per sequence: frame count and size, ``reason`` of a reject, further aggregates."""
     sized = frames.join(
         images.select("image_id", F.col("width").alias("fw"), F.col("height").alias("fh")),
         "image_id",
@@ -32,6 +43,7 @@ def check_frames(frames: DataFrame, images: DataFrame) -> tuple[DataFrame, DataF
         F.max("fw").alias("max_w"),
         F.min("fh").alias("frame_h"),
         F.max("fh").alias("max_h"),
+        *further,
     )
     reason = (
         F.when(F.col("frames") == 0, "ValueError: empty frame sequence")
@@ -41,12 +53,29 @@ def check_frames(frames: DataFrame, images: DataFrame) -> tuple[DataFrame, DataF
             "ValueError: frames differ in size",
         )
     )
-    judged = facts.withColumn("reason", reason)
-    good = judged.filter(F.col("reason").isNull()).select("seq_id", "frames", "frame_w", "frame_h")
-    return good, judged.filter(F.col("reason").isNotNull()).select("seq_id", "frames", "reason")
+    return facts.withColumn("reason", reason)
+
+
+def _extent(order: Column) -> list[Column]:
+    """Aggregates that ``_number_frames`` needs per sequence."""
+    return [F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")]
+
+
+def _number_frames(frames: DataFrame, extents: DataFrame, order: Column, range_rows: int) -> DataFrame:
+    """Column ``pos`` for the frames of the sequences in ``extents``, whose columns are kept."""
+    ranges = F.ceil(F.col("n") / F.lit(float(range_rows)))
+    step = F.ceil((F.col("hi") - F.col("lo") + 1) / ranges).cast("long")
+    ranged = frames.join(extents.withColumn("step", step).drop("n", "hi"), "seq_id").withColumn(
+        "range_no", idiv(order - F.col("lo"), F.col("step"))
+    )
+    return split_row_number(
+        ranged, "seq_id", ["range_no"], [order, "image_id"], ["range_no"], "pos"
+    ).drop("lo", "step", "range_no")
 
 
-def rank_frames(frames: DataFrame, order_column: str = "frame_no", range_rows: int = RANGE_ROWS) -> DataFrame:
+def rank_frames(
+    frames: DataFrame, order_column: str = "frame_no", range_rows: int = RANGE_ROWS
+) -> DataFrame:
     """0-based position ``pos`` of each frame in its sequence, for sequences of any length.
 
     A window over the whole sequence would sort a hot one in one task. Each
@@ -54,18 +83,39 @@ def rank_frames(frames: DataFrame, order_column: str = "frame_no", range_rows: i
     asks for (one for an ordinary sequence), and numbered range by range.
     """
     order = F.col(order_column).cast("long")
-    extent = frames.groupBy("seq_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")
+    extents = frames.groupBy("seq_id").agg(*_extent(order))
+    return _number_frames(frames, extents, order, range_rows)
+
+
+def _strips(pixels: DataFrame) -> DataFrame:
+    """Pixels as strips of whole scanlines: at most ``STRIP_PIXELS`` per row, in pixel order.
+
+    ``px`` holds the colours and, if there are normals, ``nx`` the normals, one
+    long per pixel. A join then moves strips instead of pixel rows.
+    """
+    rows = F.greatest(F.lit(1), idiv(F.lit(STRIP_PIXELS), F.col("width"))).cast("int")
+    first = idiv(F.col("y"), rows) * rows
+    position = F.shiftleft((F.col("y") - first) * F.col("width") + F.col("x"), 32)
+    lists = {"px": pack_rgba(*[F.col(c) for c in "rgba"])}
+    if "nr" in pixels.columns:
+        lists["nx"] = pack_rgba(*[F.col(c) for c in NORMAL], F.lit(0))
+    packed = (
+        pixels.select(
+            "image_id", "width", "height",
+            first.cast("int").alias("top"),
+            *[position.bitwiseOR(v).alias(name) for name, v in lists.items()],
+        )
+        .groupBy("image_id", "width", "height", "top")
+        .agg(*[F.collect_list(name).alias(name) for name in lists])
     )
-    step = F.ceil(
-        (F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / F.lit(float(range_rows)))
-    ).cast("long")
-    ranged = frames.join(extent.select("seq_id", "lo", step.alias("step")), "seq_id").withColumn(
-        "range_no", idiv(order - F.col("lo"), F.col("step"))
+    dense = F.size("px") == F.least(rows, F.col("height") - F.col("top")) * F.col("width")
+    checked = F.when(dense, F.sort_array("px")).otherwise(
+        F.raise_error(F.concat(F.lit("image is not dense: "), F.col("image_id")))
+    )
+    ordered = {"px": checked} | {n: F.sort_array(n) for n in lists if n != "px"}
+    return packed.select(
+        "image_id", "width", "height", "top", *[v.alias(n) for n, v in ordered.items()]
     )
-    return split_row_number(
-        ranged, "seq_id", ["range_no"], [order, "image_id"], ["range_no"], "pos"
-    ).drop("lo", "step", "range_no")
 
 
 def pack_sheet(
@@ -74,28 +124,42 @@ def pack_sheet(
     """Lay the frames of each sequence side by side, in order.
 
     Returns sheets (sheet_id, frames, frame_w, frame_h, width, height), the
-    sheet pixels, and the rejected sequences. Any further pixel columns, such as
-    normals, travel along.
+    sheet pixels, and the rejected sequences. Normals (nr, ng, nb) travel along.
+    Frames meet their images as strips of packed pixels, which are exploded
+    after the join, so an image that many frames use is not shuffled per pixel.
     """
     sizes = pixels.filter((F.col("x") == 0) & (F.col("y") == 0)).select("image_id", "width", "height")
-    good, rejected = check_frames(frames, sizes)
+    order = F.col(order_column).cast("long")
+    judged = _judge(frames, sizes, _extent(order))
+    good = judged.filter(F.col("reason").isNull())
+    rejected = judged.filter(F.col("reason").isNotNull()).select("seq_id", "frames", "reason")
     sheets = good.select(
         F.col("seq_id").alias("sheet_id"),
         "frames", "frame_w", "frame_h",
         (F.col("frames") * F.col("frame_w")).alias("width"),
         F.col("frame_h").alias("height"),
     )
-    ranked = rank_frames(frames.select("seq_id", "image_id", order_column), order_column).join(
-        good.select("seq_id", "frames"), "seq_id"
+    # One pass over the frames judges the sequences and measures them for the ranking.
+    ranked = _number_frames(
+        frames.select("seq_id", "image_id", order_column),
+        good.select("seq_id", "frames", "n", "lo", "hi"),
+        order,
+        RANGE_ROWS,
+    )
+    placed = ranked.join(_strips(pixels), "image_id").withColumn(
+        "i", F.explode(cells(F.size("px")))
     )
-    extra = [c for c in pixels.columns if c not in ("image_id", "width", "height", "x", "y")]
-    strip = ranked.join(pixels, "image_id").select(
+    normals = []
+    if "nr" in pixels.columns:
+        normals = [channel(F.get("nx", F.col("i")), i).alias(c) for i, c in enumerate(NORMAL)]
+    strip = placed.select(
         F.col("seq_id").alias("image_id"),
         (F.col("frames") * F.col("width")).alias("width"),
         "height",
-        (F.col("pos") * F.col("width") + F.col("x")).alias("x"),
-        "y",
-        *extra,
+        (F.col("pos") * F.col("width") + F.col("i") % F.col("width")).alias("x"),
+        (F.col("top") + idiv(F.col("i"), F.col("width"))).cast("int").alias("y"),
+        *[channel(F.get("px", F.col("i")), i).alias(c) for i, c in enumerate("rgba")],
+        *normals,
     )
     return sheets, strip, rejected
 
