@@ -24,7 +24,7 @@ from pixelloom.llm.common import mixed, pieces
 from pixelloom.llm.words import span_hashes
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
-MEMORY = 100_000  # merged pre-tokens that a task keeps for its next pieces
+MEMORY = 500_000  # merged pre-tokens that a worker keeps (about 80 MB)
 
 # The white space of the pattern, and the endings of its contractions.
 WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -165,34 +165,41 @@ def pretokens(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(starts, at)
 
 
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Join the neighbours of lowest rank, leftmost first, until none has a rank."""
+def merge(word: bytes, ranks: dict[bytes, int], first: list[int]) -> list[int]:
+    """Join the neighbours of lowest rank, leftmost first, until none has a rank.
+
+    first holds the rank of every two bytes (256 a + b), or -1.
+    """
     n = len(word)
+    bits = n.bit_length()
+    low = (1 << bits) - 1
     end = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    pair = [ranks.get(word[i : i + 2], -1) for i in range(n - 1)]
+    pair = [first[a << 8 | b] for a, b in zip(word, word[1:])]
     pair.append(-1)
-    heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
+    heap = [r << bits | i for i, r in enumerate(pair) if r >= 0]
     heapify(heap)
+    rank = ranks.get
     while heap:
-        r, i = divmod(heappop(heap), n)
-        if pair[i] != r:
+        top = heappop(heap)
+        i = top & low
+        if pair[i] != top >> bits:
             continue
         j = end[i]
         e = end[i] = end[j]
         pair[j] = -1
         if e < n:
             before[e] = i
-            r = pair[i] = ranks.get(word[i : end[e]], -1)
+            r = pair[i] = rank(word[i : end[e]], -1)
             if r >= 0:
-                heappush(heap, r * n + i)
+                heappush(heap, r << bits | i)
         else:
             pair[i] = -1
         p = before[i]
         if p >= 0:
-            r = pair[p] = ranks.get(word[p:e], -1)
+            r = pair[p] = rank(word[p:e], -1)
             if r >= 0:
-                heappush(heap, r * n + p)
+                heappush(heap, r << bits | p)
     out, i = [], 0
     while i < n:
         out.append(ranks[word[i : end[i]]])
@@ -200,12 +207,23 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+_merged: dict[int, dict[bytes, bytes]] = {}
+
+
 class Encoder:
+    """Merged pre-tokens stay in the worker process for its next tasks, MEMORY of them at most."""
+
     def __init__(self, vocabulary: Vocabulary):
         self.entries = vocabulary.entries
         self.table = vocabulary.table
         self.ranks = {e: i for i, e in enumerate(vocabulary.entries)}
-        self.known: dict[bytes, list[int]] = {}
+        self.first = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        self.single = [np.int32(i).tobytes() for i in range(len(self.entries))]
+        own = hash(tuple(vocabulary.entries))
+        if own not in _merged:
+            _merged.clear()
+            _merged[own] = {}
+        self.known = _merged[own]
 
     def encode(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the bounds of each text's ids (n + 1)."""
@@ -218,22 +236,23 @@ class Encoder:
         example[number[::-1]] = np.arange(len(number))[::-1]
         found = self.table.find(different.view(np.uint64))
         raw = buf.tobytes()
-        lists: list[list[int]] = []
+        lists: list[bytes] = []
+        known, entries, single = self.known, self.entries, self.single
         for a, b, entry in zip(starts[example].tolist(), ends[example].tolist(), found.tolist()):
             word = raw[a:b]
-            if entry >= 0 and self.entries[entry] == word:
-                lists.append([entry])
+            if entry >= 0 and entries[entry] == word:
+                lists.append(single[entry])
                 continue
-            ids = self.known.get(word)
+            ids = known.get(word)
             if ids is None:
-                ids = merge(word, self.ranks)
-                if len(word) <= 64:
-                    if len(self.known) >= MEMORY:
-                        self.known.clear()
-                    self.known[word] = ids
+                ids = np.array(merge(word, self.ranks, self.first), np.int32).tobytes()
+                if b - a <= 64:
+                    if len(known) >= MEMORY:
+                        known.clear()
+                    known[word] = ids
             lists.append(ids)
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), np.int32)
         taken = ranges(np.cumsum(size) - size, size, number)
         bounds = np.concatenate([[0], np.cumsum(size[number])])[first]
         return flat[taken], bounds
