@@ -38,7 +38,8 @@ FILTER_BITS = 1 << 24
 LEADER_KEYS = 4
 WIDEST = 1 << 16
 
-FEATURES = "doc_id long, n_shingles int, d1 long, d2 long, prefix array<long>, bits binary"
+SURVEYED = "kind int, a long, b long, c long, n int"
+FEATURES = "doc_id long, n_shingles int, prefix array<long>, bits binary"
 
 
 def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
@@ -53,25 +54,23 @@ def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     table gives an empty table. Shingles are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    common = common_shingles(docs, k)
-    features = saved(docs.mapInArrow(_features(common, percent, k), FEATURES), "shingles")
-    known = features.filter("doc_id is not null and d1 is not null")
-    least = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = known.select("doc_id", "d1", "d2").join(
-        least.filter("copies > 1").select("d1", "d2", "rep"), ["d1", "d2"]
-    ).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    survey = saved(docs.mapInArrow(_survey(k), SURVEYED), "survey")
+    common = common_shingles(survey)
+    sizes = survey.filter("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("d1"), F.col("c").alias("d2"), F.col("n").alias("n_shingles"))
+    known = sizes.filter("doc_id is not null and n_shingles > 0")
+    least = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    copies = known.join(least, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     copies = saved(copies.filter("a <> b").distinct(), "copies")
+    features = docs.filter("doc_id is not null").mapInArrow(_features(common, percent, k), FEATURES)
     reps = saved(
-        known.join(least.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"])
-        .dropDuplicates(["doc_id", "d1", "d2"]).select("doc_id", "n_shingles", "prefix", "bits"),
-        "representatives",
+        features.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti"), "representatives"
     )
     led = similar(docs, _leader_pairs(reps, percent), percent, k)
     clusters = saved(components(led), "clusters")
     crossing = similar(docs, _tile_pairs(reps, clusters, percent), percent, k)
     links = copies.unionByName(clusters.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(crossing)
     found = components(links)
-    return features.select("doc_id", "n_shingles").join(
+    return sizes.select("doc_id", "n_shingles").join(
         found.withColumnRenamed("node", "doc_id"), "doc_id", "left"
     ).select(
         "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"),
@@ -86,35 +85,46 @@ def distinct_runs(hashes: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray
         yield own[np.append(True, own[1:] != own[:-1])] if len(own) > 1 else own
 
 
-def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles in more than 1 / COMMON_SHARE of the documents, by counts over all of them.
-
-    A shingle with such a share has it in at least one batch, so every batch
-    reports only those; at most COMMON_SHARE times the mean set size can pass.
-    """
+def _survey(k: int):
+    """Of each batch: frequent shingles (kind 0: key, documents), its documents (kind 1:
+    doc_id, set digest in two parts, set size) and their number (kind 2)."""
 
-    def count(batches):
+    def run(batches):
         for batch in batches:
             runs, rows = [], 0
             for part, buf, at in pieces(batch):
                 rows += part.num_rows
-                runs.extend(distinct_runs(*shingles(words_of(buf, at), k)))
-            if not runs:
-                continue
-            keys, n = np.unique(np.concatenate(runs), return_counts=True)
-            often = n >= max(2, rows / COMMON_SHARE)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)),
-                 pa.array(np.append(np.zeros(often.sum(), np.int64), rows))],
-                names=["key", "n", "rows"],
-            )
+                own = list(distinct_runs(*shingles(words_of(buf, at), k)))
+                runs.extend(own)
+                d1 = [int(mixed(x).sum(dtype=np.uint64).astype(np.int64)) for x in own]
+                d2 = [int(mixed(x ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).astype(np.int64)) for x in own]
+                yield _surveyed(1, part.column(0).cast(pa.int64()), d1, d2, [len(x) for x in own])
+            if runs:
+                keys, n = np.unique(np.concatenate(runs), return_counts=True)
+                often = n >= max(2, rows / COMMON_SHARE)
+                yield _surveyed(0, keys[often].view(np.int64), n[often], [0] * int(often.sum()), [0] * int(often.sum()))
+                yield _surveyed(2, [0], [rows], [0], [0])
+
+    return run
+
+
+def _surveyed(kind: int, a, b, c, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32())],
+        names=["kind", "a", "b", "c", "n"],
+    )
+
+
+def common_shingles(survey: DataFrame) -> np.ndarray:
+    """Shingles in more than 1 / COMMON_SHARE of the documents, by counts over all of them.
 
-    counted = docs.select("text").mapInArrow(count, "key long, n long, rows long")
-    totals = counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    totals = saved(totals, "common")
-    rows = totals.agg(F.sum("rows")).first()[0] or 0
-    often = totals.filter(F.col("n") * COMMON_SHARE > rows).filter("n > 1").select("key").toArrow()
-    return np.sort(often.column("key").to_numpy().astype(np.int64).view(np.uint64))
+    A shingle with such a share has it in at least one batch, so every batch
+    reports only those; at most COMMON_SHARE times the mean set size can pass.
+    """
+    rows = survey.filter("kind = 2").agg(F.sum("b")).first()[0] or 0
+    totals = survey.filter("kind = 0").groupBy("a").agg(F.sum("b").alias("n"))
+    often = totals.filter(F.col("n") * COMMON_SHARE > rows).select("a").toArrow()
+    return np.sort(often.column("a").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def bitmap_bits(n: int) -> int:
@@ -123,20 +133,17 @@ def bitmap_bits(n: int) -> int:
 
 
 def _features(common: np.ndarray, percent: int, k: int):
+    """Size, first shingles and bitmap of every document that has shingles."""
+
     def run(batches):
         for batch in batches:
             for part, buf, at in pieces(batch):
-                ids = part.column(0)
-                size, d1, d2, prefix, bits = [], [], [], [], []
+                ids, size, prefix, bits = part.column(0).to_numpy(zero_copy_only=False), [], [], []
                 for own in distinct_runs(*shingles(words_of(buf, at), k)):
                     n = len(own)
                     size.append(n)
                     if not n:
-                        for out in (d1, d2, prefix, bits):
-                            out.append(None)
                         continue
-                    d1.append(int(mixed(own).sum(dtype=np.uint64).astype(np.int64)))
-                    d2.append(int(mixed(own ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).astype(np.int64)))
                     keep = n - (percent * n + 99) // 100 + 1
                     late = np.isin(own, common) if len(common) else None
                     first = own if late is None or not late.any() else np.concatenate([own[~late], own[late]])
@@ -145,10 +152,11 @@ def _features(common: np.ndarray, percent: int, k: int):
                     signature = np.zeros(width, np.uint8)
                     signature[(mixed(own) & np.uint64(width - 1)).astype(np.int64)] = 1
                     bits.append(np.packbits(signature).tobytes())
+                some = np.array(size) > 0
                 yield pa.RecordBatch.from_arrays(
-                    [ids.cast(pa.int64()), pa.array(size, pa.int32()), pa.array(d1, pa.int64()),
-                     pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    names=["doc_id", "n_shingles", "d1", "d2", "prefix", "bits"],
+                    [pa.array(ids[some].astype(np.int64)), pa.array(np.array(size)[some], pa.int32()),
+                     pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    names=["doc_id", "n_shingles", "prefix", "bits"],
                 )
 
     return run
@@ -171,15 +179,21 @@ def _leader_pairs(reps: DataFrame, percent: int) -> DataFrame:
 
 def _tile_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different clusters that share a key and pass the size and bit-count bounds."""
-    clustered = reps.join(clusters.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "cluster", F.coalesce("component", "doc_id")
+    keyed = reps.select("doc_id", F.explode("prefix").alias("key"))
+    twice = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("key")
+    twice = saved(twice, "keys")
+    wanted = value_filter(twice, F.col("key"))
+    met = reps.select("doc_id", "n_shingles", "prefix").mapInArrow(_filtered(wanted), "doc_id long, n_shingles int, key long")
+    met = met.join(twice, "key").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("cluster")
     )
-    rows = clustered.select("doc_id", "cluster", F.explode("prefix").alias("key"))
-    shared = rows.groupBy("key").agg(
-        F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count(F.lit(1)).alias("n")
-    ).filter("low <> high").select("key", "n")
-    met = saved(rows.join(shared, "key"), "tiles")
-    met = met.join(reps.select("doc_id", "n_shingles", "bits"), "doc_id")
+    met = saved(met, "met")
+    # of keys with the same documents one is enough: they make the same tile
+    tiles = met.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high"),
+        F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members"),
+    ).filter("low <> high").groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n")
+    met = met.join(tiles, "key").join(reps.select("doc_id", "bits"), "doc_id")
     # blocks of about BLOCK documents, by a hash of the id; a row goes to every block pair of its block
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -262,13 +276,11 @@ def similar(docs: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFram
     """The pairs (a, b) that hold, by intersection of their sorted shingle arrays."""
     pairs = saved(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = id_filter(ids)
+    wanted = value_filter(ids, F.col("doc_id"))
 
     def arrays(batches):
         for batch in batches:
-            got = batch.column(0).to_numpy(zero_copy_only=False)
-            hit = wanted[(got.astype(np.int64) & (FILTER_BITS - 1)) >> 3] >> (got.astype(np.int64) & 7) & 1
-            batch = batch.filter(pa.array(hit.astype(bool)))
+            batch = batch.filter(pa.array(in_filter(wanted, batch.column(0).to_numpy(zero_copy_only=False))))
             for part, buf, at in pieces(batch):
                 sets = [own.tobytes() for own in distinct_runs(*shingles(words_of(buf, at), k))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])
@@ -293,16 +305,38 @@ def similar(docs: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFram
     return joined.select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long").distinct()
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits (2 MB at any size) over the low bits of the ids.
+def value_filter(rows: DataFrame, value) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits (2 MB at any size) over the low bits of the values.
 
-    It only spares work: ids that pass by chance are dropped by the join.
+    It only spares work: values that pass by chance are dropped by the join.
     """
-    place = F.pmod(F.col("doc_id"), F.lit(FILTER_BITS)) + 1
-    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("page")).agg(
+    place = F.pmod(value, F.lit(FILTER_BITS)) + 1
+    pages = rows.groupBy(F.bitmap_bucket_number(place).alias("page")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
     )
     out = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for page, bits in rows.collect():
+    for page, bits in pages.collect():
         out[(page - 1) * 4096 : page * 4096] = np.frombuffer(bits, np.uint8)
     return out
+
+
+def in_filter(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values.astype(np.int64) & (FILTER_BITS - 1)
+    return (bitmap[place >> 3] >> (place & 7) & 1).astype(bool)
+
+
+def _filtered(wanted: np.ndarray):
+    """Rows (doc_id, n_shingles, key) of the keys that pass the bitmap."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            hit = in_filter(wanted, keys)
+            take = pa.array(owner[hit])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(keys[hit])], names=["doc_id", "n_shingles", "key"]
+            )
+
+    return run
