@@ -120,6 +120,7 @@ def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.Recor
         last = min(n, max(first + 1, last), first + PIECE_ROWS)
         yield batch.slice(first, last - first), buf[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
+    pa.default_memory_pool().release_unused()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

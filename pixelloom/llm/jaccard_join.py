@@ -34,6 +34,7 @@ from pixelloom.llm.words import shingles, words_of
 
 BLOCK = 512
 COMMON_SHARE = 256  # a shingle in more than 1 / COMMON_SHARE of the documents goes last
+SURVEY_ROWS = 2048
 FILTER_BITS = 1 << 24
 LEADER_KEYS = 4
 WIDEST = 1 << 16
@@ -86,24 +87,26 @@ def distinct_runs(hashes: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray
 
 
 def _survey(k: int):
-    """Of each batch: frequent shingles (kind 0: key, documents), its documents (kind 1:
+    """Of each run of about SURVEY_ROWS documents: frequent shingles (kind 0: key, documents), its documents (kind 1:
     doc_id, set digest in two parts, set size) and their number (kind 2)."""
 
     def run(batches):
         for batch in batches:
-            runs, rows = [], 0
+            runs, rows, left = [], 0, batch.num_rows
             for part, buf, at in pieces(batch):
                 rows += part.num_rows
+                left -= part.num_rows
                 own = list(distinct_runs(*shingles(words_of(buf, at), k)))
                 runs.extend(own)
                 d1 = [int(mixed(x).sum(dtype=np.uint64).astype(np.int64)) for x in own]
                 d2 = [int(mixed(x ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).astype(np.int64)) for x in own]
                 yield _surveyed(1, part.column(0).cast(pa.int64()), d1, d2, [len(x) for x in own])
-            if runs:
-                keys, n = np.unique(np.concatenate(runs), return_counts=True)
-                often = n >= max(2, rows / COMMON_SHARE)
-                yield _surveyed(0, keys[often].view(np.int64), n[often], [0] * int(often.sum()), [0] * int(often.sum()))
-                yield _surveyed(2, [0], [rows], [0], [0])
+                if rows >= SURVEY_ROWS or not left:
+                    keys, n = np.unique(np.concatenate(runs), return_counts=True)
+                    often = n >= max(2, rows / COMMON_SHARE)
+                    yield _surveyed(0, keys[often].view(np.int64), n[often], [0] * int(often.sum()), [0] * int(often.sum()))
+                    yield _surveyed(2, [0], [rows], [0], [0])
+                    runs, rows = [], 0
 
     return run
 
@@ -290,10 +293,9 @@ def similar(docs: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFram
 
     def intersect(batches):
         for batch in batches:
-            a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            left, right, keep = batch.column(2), batch.column(3), []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             kept = np.flatnonzero(keep)
@@ -329,7 +331,7 @@ def _filtered(wanted: np.ndarray):
     """Rows (doc_id, n_shingles, key) of the keys that pass the bitmap."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
             lists = batch.column(2)
             keys = lists.flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
