@@ -13,9 +13,10 @@ What keeps it small:
 * documents with equal sets are one representative from the start;
 * the order puts shingles that a large share of the documents holds last, so a
   common passage does not become a common key (the order affects only speed);
-* representatives are first linked to the leaders of their first four keys by
-  exact comparison, and only pairs of different clusters go on: a group of
-  near copies costs a linear number of comparisons, not all its pairs;
+* representatives are first linked to leaders of their least shingles by exact
+  comparison, in a few rounds with other leaders, and only pairs of different
+  clusters go on: a group of near copies costs a linear number of comparisons,
+  not all its pairs;
 * a key with many documents is cut into blocks of BLOCK; tasks get block pairs.
 """
 
@@ -37,10 +38,11 @@ COMMON_SHARE = 256  # a shingle in more than 1 / COMMON_SHARE of the documents g
 SURVEY_ROWS = 2048
 FILTER_BITS = 1 << 24
 LEADER_KEYS = 4
+LEADER_TURNS = 3
 WIDEST = 1 << 16
 
 SURVEYED = "kind int, a long, b long, c long, n int"
-FEATURES = "doc_id long, n_shingles int, prefix array<long>, bits binary"
+FEATURES = "doc_id long, n_shingles int, least array<long>, prefix array<long>, bits binary"
 
 
 def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
@@ -66,9 +68,9 @@ def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     reps = saved(
         features.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti"), "representatives"
     )
-    led = similar(docs, _leader_pairs(reps, percent), percent, k)
-    clusters = saved(components(led), "clusters")
-    crossing = similar(docs, _tile_pairs(reps, clusters, percent), percent, k)
+    clusters = saved(components(_led(docs, reps, percent, k)), "clusters")
+    crossing = saved(_tile_pairs(reps, clusters, percent), "pairs")
+    crossing = verified(crossing, sets_of(docs, _ids(crossing), k), percent)
     links = copies.unionByName(clusters.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(crossing)
     found = components(links)
     return sizes.select("doc_id", "n_shingles").join(
@@ -131,8 +133,8 @@ def common_shingles(survey: DataFrame) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits of the signature of a set of n: twice its size, as a power of two."""
-    return min(WIDEST, max(64, 1 << int(2 * n - 1).bit_length()))
+    """Bits of the signature of a set of n: four times its size or more, as a power of two."""
+    return min(WIDEST, max(64, 1 << int(4 * n - 1).bit_length()))
 
 
 def _features(common: np.ndarray, percent: int, k: int):
@@ -141,7 +143,7 @@ def _features(common: np.ndarray, percent: int, k: int):
     def run(batches):
         for batch in batches:
             for part, buf, at in pieces(batch):
-                ids, size, prefix, bits = part.column(0).to_numpy(zero_copy_only=False), [], [], []
+                ids, size, least, prefix, bits = part.column(0).to_numpy(zero_copy_only=False), [], [], [], []
                 for own in distinct_runs(*shingles(words_of(buf, at), k)):
                     n = len(own)
                     size.append(n)
@@ -150,6 +152,7 @@ def _features(common: np.ndarray, percent: int, k: int):
                     keep = n - (percent * n + 99) // 100 + 1
                     late = np.isin(own, common) if len(common) else None
                     first = own if late is None or not late.any() else np.concatenate([own[~late], own[late]])
+                    least.append(own[:LEADER_KEYS].view(np.int64))
                     prefix.append(first[:keep].view(np.int64))
                     width = bitmap_bits(n)
                     signature = np.zeros(width, np.uint8)
@@ -158,8 +161,8 @@ def _features(common: np.ndarray, percent: int, k: int):
                 some = np.array(size) > 0
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[some].astype(np.int64)), pa.array(np.array(size)[some], pa.int32()),
-                     pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    names=["doc_id", "n_shingles", "prefix", "bits"],
+                     pa.array(least, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    names=["doc_id", "n_shingles", "least", "prefix", "bits"],
                 )
 
     return run
@@ -169,15 +172,57 @@ def _sizes_allow(percent: int, a: str = "na", b: str = "nb"):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _leader_pairs(reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every representative with the smallest of each of its first keys."""
-    rows = reps.select("doc_id", "n_shingles", F.explode(F.slice("prefix", 1, LEADER_KEYS)).alias("key"))
+def _led(docs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links (a, b) between representatives and leaders of their least shingles, exactly compared.
+
+    Each of the least shingles of a set is a key, and every key names one leader
+    per turn by a hash. A document is compared with its leaders, if sizes and bit
+    counts allow it, and only while they are not known to be linked: a linear
+    number of pairs, after which groups of near copies have few clusters left.
+    """
+    rows = reps.select("doc_id", F.explode("least").alias("key"))
     leaders = rows.groupBy("key").agg(
-        F.min(F.struct("doc_id", "n_shingles")).alias("lead"), F.count(F.lit(1)).alias("n")
-    ).filter("n > 1").select("key", F.col("lead.doc_id").alias("b"), F.col("lead.n_shingles").alias("nb"))
-    return rows.join(leaders, "key").select(
-        F.col("doc_id").alias("a"), "b", F.col("n_shingles").alias("na"), "nb"
-    ).filter(F.col("a") > F.col("b")).filter(_sizes_allow(percent)).select("a", "b").distinct()
+        F.count(F.lit(1)).alias("n"), *(F.min_by("doc_id", F.xxhash64(F.lit(t), "doc_id")).alias(f"lead{t}") for t in range(LEADER_TURNS))
+    ).filter("n > 1").drop("n")
+    met = rows.join(leaders, "key").select(
+        "doc_id", F.posexplode(F.array(*(f"lead{t}" for t in range(LEADER_TURNS)))).alias("turn", "lead")
+    ).filter("doc_id <> lead").groupBy(F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b")).agg(F.min("turn").alias("turn"))
+    signed = met.join(reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("x")), "a").join(
+        reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("y")), "b"
+    ).filter(_sizes_allow(percent)).select("a", "b", "turn", "na", "nb", "x", "y")
+    allowed = saved(signed.mapInArrow(_bounded(percent), "a long, b long, turn int"), "leaders")
+    sets = sets_of(docs, _ids(allowed), k)
+    links, labels = None, None
+    for turn in range(LEADER_TURNS):
+        pairs = allowed.filter(F.col("turn") == turn).select("a", "b")
+        if labels is not None:
+            pairs = pairs.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), "a", "left").join(
+                labels.select(F.col("doc_id").alias("b"), F.col("label").alias("lb")), "b", "left"
+            ).filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        found = saved(verified(pairs, sets, percent), "led")
+        links = found if links is None else links.unionByName(found)
+        # the least document at the other end of a link, enough to save comparisons
+        labels = links.select(F.col("a").alias("doc_id"), F.col("b").alias("label")).unionByName(
+            links.select(F.col("b").alias("doc_id"), F.col("b").alias("label"))
+        ).groupBy("doc_id").agg(F.min("label").alias("label"))
+    return links
+
+
+def _bounded(percent: int):
+    """Pairs (a, b, turn) whose bit counts allow the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4))
+            left, right, ok = batch.column(5), batch.column(6), np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(c[i].as_buffer(), np.uint8) for c in (left, right))
+                x, y = fold_to(x, min(len(x), len(y))), fold_to(y, min(len(x), len(y)))
+                most = min(na[i] - int(np.bitwise_count(x & ~y).sum()), nb[i] - int(np.bitwise_count(y & ~x).sum()))
+                ok[i] = (100 + percent) * most >= percent * (na[i] + nb[i])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in range(3)], names=["a", "b", "turn"])
+
+    return run
 
 
 def _tile_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
@@ -275,10 +320,12 @@ def fold_to(bits: np.ndarray, width: int) -> np.ndarray:
     return bits if len(bits) == width else bits[:width] | bits[width:]
 
 
-def similar(docs: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) that hold, by intersection of their sorted shingle arrays."""
-    pairs = saved(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, set): the sorted shingle arrays of the documents with these ids."""
     wanted = value_filter(ids, F.col("doc_id"))
 
     def arrays(batches):
@@ -289,7 +336,11 @@ def similar(docs: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])
 
     sets = docs.filter("doc_id is not null").mapInArrow(arrays, "doc_id long, set binary")
-    sets = saved(sets.join(ids, "doc_id", "left_semi"), "sets")
+    return saved(sets.join(ids, "doc_id", "left_semi"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that hold, by intersection of their sorted shingle arrays."""
 
     def intersect(batches):
         for batch in batches:
