@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import mixed, pieces, saved
@@ -38,7 +38,7 @@ COMMON_SHARE = 256  # a shingle in more than 1 / COMMON_SHARE of the documents g
 SURVEY_ROWS = 2048
 FILTER_BITS = 1 << 24
 LEADER_KEYS = 4
-LEADER_TURNS = 3
+LEADER_TURNS = 6
 WIDEST = 1 << 16
 
 SURVEYED = "kind int, a long, b long, c long, n int"
@@ -187,9 +187,12 @@ def _led(docs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
     met = rows.join(leaders, "key").select(
         "doc_id", F.posexplode(F.array(*(f"lead{t}" for t in range(LEADER_TURNS)))).alias("turn", "lead")
     ).filter("doc_id <> lead").groupBy(F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b")).agg(F.min("turn").alias("turn"))
-    signed = met.join(reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("x")), "a").join(
-        reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("y")), "b"
-    ).filter(_sizes_allow(percent)).select("a", "b", "turn", "na", "nb", "x", "y")
+    for side in ("a", "b"):
+        met = met.join(reps.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n{side}")), side)
+    met = met.filter(_sizes_allow(percent))
+    for side, name in (("a", "x"), ("b", "y")):
+        met = met.join(reps.select(F.col("doc_id").alias(side), F.col("bits").alias(name)), side)
+    signed = met.select("a", "b", "turn", "na", "nb", "x", "y")
     allowed = saved(signed.mapInArrow(_bounded(percent), "a long, b long, turn int"), "leaders")
     sets = sets_of(docs, _ids(allowed), k)
     links, labels = None, None
@@ -241,7 +244,13 @@ def _tile_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame
         F.count(F.lit(1)).alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high"),
         F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members"),
     ).filter("low <> high").groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n")
-    met = met.join(tiles, "key").join(reps.select("doc_id", "bits"), "doc_id")
+    met = met.join(tiles, "key")
+    # a document without another of its size band in the tile has no pair there, so needs no bitmap
+    along = Window.partitionBy("key").orderBy("n_shingles")
+    band = (F.lag("n_shingles").over(along) * 100 >= F.col("n_shingles") * percent) | (
+        F.col("n_shingles") * 100 >= F.lead("n_shingles").over(along) * percent
+    )
+    met = met.withColumn("near", band).filter("near").drop("near").join(reps.select("doc_id", "bits"), "doc_id")
     # blocks of about BLOCK documents, by a hash of the id; a row goes to every block pair of its block
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")

@@ -89,13 +89,14 @@ def near_vectors(
     without id, link with nothing. n_links counts the other rows linked directly;
     component_id is the smallest id reachable (the row's own id when alone);
     kept says whether it is the row's own. Repeated rows are rows of their own
-    and link with each other. An empty table gives an empty table; other columns
+    and link with each other; a vec_id on several vectors is one node of the graph.
+    An empty table gives an empty table; other columns
     are ignored. The threshold must be above 0.5 and at most 1.
     """
     if not 0.5 < threshold <= 1:
         raise ValueError("threshold must be above 0.5 and at most 1")
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label")
+        F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"), F.col(label_col).cast("string").alias("label")
     )
     # equal vectors are one point with a count
     point = saved(
@@ -128,12 +129,11 @@ def near_vectors(
                         take = pa.array(row)
                         yield pa.RecordBatch.from_arrays(
                             [own.column("label").take(take), pa.array(np.full(len(row), dim, np.int32)), pa.array(np.full(len(row), table, np.int32)),
-                             pa.array(key), pa.array(home), own.column("vec_id").take(take), own.column("copies").take(take),
-                             pa.array([x.tobytes() for x in v[row]], pa.binary())],
-                            names=["label", "dim", "tab", "key", "home", "vec_id", "copies", "u"],
+                             pa.array(key), pa.array(home), own.column("vec_id").take(take)],
+                            names=["label", "dim", "tab", "key", "home", "vec_id"],
                         )
 
-    placed = point.mapInArrow(place, "label string, dim int, tab int, key long, home boolean, vec_id long, copies long, u binary")
+    placed = point.mapInArrow(place, "label string, dim int, tab int, key long, home boolean, vec_id long")
     bucket = ["label", "dim", "tab", "key"]
     placed = saved(placed, "buckets")
     counts = placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).filter("n > 1 and any")
@@ -143,6 +143,10 @@ def near_vectors(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("n", "blocks", "other")
     keys = [*bucket, "i", "j"]
+    # the vectors come last: one shuffle carries them
+    cells = cells.join(point.select("label", "vec_id", "copies", "v").filter("size(v) > 0"), ["label", "vec_id"]).filter(
+        F.size("v") == F.col("dim")
+    )
     dealt = cells.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches):
@@ -191,13 +195,13 @@ def _cells(table: pa.Table, marks: np.ndarray, known: dict, seed: int, threshold
     edges = [0, *marks.tolist(), table.num_rows]
     counted: list[np.ndarray] = []
     forest: list[np.ndarray] = []
-    vectors = table.column("u")
+    vectors = table.column("v").combine_chunks()
     for a, b in zip(edges[:-1], edges[1:]):
         if b - a < 2 or not homes[a:b].any():
             continue
         dim, t = int(dims[a]), int(tabs[a])
         p = known.setdefault(dim, Projections(dim, seed))
-        v = np.frombuffer(b"".join(vectors.slice(a, b - a).to_pylist()), np.float64).reshape(b - a, dim)
+        v, _ = unit(vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, dim))
         close = v @ v.T >= threshold
         # the first table whose group has the pair within its share of the distance counts it
         share = (2 - 2 * threshold) / len(p.groups) + SLACK
