@@ -115,3 +115,10 @@ def cells(count: Column) -> Column:
     return F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(
         F.array().cast("array<int>")
     )
+
+
+def dense(px: Column, count: Column) -> Column:
+    """The array, if it has one entry per pixel; else an error: positions would shift."""
+    return F.when(F.size(px) == count, px).otherwise(
+        F.raise_error(F.concat(F.lit("image is not dense: "), F.col("image_id")))
+    )

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.columns import channel, idiv, pack_rgba
+from pixelloom.functions.columns import dense, channel, idiv, pack_rgba
 from pixelloom.functions.ranking import split_row_number
 from pixelloom.model import PIXEL
 from pixelloom.operators.channels import OPAQUE, hard_alpha
@@ -16,8 +16,6 @@ from pixelloom.operators.resample import box_downsample, upscale
 
 MIN_COLORS, MAX_COLORS = 2, 256
 
-# Cells of a grid that one row may hold; larger grids take the general path.
-MAX_GRID_CELLS = 1 << 20
 
 # A colour occurs at most 2^39 times per image in the packed histogram.
 COUNT_BITS = 39
@@ -109,7 +107,7 @@ def quantized_grids(grid: DataFrame, colors: int) -> DataFrame:
             (F.max(F.when(content, F.col("y"))) + 1).alias("y1"),
             F.collect_list(packed).alias("px"),
         )
-        .withColumn("px", F.sort_array("px"))
+        .withColumn("px", dense(F.sort_array("px"), F.col("width").cast("long") * F.col("height")))
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +145,11 @@ def pixelize(
 ) -> DataFrame:
     """Area-average onto a target_w x target_h grid, quantise, optionally upscale.
 
-    A grid beyond ``MAX_GRID_CELLS`` goes through ``quantize`` instead of one
-    row per image; the result is the same.
+    The grid of an image is one row, so its size must suit a row; an image with
+    empty cells raises.
     """
     tw, th, k = max(1, int(target_w)), max(1, int(target_h)), max(1, int(upscale_by))
     small = box_downsample(pixels, tw, th)
-    if tw * th > MAX_GRID_CELLS:
-        out = quantize(small, colors)
-        return upscale(out, k).select(*PIXEL) if k > 1 else out
     rows = quantized_grids(small, colors).select(
         "image_id", "width", "height", F.posexplode("px").alias("pos", "v")
     )

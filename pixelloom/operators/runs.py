@@ -16,8 +16,8 @@ def node_fraction(index: Column, total: Column, fraction: Column) -> Column:
     return index / total + (F.lit(1.0) / total) * inner
 
 
-def overall_progress(events: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Progress of the whole task at each tool event.
+def overall_progress(events: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Progress of the whole task at each tool event, and the events of no node.
 
     ``events`` (run_id, ts, task_node, tool_node, fraction); ``nodes``
     (task_node, task_ix, tool_node, tool_ix) lists the graph in run order. A
@@ -27,11 +27,16 @@ def overall_progress(events: DataFrame, nodes: DataFrame) -> DataFrame:
     tools = nodes.groupBy("task_node").agg(F.count(F.lit(1)).alias("tools"))
     tasks = nodes.agg(F.count_distinct("task_node").alias("tasks")).scalar()
     graph = nodes.join(tools, "task_node").withColumn("tasks", tasks)
-    joined = events.join(graph, ["task_node", "tool_node"])
+    joined = events.join(graph, ["task_node", "tool_node"], "left")
+    known = F.col("task_ix").isNotNull()
     inner = node_fraction(F.col("tool_ix"), F.col("tools"), F.col("fraction"))
-    return joined.withColumn(
+    own = ("tools", "tasks", "task_ix", "tool_ix")
+    placed = joined.filter(known).withColumn(
         "progress", F.col("task_ix") / F.col("tasks") + (F.lit(1.0) / F.col("tasks")) * inner
-    ).drop("tools", "tasks", "task_ix", "tool_ix")
+    ).drop(*own)
+    name = F.concat_ws("/", F.coalesce("task_node", F.lit("null")), F.coalesce("tool_node", F.lit("null")))
+    reason = F.concat(F.lit("LookupError: "), name, F.lit(" is no node of the graph"))
+    return placed, joined.filter(~known).drop(*own).withColumn("reason", reason)
 
 
 def status_columns(events: DataFrame) -> DataFrame:

@@ -31,9 +31,9 @@ from pixelloom.operators import (
     sheets,
 )
 from pixelloom.plans import inputs, sprites
+from pixelloom.plans.pattern_model import PatternModel
 from pixelloom.session import blowup_partitions, checkpoint_dir, ship_package
 from pixelloom.sources import artifacts, images
-from pixelloom.sources.adapters import GlyphModel
 from pixelloom.sources.generate import prompt_images
 from pixelloom.streaming import generation
 from pixelloom.streaming import runs as run_streams
@@ -664,18 +664,28 @@ def sheet_metas(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def task_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _progress(spark: SparkSession, sf_dir: str, unknown: str) -> tuple[DataFrame, DataFrame]:
+    """Tool events against the graph; events of kind ``unknown`` name a tool that it lacks."""
     graph = spark.createDataFrame(
         list(inputs.GRAPH), "task_node string, task_ix int, tool_node string, tool_ix int"
     )
     events = inputs.table(spark, sf_dir, "events").select(
         "event_id",
         F.when(F.col("event_type") == "signup", "gen").otherwise("spr").alias("task_node"),
-        F.col("event_type").alias("tool_node"),
+        F.when(F.col("event_type") == unknown, "lost").otherwise(F.col("event_type")).alias("tool_node"),
         (F.col("value") / 400.0 - 0.05).alias("fraction"),
     )
-    return runs.overall_progress(events, graph).select("event_id", "progress")
+    return runs.overall_progress(events, graph)
+
+
+@query
+def task_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _progress(spark, sf_dir, "")[0].select("event_id", "progress")
+
+
+@query
+def unknown_node_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _progress(spark, sf_dir, "error")[1].select("event_id", "reason")
 
 
 @query
@@ -766,7 +776,7 @@ def job_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_job_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workplace(spark, "timeouts")
     events = run_streams.as_event_stream(inputs.as_run_events(inputs.event_stream(spark, sf_dir)))
-    outcomes = run_streams.stream_timeouts(events)
+    outcomes = run_streams.stream_timeouts(events, delay="0 seconds")
     _finish(
         outcomes.writeStream.outputMode("append")
         .format("parquet")
@@ -843,7 +853,7 @@ def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("seed"), F.col("seed").cast("string"),
         ).alias("params"),
     )
-    return extension.infer(asked, GlyphModel)
+    return extension.infer(asked, PatternModel)
 
 
 @query

@@ -135,11 +135,10 @@ def as_run_events(events: DataFrame) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream."""
+    """The events table as a file stream; the table may be one file or a folder of part files."""
     schema = table(spark, sf_dir, "events").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+    # a pattern, as a stream refuses the plain path of a file
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def as_requests(events: DataFrame) -> DataFrame:

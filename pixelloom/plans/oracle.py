@@ -684,6 +684,9 @@ def build() -> dict[str, str]:
         f"SELECT event_id, CASE WHEN event_type = 'signup' THEN 0 / 2::DOUBLE + (1.0::DOUBLE / 2) * (0 / 1::DOUBLE + (1.0::DOUBLE / 1) * {inner}) "
         f"ELSE 1 / 2::DOUBLE + (1.0::DOUBLE / 2) * ({ix} / 4::DOUBLE + (1.0::DOUBLE / 4) * {inner}) END AS progress FROM events"
     )
+    out["unknown_node_rejects"] = (
+        "SELECT event_id, 'LookupError: spr/lost is no node of the graph' AS reason FROM events WHERE event_type = 'error'"
+    )
     out["latest_run_status"] = f"WITH runs AS ({RUNS}) {STATUS_ROWS}"
     out["primary_artifacts"] = (
         f"SELECT run_id, id, kind, '/api/artifacts/' || normal AS normal_url FROM (SELECT *, row_number() OVER "
@@ -739,10 +742,15 @@ def build() -> dict[str, str]:
         "CASE WHEN a >= 128 THEN 255 ELSE 0 END AS alpha, substr(sha256(image_id || ':' || x), 1, 6) AS color FROM glyph",
     )
     final("sql_glyph_function", lambda s: part_glyphs(s, 7, 9), "SELECT image_id, x, y, r, g, b, a FROM glyph")
-    rows("model_outputs", lambda s: glyphs(s, "made", f"{PARTS} WHERE p_size <= 45", 8, 6))
+    out["model_outputs"] = (
+        "SELECT CAST(p_partkey AS VARCHAR) AS image_id, 8 AS width, 6 AS height, CAST(c.range AS INTEGER) AS x, CAST(l.range AS INTEGER) AS y, "
+        "CAST((7 * c.range + 13 * l.range + 31 * p_partkey) % 256 AS INTEGER) AS r, "
+        "CAST((c.range * l.range + length(p_name)) % 256 AS INTEGER) AS g, "
+        "CAST(40 + 180 * ((c.range + l.range) % 2) AS INTEGER) AS b, 255 AS a FROM part, range(8) c, range(6) l WHERE p_size <= 45"
+    )
     out["model_errors"] = (
         "SELECT CAST(p_partkey AS VARCHAR) AS request_id, 'text2vid' AS op, "
-        "'LookupError: glyph does not serve op=''text2vid'' model_id=''stub-image''' AS reason FROM part WHERE p_size > 45"
+        "'LookupError: adapter pattern has no text2vid for stub-image' AS reason FROM part WHERE p_size > 45"
     )
 
     # Composite pipelines

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.columns import cells, channel, floor_half, packed_luma
 from pixelloom.model import NORMAL, PIXEL
-from pixelloom.operators.geometry import center_align
 from pixelloom.operators.normals import AROUND, encode_normals, normal_estimate, sobel
-from pixelloom.operators.palette import MAX_GRID_CELLS, pixelize, quantized_grids
+from pixelloom.operators.palette import quantized_grids
 from pixelloom.operators.resample import box_downsample
 from pixelloom.operators.sheets import pack_sheet
 from pixelloom.sources.generate import prompt_images
@@ -31,12 +30,10 @@ def spritify(
     cropping, aligning and the stencil are then array reads on the exploded
     canvas, with no join or sort. Cropping and aligning use the same threshold,
     and an image without content passes both whole, so the crop needs no step.
-    A grid beyond ``MAX_GRID_CELLS`` runs as the chain of operators.
+    An image with empty cells raises.
     """
     w, h = max(1, int(width)), max(1, int(height))
     gw, gh = max(1, int(grid_w)), max(1, int(grid_h))
-    if gw * gh > MAX_GRID_CELLS:
-        return normal_estimate(center_align(pixelize(pixels, gw, gh, colors), w, h), strength)
     grids = quantized_grids(box_downsample(pixels, gw, gh), colors)
     whole = {"x0": F.lit(0), "y0": F.lit(0), "x1": F.col("width"), "y1": F.col("height")}
     cw, ch = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")

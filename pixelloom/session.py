@@ -6,6 +6,7 @@ A cluster brings its own session; nothing in the library depends on this one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -56,9 +57,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a fresh one only where none is named."""
+    """The shared checkpoint folder of the session; a fresh one only in local mode.
+
+    On a cluster a folder of one machine would lose rows, so there it must be named.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="pixelloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.functions.columns import cells, channel, idiv, pack_rgba
+from pixelloom.functions.columns import dense, cells, channel, idiv, pack_rgba
 from pixelloom.model import STORABLE_KINDS
 from pixelloom.session import blowup_partitions
 
@@ -34,7 +34,7 @@ def to_bands(pixels: DataFrame, *labels: str) -> DataFrame:
 
     A band has at most ``BAND_PIXELS`` pixels (one scanline, if that is longer),
     so no image becomes one group. One packed long per pixel is collected
-    map-side.
+    map-side. A band with a missing pixel raises.
     """
     rows = F.greatest(F.lit(1), idiv(F.lit(BAND_PIXELS), F.col("width"))).cast("int")
     position = F.col("y").cast("long") * F.col("width") + F.col("x")
@@ -45,13 +45,15 @@ def to_bands(pixels: DataFrame, *labels: str) -> DataFrame:
         idiv(F.col("y"), rows).cast("int").alias("band"),
         F.shiftleft(position - first, 32).bitwiseOR(color).alias("pixel"),
     )
+    height = F.least(rows, F.col("height") - F.col("band") * rows)
+    expected = height.cast("long") * F.col("width")
     eight = lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
     return (
         cut.groupBy("image_id", "width", "height", *labels, "band")
         .agg(F.collect_list("pixel").alias("px"))
         .select(
             "image_id", "width", "height", *labels, "band",
-            F.unhex(F.array_join(F.transform(F.sort_array("px"), eight), "")).alias("data"),
+            F.unhex(F.array_join(F.transform(dense(F.sort_array("px"), expected), eight), "")).alias("data"),
         )
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pixelloom.operators.requests import route
 from pixelloom.plans.sprites import single_sprite
 
+# The trigger where none is given: what is there, then stop.
+AVAILABLE_NOW = {"availableNow": True}
+
 
 def start_sprite_stream(
     requests: DataFrame,
@@ -18,6 +22,7 @@ def start_sprite_stream(
     path: str,
     checkpoint: str,
     summarize: Callable[[DataFrame], DataFrame] = lambda sprites: sprites,
+    trigger: dict[str, Any] | None = None,
     **sizes: int,
 ) -> StreamingQuery:
     """Turn a stream of requests into stored sprites, batch by batch, without state.
@@ -28,20 +33,26 @@ def start_sprite_stream(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        routed, rejected = route(batch, models)
-        sprites = single_sprite(routed, F.col("prompt"), F.col("seed"), **sizes)
-        summarize(sprites).write.mode("overwrite").parquet(f"{path}/sprites/batch={number}")
-        rejected.write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+        held = batch.persist()
+        try:
+            routed, rejected = route(held, models)
+            sprites = single_sprite(routed, F.col("prompt"), F.col("seed"), **sizes)
+            summarize(sprites).write.mode("overwrite").parquet(f"{path}/sprites/batch={number}")
+            rejected.write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+        finally:
+            held.unpersist()
 
     return (
         requests.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 
 
-def start_update_sink(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def start_update_sink(
+    rows: DataFrame, path: str, checkpoint: str, trigger: dict[str, Any] | None = None
+) -> StreamingQuery:
     """Write an update-mode stream to one folder per micro-batch (safe to retry)."""
 
     def write(batch: DataFrame, number: int) -> None:
@@ -51,7 +62,7 @@ def start_update_sink(rows: DataFrame, path: str, checkpoint: str) -> StreamingQ
         rows.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 

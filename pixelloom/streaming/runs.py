@@ -41,11 +41,12 @@ def _essential(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def stream_timeouts(
-    events: DataFrame, seconds: int = TIMEOUT_SECONDS, delay: str = "0 seconds"
+    events: DataFrame, delay: str, seconds: int = TIMEOUT_SECONDS
 ) -> DataFrame:
     """done, error or timeout per run, once: ``events`` is (run_id, ts timestamp, status).
 
-    State per run is its submission time; an event-time timer fires when the
+    ``delay`` is how late an event may come: Spark drops what is older than the
+    watermark, so it must cover the disorder of the source. State per run is its submission time; an event-time timer fires when the
     watermark passes the deadline. Only later events move the watermark, so a
     run at the very end of the stream stays open. A closed run keeps its mark
     until the watermark is another ``seconds`` past the deadline, then its

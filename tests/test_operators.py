@@ -11,6 +11,7 @@ from pixelloom.functions.mediancut import median_cut
 from pixelloom.model import NORMAL, PIXEL, images_of
 from pixelloom.operators import channels, geometry, normals, pairs, palette, quality, resample, sheets
 from pixelloom.plans import sprites
+from pixelloom.sources.artifacts import to_bands
 
 
 def test_pixelize_size_palette_and_determinism(images):
@@ -198,15 +199,12 @@ def test_quantize_against_the_contract(images, colors):
     assert (out["p"][..., 3] == np.where(picture[..., 3] >= 128, 255, 0)).all()
 
 
-def test_large_grids_take_the_general_path(images, monkeypatch):
-    source = images.table(p=noise(12, 10), d=disc(16, 16))
-    small = palette.pixelize(source, 6, 7, 5)
-    sprite = sprites.spritify(source, 9, 8, 6, 7, 5)
-    monkeypatch.setattr(palette, "MAX_GRID_CELLS", 4)
-    monkeypatch.setattr(sprites, "MAX_GRID_CELLS", 4)
-    assert quality.diff_images(small, palette.pixelize(source, 6, 7, 5)).count() == 0
-    general = sprites.spritify(source, 9, 8, 6, 7, 5)
-    assert sprite.exceptAll(general).count() == 0 and general.exceptAll(sprite).count() == 0
+def test_holes_raise(images):
+    holed = images.table(p=noise(4, 4)).filter("not (x = 1 and y = 2)")
+    with pytest.raises(Exception, match="not dense"):
+        palette.pixelize(holed, 4, 4, 4).collect()
+    with pytest.raises(Exception, match="not dense"):
+        to_bands(holed).collect()
 
 
 def test_spritify_equals_the_chain_of_operators(images):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelloom.operators import extension, requests, runs
-from pixelloom.sources.adapters import GlyphModel
+from pixelloom.plans.pattern_model import PatternModel
 from pixelloom.sources.images import decode_payload
 
 TEXTS = [
@@ -94,13 +94,13 @@ def test_templates_fill_exact_strings_at_any_depth(spark):
 
 
 def test_routing_prefers_the_first_adapter_and_never_falls_back(spark):
-    models = extension.model_listing(spark, [GlyphModel()])
+    models = extension.model_listing(spark, [PatternModel()])
     asked = spark.createDataFrame(
         [("1", "text2img", "stub-image"), ("2", "text2img", "does-not-exist"), ("3", "text2vid", "stub-image")],
         "request_id string, op string, model_id string",
     )
     routed, rejected = requests.route(asked, models)
-    assert [(r.request_id, r.adapter) for r in routed.collect()] == [("1", "glyph")]
+    assert [(r.request_id, r.adapter) for r in routed.collect()] == [("1", "pattern")]
     assert {r.request_id for r in rejected.collect()} == {"2", "3"}
     assert rejected.filter("request_id = '2'").first().reason == (
         "LookupError: no adapter serves op='text2img' model_id='does-not-exist'"
@@ -133,8 +133,9 @@ def test_progress_is_nested_and_ends_at_one(spark):
         [("gen", "t2i", 0.5), ("spr", "px", -1.0), ("spr", "pair", 1.0), ("spr", "pair", 9.0)],
         "task_node string, tool_node string, fraction double",
     )
-    got = sorted(r.progress for r in runs.overall_progress(events, graph).collect())
-    assert got == [0.25, 0.5, 1.0, 1.0]
+    placed, unknown = runs.overall_progress(events.unionByName(events.limit(1).withColumn("tool_node", F.lit("x"))), graph)
+    assert sorted(r.progress for r in placed.collect()) == [0.25, 0.5, 1.0, 1.0]
+    assert [r.reason for r in unknown.collect()] == ["LookupError: gen/x is no node of the graph"]
 
 
 def test_infer_gives_errors_as_rows_and_decodes(spark):
@@ -147,7 +148,7 @@ def test_infer_gives_errors_as_rows_and_decodes(spark):
         ],
         "request_id string, op string, model_id string, inputs map<string,string>, params map<string,string>",
     )
-    done, failed = extension.split_errors(extension.infer(asked, GlyphModel))
+    done, failed = extension.split_errors(extension.infer(asked, PatternModel))
     assert {r.request_id: r.reason.split(":")[0] for r in failed.collect()} == {"2": "LookupError", "3": "ValueError"}
     first, none = requests.first_output(done)
     assert none.count() == 0
@@ -156,7 +157,7 @@ def test_infer_gives_errors_as_rows_and_decodes(spark):
     )
     assert pixels.filter("image_id = '1'").count() == 24 and rejects.count() == 0
     tinted = pixels.filter("image_id = '4'").first()
-    assert tinted.a == 40 and tinted.r <= 10
+    assert (tinted.r, tinted.g, tinted.b, tinted.a) == (245, 235, 225, 40)
 
 
 def test_registry_rejects_duplicates_and_unknown_kinds(spark):

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from pixelloom.operators import runs
+from pixelloom.plans import inputs
+from pixelloom.session import checkpoint_dir
 from pixelloom.streaming import generation
 from pixelloom.streaming import runs as run_streams
 
@@ -58,7 +61,7 @@ def outcomes(spark, path, size, tmp):
     write_files(spark, path, ROWS, size)
     sink = str(tmp / f"out{size}")
     (
-        run_streams.stream_timeouts(stream_of(spark, path))
+        run_streams.stream_timeouts(stream_of(spark, path), delay="0 seconds")
         .writeStream.outputMode("append").format("parquet").option("path", sink)
         .option("checkpointLocation", str(tmp / f"cp{size}")).trigger(availableNow=True).start().awaitTermination()
     )
@@ -90,3 +93,25 @@ def test_sprite_stream_routes_and_stores(spark, tmp_path):
     rejected = spark.read.parquet(str(tmp_path / "out" / "rejected"))
     assert {r.image_id for r in rejected.collect()} == {"i0", "i3", "i6"}
     assert rejected.filter(F.col("reason").isNull()).count() == 0
+
+
+def test_event_stream_reads_a_file_and_a_folder(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for name, parts in (("file", 0), ("folder", 3)):
+        if parts:
+            table.repartition(parts).write.parquet(str(tmp_path / name / "events.parquet"))
+            source = str(tmp_path / name)
+        else:
+            source = "/root/testdata/sf0.001"
+        stream = inputs.event_stream(spark, source)
+        stream.writeStream.format("memory").queryName(f"seen_{name}").trigger(availableNow=True).start().awaitTermination()
+        assert spark.table(f"seen_{name}").count() == table.count()
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Elsewhere())
