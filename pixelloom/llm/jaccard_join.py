@@ -17,6 +17,8 @@ What keeps it small:
   comparison, in a few rounds with other leaders, and only pairs of different
   clusters go on: a group of near copies costs a linear number of comparisons,
   not all its pairs;
+* a pair belongs to the first key both share, so the places of the key in both
+  prefixes bound its overlap too, and narrow the size band of a document;
 * a key with many documents is cut into blocks of BLOCK; tasks get block pairs.
 """
 
@@ -202,6 +204,7 @@ def _led(docs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
             pairs = pairs.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), "a", "left").join(
                 labels.select(F.col("doc_id").alias("b"), F.col("label").alias("lb")), "b", "left"
             ).filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+            pairs = saved(pairs, "turn")  # with a known size, few pairs need no shuffle of the sets
         found = saved(verified(pairs, sets, percent), "led")
         links = found if links is None else links.unionByName(found)
         # the least document at the other end of a link, enough to save comparisons
@@ -234,23 +237,27 @@ def _tile_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame
     twice = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("key")
     twice = saved(twice, "keys")
     wanted = value_filter(twice, F.col("key"))
-    met = reps.select("doc_id", "n_shingles", "prefix").mapInArrow(_filtered(wanted), "doc_id long, n_shingles int, key long")
+    met = reps.select("doc_id", "n_shingles", "prefix").mapInArrow(_filtered(wanted), "doc_id long, n_shingles int, key long, place int")
     met = met.join(twice, "key").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("cluster")
+        "key", "doc_id", "n_shingles", "place", F.coalesce("component", "doc_id").alias("cluster")
     )
     met = saved(met, "met")
-    # of keys with the same documents one is enough: they make the same tile
+    # of keys with the same documents the first in the common order is enough: they make the same tile
     tiles = met.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high"),
-        F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members"),
-    ).filter("low <> high").groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n")
+        F.sum(F.xxhash64("doc_id", "n_shingles").cast("decimal(38,0)")).alias("members"),
+        F.min(F.struct("doc_id", "place"))["place"].alias("turn"),
+    ).filter("low <> high").groupBy("n", "members").agg(F.min_by("key", "turn").alias("key")).select("key", "n")
     met = met.join(tiles, "key")
     # a document without another of its size band in the tile has no pair there, so needs no bitmap
+    met = met.withColumn("room", _room(F.col("n_shingles").cast("long"), F.col("place"), percent))
     along = Window.partitionBy("key").orderBy("n_shingles")
-    band = (F.lag("n_shingles").over(along) * 100 >= F.col("n_shingles") * percent) | (
-        F.col("n_shingles") * 100 >= F.lead("n_shingles").over(along) * percent
+    band = (F.max("room").over(along.rowsBetween(Window.unboundedPreceding, -1)) >= percent * F.col("n_shingles")) | (
+        F.col("room") >= percent * F.lead("n_shingles").over(along)
+    )
+    met = met.withColumn("near", band).filter("near").drop("near", "place").join(
+        reps.select("doc_id", "n_shingles", "bits"), ["doc_id", "n_shingles"]
     )
-    met = met.withColumn("near", band).filter("near").drop("near").join(reps.select("doc_id", "bits"), "doc_id")
     # blocks of about BLOCK documents, by a hash of the id; a row goes to every block pair of its block
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -258,12 +265,20 @@ def _tile_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "doc_id", "cluster", "n_shingles", "bits",
+        "block", "doc_id", "cluster", "n_shingles", "room", "bits",
     )
     dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_shingles")
     return dealt.mapInArrow(_tiles(percent), "a long, b long").distinct()
 
 
+def _room(size, place, percent: int):
+    """The largest size of a partner, times percent, if the first common key lies at this place of the prefix.
+
+    The overlap is at most size - place, and 100 overlap >= percent * union.
+    """
+    return (100 + percent) * (size - place) - percent * size
+
+
 def _tiles(percent: int):
     """Compare the members of each (key, i, j), which lie together in the stream."""
 
@@ -273,18 +288,18 @@ def _tiles(percent: int):
         return changed
 
     def compare(tile: pa.Table):
-        ids, cluster, size, block = (tile.column(c).to_numpy() for c in ("doc_id", "cluster", "n_shingles", "block"))
+        ids, cluster, size, block, room = (tile.column(c).to_numpy() for c in ("doc_id", "cluster", "n_shingles", "block", "room"))
         i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
         if cluster.min() == cluster.max():
             return
         bits = [np.frombuffer(x, np.uint8) for x in tile.column("bits").to_pylist()]
-        limit = np.searchsorted(size, size * 100 // percent, "right")  # sorted by size
+        limit = np.searchsorted(size, room // percent, "right")  # sorted by size
         width = np.array([len(x) for x in bits])
         stacks = {w: np.stack([fold_to(bits[x], w) for x in np.flatnonzero((width == w) | (width == 2 * w))]) for w in np.unique(width)}
         place = {w: np.cumsum((width == w) | (width == 2 * w)) - 1 for w in stacks}
         for x in range(len(ids) - 1):
             others = np.arange(x + 1, limit[x])
-            others = others[cluster[others] != cluster[x]]
+            others = others[(cluster[others] != cluster[x]) & (room[others] >= percent * int(size[x]))]
             if i != j:
                 others = others[block[others] != block[x]]
             if not len(others):
@@ -361,9 +376,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kept = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(kept)) for i in range(2)], names=["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b"
-    )
+    def side(name, value):
+        own = sets.select(F.col("doc_id").alias(name), F.col("set").alias(value))
+        return own.join(pairs.select(name), name, "left_semi")
+
+    joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long").distinct()
 
 
@@ -388,17 +405,20 @@ def in_filter(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _filtered(wanted: np.ndarray):
-    """Rows (doc_id, n_shingles, key) of the keys that pass the bitmap."""
+    """Rows (doc_id, n_shingles, key, place in the prefix) of the keys that pass the bitmap."""
 
     def run(batches):
         for batch in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
             lists = batch.column(2)
             keys = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), lengths)
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             hit = in_filter(wanted, keys)
             take = pa.array(owner[hit])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(keys[hit])], names=["doc_id", "n_shingles", "key"]
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(keys[hit]), pa.array(place[hit].astype(np.int32))],
+                names=["doc_id", "n_shingles", "key", "place"],
             )
 
     return run
