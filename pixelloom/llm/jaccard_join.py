@@ -251,11 +251,10 @@ def _tile_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame
     met = met.join(tiles, "key")
     # a document without another of its size band in the tile has no pair there, so needs no bitmap
     met = met.withColumn("room", _room(F.col("n_shingles").cast("long"), F.col("place"), percent))
-    along = Window.partitionBy("key").orderBy("n_shingles")
-    band = (F.max("room").over(along.rowsBetween(Window.unboundedPreceding, -1)) >= percent * F.col("n_shingles")) | (
-        F.col("room") >= percent * F.lead("n_shingles").over(along)
-    )
-    met = met.withColumn("near", band).filter("near").drop("near", "place").join(
+    size = F.col("n_shingles").cast("long") * percent
+    met = met.join(_neighbour_sizes(met), ["key", "n_shingles"])
+    band = (F.col("below") >= size) | (F.col("room") >= F.col("above") * percent) | ((F.col("alike") > 1) & (F.col("room") >= size))
+    met = met.filter(band).drop("below", "above", "alike", "place").join(
         reps.select("doc_id", "n_shingles", "bits"), ["doc_id", "n_shingles"]
     )
     # blocks of about BLOCK documents, by a hash of the id; a row goes to every block pair of its block
@@ -279,6 +278,20 @@ def _room(size, place, percent: int):
     return (100 + percent) * (size - place) - percent * size
 
 
+def _neighbour_sizes(met: DataFrame) -> DataFrame:
+    """Of each key and set size: documents of that size (alike), the widest room of smaller ones (below), the next size (above).
+
+    The rows of a key are summed by size before its window, so a key that very
+    many documents share brings one row per size to a task.
+    """
+    along = Window.partitionBy("key").orderBy("n_shingles")
+    return met.groupBy("key", "n_shingles").agg(F.count(F.lit(1)).alias("alike"), F.max("room").alias("widest")).select(
+        "key", "n_shingles", "alike",
+        F.max("widest").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("below"),
+        F.lead("n_shingles").over(along).cast("long").alias("above"),
+    )
+
+
 def _tiles(percent: int):
     """Compare the members of each (key, i, j), which lie together in the stream."""
 
