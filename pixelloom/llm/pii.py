@@ -1,11 +1,13 @@
 """Personal data by a skip-chain conditional random field.
 
 Patterns find the base spans. A document with some becomes a random field over
-its tokens: those of base spans (observed) and those that repeat or resemble
-them. Neighbouring tokens are linked as a chain, and occurrences of the same or
-a similar token, however far apart, are linked by skip edges. Loopy belief
-propagation then lets a plain repetition of a number or a name take the label
-of the full form elsewhere in the document.
+its tokens: those of base spans (observed), those that repeat or resemble them
+or a part of them, and numbers beside those. Neighbouring tokens are linked as a
+chain, and occurrences of the same or a similar token, however far apart, are
+linked by skip edges, weaker ones for short groups of digits. Loopy belief
+propagation then lets a plain repetition of a number or a name, in one token or
+in several, take the label of the full form elsewhere in the document; tokens
+of one label beside each other are one span.
 
 The weights are trained here, with the base spans of a bounded sample as labels:
 unary weights on the shape of a token by regularised softmax regression, chain
@@ -29,6 +31,8 @@ SAMPLE_ROWS = 1500
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 ROUNDS = 8
+WHOLE_DIGITS = 7  # so many digits in common are a repetition, fewer are a weaker link
+SHAPE_FLOOR = -2.0  # most that a shape speaks against a label, as short forms are not among the training labels
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,7 +40,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S+")
+_TOKEN = re.compile(r"[^\s/=:;,|<>\[\]{}\"'\u2018\u2019\u201c\u201d]+")
+_GROUP = re.compile(r"[0-9]+")
 _EDGES = ".,;:!?()[]{}<>\"'"
 
 SPANS = T.ArrayType(
@@ -83,18 +88,22 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c in "0123456789")
 
 
+def _name(s: str) -> str:
+    return s.strip(_EDGES + "@._-").lower().replace("_", ".").replace("-", ".")
+
+
 def _keys(kind: int, s: str) -> list[str]:
-    """What makes another token similar to an entity of this kind."""
+    """What makes a token, or the joined digits of a run of tokens, a repetition of an entity of this kind."""
     core, digits = s.strip(_EDGES).lower(), _digits(s)
     keys = [core] if len(core) >= 5 else []
     if kind == 0 and "@" in core:
-        name = core.split("@")[0]
-        if len(name) >= 6 and any(c.isdigit() for c in name):
-            keys.append(name)
+        local = core.split("@")[0]
+        names = {_name(local), _name(local.split("+")[0])}
+        keys.extend("@" + x for x in sorted(names) if len(x) >= 4 and ("." in x or any(c.isdigit() for c in x)))
     if kind == 2:
         keys.append("#" + digits)
-    if kind == 3:
-        keys.extend("#" + digits[-n:] for n in {7, 10, len(digits)} if len(digits) >= n)
+    if kind == 3:  # with and without the codes in front
+        keys.extend("#" + digits[-n:] for n in range(7, len(digits) + 1))
     return keys
 
 
@@ -119,8 +128,20 @@ class PiiModel:
     skip: float  # log potential of equal labels on a skip edge
 
 
-def _tokens(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
+def _tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, token); a token ends where a base span, or a run of overlapping ones, begins or ends."""
+    out, at, i = [], 0, 0
+    while i < len(spans):
+        start, end, _ = spans[i]
+        i += 1
+        while i < len(spans) and spans[i][0] < end:
+            end = max(end, spans[i][1])
+            i += 1
+        for a, b in ((at, start), (start, end)):
+            out.extend((m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, a, b))
+        at = end
+    out.extend((m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, at))
+    return out
 
 
 def _observed(tokens, spans) -> list[int]:
@@ -149,7 +170,7 @@ def fit(texts: list[str], ridge: float = 2e-3, rounds: int = 300) -> PiiModel:
     same, apart = 1.0, 1.0
     for text in texts:
         spans = base_spans(text)
-        tokens = _tokens(text)
+        tokens = _tokens(text, spans)
         seen = _observed(tokens, spans)
         last: dict[str, int] = {}
         for i, (_, _, token) in enumerate(tokens):
@@ -202,59 +223,176 @@ def _beliefs(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]]) -> np.
     return p / p.sum(axis=1, keepdims=True)
 
 
+def _beside(text: str, left: tuple[int, int, str], right: tuple[int, int, str]) -> bool:
+    """Nothing but a few blanks or slashes between two tokens."""
+    return right[0] - left[1] <= 3 and not text[left[1] : right[0]].strip(" \t\r\n\u00a0/")
+
+
+def _plain(token: str) -> bool:
+    return not any(map(str.isalpha, token))
+
+
+class _Entities:
+    """Keys of the base spans of a document; each key with the covered token it links to."""
+
+    def __init__(self, text: str, base, tokens, seen):
+        self.whole: dict[tuple[str, int], int] = {}
+        self.parts: dict[tuple[str, int], int] = {}
+        self.pairs: set[tuple[str, str]] = set()
+        first = 0
+        for start, end, kind in base:
+            while first and tokens[first - 1][1] > start:
+                first -= 1
+            while tokens[first][1] <= start:
+                first += 1
+            for key in _keys(kind, text[start:end]):
+                self.whole.setdefault((key, kind), first)
+            if kind >= 2:
+                groups = _GROUP.findall(text[start:end])
+                self.pairs.update(zip(groups[:-1], groups[1:]))
+                for g in groups:
+                    self.parts.setdefault((g, kind), first)
+        self.longest = max((len(k) for k, _ in self.whole if k[0] == "#"), default=0)
+
+    def repeated(self, *keys: str) -> list[tuple[tuple[str, int], int]]:
+        return [(own, self.whole[own]) for key in dict.fromkeys(keys) for kind in range(len(KINDS)) if (own := (key, kind)) in self.whole]
+
+    def number(self, digits: str) -> list[tuple[tuple[str, int], int]]:
+        """Repetitions of a number, also with zeros in front."""
+        return self.repeated("#" + digits, "#" + digits.lstrip("0")) if len(digits) >= WHOLE_DIGITS else []
+
+    def links(self, token: str) -> list[tuple[tuple[str, int], int, float]]:
+        """(key, covered token, strength from 0 to 1) of the links of one token."""
+        name = _name(token)
+        found = [(k, at, min(1.0, (len(name) / 5) ** 2) if k[0][0] == "@" else 1.0) for k, at in self.repeated(token.strip(_EDGES).lower(), "@" + name)]
+        digits = _digits(token)
+        found += [(k, at, 1.0) for k, at in self.number(digits)]
+        if not found and digits and _plain(token):
+            groups = _GROUP.findall(token)
+            if all(p in self.pairs for p in zip(groups[:-1], groups[1:])):
+                strength = min(1.0, (len(digits) / WHOLE_DIGITS) ** 2)
+                found = [((digits, kind), self.parts[groups[0], kind], strength) for kind in (2, 3) if (groups[0], kind) in self.parts]
+        return found
+
+
+def _runs(text: str, tokens, seen, entities: _Entities):
+    """(first, last, links): tokens next to each other of which the digits together repeat a base span."""
+    i = 0
+    while i < len(tokens):
+        best, digits, j = None, "", i
+        while j < len(tokens) and not seen[j] and _plain(tokens[j][2]) and (j == i or _beside(text, tokens[j - 1], tokens[j])):
+            own = _digits(tokens[j][2])
+            digits += own
+            if not digits or len(digits) > entities.longest + 3 or j - i > 2 * entities.longest:
+                break
+            if j > i and own and (links := entities.number(digits)):
+                best = i, j, links
+            j += 1
+        if best:
+            yield best
+            i = best[1]
+        i += 1
+
+
 def all_spans(text: str, model: PiiModel) -> list[tuple[int, int, int, bool]]:
-    """(start, end, kind index, base): the base spans, and those that the random field adds."""
+    """(start, end, kind index, base): the base spans, and those that the random field adds.
+
+    Nodes are the tokens of base spans (known), tokens that repeat one of them or a
+    part of it, alone or as a run, and numbers and signs beside such a token.
+    """
     base = base_spans(text)
     if not base:
         return []
-    keys: dict[str, int] = {}
-    for start, end, kind in base:
-        for key in _keys(kind, text[start:end]):
-            keys.setdefault(key, kind)
-    tokens = _tokens(text)
+    tokens = _tokens(text, base)
     seen = _observed(tokens, base)
-    nodes, node_keys = [], []
-    for i, (_, _, token) in enumerate(tokens):
-        core = token.strip(_EDGES).lower()
-        own = [k for k in (core, "#" + _digits(token)) if k in keys]
-        if seen[i] or own:
-            nodes.append(i)
-            node_keys.append(own)
-    if not any(own and not seen[i] for i, own in zip(nodes, node_keys)):
+    entities = _Entities(text, base, tokens, seen)
+    links = {i: own for i, (_, _, token) in enumerate(tokens) if not seen[i] and (own := entities.links(token))}
+    sure = {i for i, own in links.items() if any(strength == 1 for _, _, strength in own)}
+    run_of: dict[int, int] = {}
+    for first, last, own in _runs(text, tokens, seen, entities):
+        for i in range(first, last + 1):
+            run_of[i] = first
+            sure.add(i)
+            links[i] = [(k, at, 1.0) for k, at in own]
+    if not links:
         return [(*s, True) for s in base]
-    # a base span links to its repetitions through the keys of the whole span
+    near = {
+        j for i in links for j in (i - 1, i + 1)
+        if 0 <= j < len(tokens) and j not in links and not seen[j] and _plain(tokens[j][2]) and _beside(text, tokens[min(i, j)], tokens[max(i, j)])
+    }
+    # the labels of covered tokens are known, so their messages are part of the potentials of the others
+    nodes = sorted(near.union(links))
     place = {i: n for n, i in enumerate(nodes)}
-    for start, end, kind in base:
-        first = next((place[i] for i in nodes if tokens[i][1] > start and tokens[i][0] < end), None)
-        if first is not None:
-            node_keys[first] = list(dict.fromkeys(node_keys[first] + _keys(kind, text[start:end])))
     unary = np.stack([shape(tokens[i][2], tokens[i - 1][2] if i else "") for i in nodes]) @ model.unary
-    unary -= unary.max(axis=1, keepdims=True)
+    unary -= unary[:, :1].copy()
     for n, i in enumerate(nodes):
-        if seen[i]:
-            unary[n] = -30.0
-            unary[n, seen[i]] = 0.0
+        token = tokens[i][2]
+        if i in near:  # what any repetition has, a link, is missing
+            unary[n, 1:] = -model.skip
+        elif _plain(token) and len(_digits(token)) < WHOLE_DIGITS:  # a short number may be anything
+            unary[n, 1:] = SHAPE_FLOOR
+        else:
+            unary[n] = np.maximum(unary[n], SHAPE_FLOOR)
+        for _, at, strength in links.get(i, ()):
+            unary[n, seen[at]] += model.skip * strength
+        if i and seen[i - 1] and _beside(text, tokens[i - 1], tokens[i]):
+            unary[n] += model.chain[seen[i - 1]]
+        if i + 1 < len(tokens) and seen[i + 1] and _beside(text, tokens[i], tokens[i + 1]):
+            unary[n] += model.chain[:, seen[i + 1]]
     edges, last = [], {}
     agree = np.eye(len(LABELS)) * model.skip
+    joined = set()
     for n, i in enumerate(nodes):
-        if n and nodes[n - 1] == i - 1:
-            edges.append((n - 1, n, model.chain))
-        for key in node_keys[n]:
-            if key in last and last[key] != n:
-                edges.append((last[key], n, agree))
-            last[key] = n
-    belief = _beliefs(unary, edges) if edges else np.exp(unary)
+        if i - 1 in place and _beside(text, tokens[i - 1], tokens[i]):
+            chain = model.chain
+            groups = _GROUP.findall(tokens[i - 1][2])[-1:] + _GROUP.findall(tokens[i][2])[:1]
+            same_run = i in run_of and run_of[i] == run_of.get(i - 1)
+            if same_run:
+                chain = chain + agree
+            elif tuple(groups) in entities.pairs:
+                chain = chain + agree * min(1.0, (sum(map(len, groups)) / WHOLE_DIGITS) ** 2)
+            if same_run or i not in sure or i - 1 not in sure:
+                joined.add(i)
+            edges.append((n - 1, n, chain))
+        for key, _, strength in links.get(i, ()):
+            if key in last and run_of.get(last[key], -1) != run_of.get(i, -2):
+                edges.append((place[last[key]], n, agree * strength))
+            last[key] = i
+    belief = _beliefs(unary, edges) if edges else unary
     added: list[list[int]] = []
+    before = 0
     for n, i in enumerate(nodes):
-        kind = int(belief[n].argmax()) - 1
-        if seen[i] or kind < 0 or not node_keys[n]:
-            continue
-        start, end, token = tokens[i]
-        start += len(token) - len(token.lstrip(_EDGES))
-        end -= len(token) - len(token.rstrip(_EDGES))
-        if start < end and not any(a < end and start < b for a, b, _ in base):
-            added.append([start, end, kind])
-    return sorted([(*s, True) for s in base] + [(*s, False) for s in added])
+        label = int(belief[n].argmax())
+        if label and label == before and i in joined:
+            added[-1][1] = tokens[i][1]
+        elif label:
+            added.append([tokens[i][0], tokens[i][1], label - 1])
+        before = label
+    out = [(*s, True) for s in base]
+    for start, end, kind in added:
+        start, end = _trimmed(text, start, end)
+        if start < end:
+            out.append((start, end, kind, False))
+    return sorted(out)
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """Without signs at the ends, other than a plus before and the brackets of what is inside."""
+    first, last = start, end
+    while start < end and not text[start].isalnum():
+        start += 1
+    while start < end and not text[end - 1].isalnum():
+        end -= 1
+    inside = text[start:end]
+    if inside.count("(") > inside.count(")") and ")" in text[end:last]:
+        end = text.index(")", end) + 1
+    elif inside.count(")") > inside.count("(") and "(" in text[first:start]:
+        start = text.rindex("(", first, start)
+    elif text[start:end] and "(" in text[first:start] and ")" in text[end:last]:
+        start, end = text.rindex("(", first, start), text.index(")", end) + 1
+    if start > first and text[start - 1] == "+":
+        start -= 1
+    return start, end
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> PiiModel:

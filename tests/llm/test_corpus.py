@@ -217,6 +217,36 @@ def test_the_random_field_labels_repetitions(spark):
     assert pii.masked(text, spans) == "Call [PHONE] now. Later we rang [PHONE] again. Of 383 others none."
 
 
+def test_the_random_field_labels_runs_of_tokens():
+    model = pii.fit([])
+    cases = {
+        "Call +1 383 555 6083 now, later 383 555 6083 again.": ["383 555 6083"],
+        "Call +1 383 555 6083 now, later (383) 555-6083 again.": ["(383) 555-6083"],
+        "Call +13835556083 now, later 001 383 555 6083 or 555-6083 again.": ["001 383 555 6083", "555-6083"],
+        "Call +1 383 555 2019 now. In 2019 there were 383 people, 1 555 others.": [],
+        "+1 383 555 6083: 383 555 6083 (555-6083)": ["383 555 6083", "(555-6083)"],
+        "Mail john.smith@x.org, as john.smith said (info@x.org has info).": ["john.smith"],
+        "Card 4111 1111 1111 1111, then 4111 1111 1111 1111 12/26.": ["4111 1111 1111 1111"],
+        "No entity: 383 555 6083": [],
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for a, b, _, base in pii.all_spans(text, model) if not base] == want, text
+    # every repetition links to the base span, however many there are
+    text = "+1 383 555 6083" + " then 383 555 6083" * 40
+    assert pii.masked(text, pii.all_spans(text, model)) == "[PHONE]" + " then [PHONE]" * 40
+
+
+def test_added_spans_leave_the_base_spans_as_they_are():
+    rng, model = random.Random(7), pii.fit([])
+    bits = ["383", "555", "6083", "+1 ", "(383)", " ", " ", "-", "/", ".", "a", "jo.do", "@x.org", "4111 1111 1111 1111", "10.0.0.1", "é", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))
+        spans = pii.all_spans(text, model)
+        base = [s[:3] for s in spans if s[3]]
+        assert base == pii.base_spans(text)
+        assert all(0 <= a < b <= len(text) and not any(c < b and a < d for c, d, _ in base) for a, b, _, own in spans if not own), text
+
+
 def test_packing_fills_bins(spark):
     rng = random.Random(4)
     lengths = [rng.randint(1, 100) for _ in range(300)] + [100, 100]
