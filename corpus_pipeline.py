@@ -15,37 +15,34 @@ from pixelloom.llm.common import saved, table
 from pixelloom.session import ship_package
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, keep) -> DataFrame:
-    """The rows of docs whose doc_id keeps; rows without doc_id have no verdict and stay.
-
-    Rows that repeat a doc_id stand or fall together.
-    """
-    gone = verdicts.filter(~keep & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that score 0.5 or more."""
+    """Without documents that score 0.5 or more; every row by its own text."""
     ship_package(spark)
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, scored, F.col("predicted") == 0)
+    return toxicity.ordinary_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only documents of quality 0.7 or more."""
+    """Only documents of quality 0.7 or more; every row by its own text."""
     ship_package(spark)
-    scored = quality.quality(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, scored, F.col("predicted") == 1)
+    return quality.good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id.
+    """Of each group of similar documents the one with the smallest doc_id, one of its rows if it has several.
 
-    Documents without shingles are in no group and stay.
+    Every row is a document, also one that repeats a doc_id or has none; the
+    latter stays only if no row of its group has an id. Documents without
+    shingles are in no group and stay.
     """
     ship_package(spark)
-    grouped = jaccard_join.classes(docs)
-    return _kept(docs, grouped, F.col("doc_id") == F.col("component_id"))
+    # written, so a row keeps its number in every pass
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    grouped = saved(jaccard_join.classes(rows.select(F.col("_row").alias("doc_id"), "text")), "classes")
+    several = grouped.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    members = grouped.join(several, "component_id").select("component_id", F.col("doc_id").alias("_row")).join(rows.select("_row", "doc_id"), "_row")
+    stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("stays")
+    gone = members.join(members.groupBy("component_id").agg(stays), "component_id").filter(F.col("_row") != F.col("stays"))
+    return rows.join(gone.select("_row"), "_row", "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

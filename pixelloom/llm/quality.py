@@ -138,23 +138,38 @@ def fit(sample: list[tuple[str, int]], shares: dict[int, float], seed: int = 7)
     return QualityModel(float(p[0][0]), p[1], p[2], center, scale, None)
 
 
+def _scores(model: QualityModel, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    if model.prior is not None:
+        return np.full(len(at) - 1, model.prior)
+    x = np.clip((features(buf, at) - model.center) / model.scale, -4, 4)
+    return sigmoid(_raw_score(x, model.bias, model.linear, model.factors).astype(float))
+
+
 def score_texts(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score: one row per row of docs(doc_id, text); null texts are empty."""
 
     def run(batches):
         for batch in batches:
             for part, buf, at in pieces(batch):
-                if model.prior is None:
-                    x = np.clip((features(buf, at) - model.center) / model.scale, -4, 4)
-                    score = sigmoid(_raw_score(x, model.bias, model.linear, model.factors).astype(float))
-                else:
-                    score = np.full(part.num_rows, model.prior)
+                score = _scores(model, buf, at)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "doc_id long, score double")
 
 
+def good_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, modulus: int = 4, held: int = 2) -> DataFrame:
+    """The rows of docs that quality() gives a score of 0.7 or more, each by its own text, with all columns."""
+    model = fit(*labelled_sample(docs, labels, "quality", rows, modulus, held))
+
+    def run(batches):
+        for batch in batches:
+            for part, buf, at in pieces(batch):
+                yield part.filter(pa.array(_scores(model, buf, at) >= 0.7))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, modulus: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.7) for every row of docs.
 

@@ -199,6 +199,18 @@ def fit(sample: list[tuple[str, int]], shares: dict[int, float]) -> ToxicityMode
     return ToxicityModel(toxic, ordinary, threshold, tuple(weights.tolist()), None)
 
 
+def _scores(scorer: _Scorer, model: ToxicityModel, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, windows and windows over the threshold of each text."""
+    gains, bounds = scorer.gains(buf, at)
+    features = _features(gains, bounds, model.threshold)
+    if model.prior is None:
+        score = sigmoid(features @ np.array(model.weights[:-1]) + model.weights[-1])
+    else:
+        score = np.full(len(at) - 1, model.prior)
+    over = np.concatenate([[0], np.cumsum(gains >= model.threshold)])[bounds]
+    return score, np.diff(bounds), np.diff(over)
+
+
 def score_texts(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score, n_windows, n_over: one row per row of docs(doc_id, text); null texts are empty."""
 
@@ -206,15 +218,9 @@ def score_texts(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         scorer = _Scorer(model.toxic, model.ordinary)
         for batch in batches:
             for part, buf, at in pieces(batch):
-                gains, bounds = scorer.gains(buf, at)
-                features = _features(gains, bounds, model.threshold)
-                if model.prior is None:
-                    score = sigmoid(features @ np.array(model.weights[:-1]) + model.weights[-1])
-                else:
-                    score = np.full(part.num_rows, model.prior)
-                over = np.concatenate([[0], np.cumsum(gains >= model.threshold)])[bounds]
+                score, windows, over = _scores(scorer, model, buf, at)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(score), pa.array(np.diff(bounds)), pa.array(np.diff(over))],
+                    [part.column(0), pa.array(score), pa.array(windows), pa.array(over)],
                     names=["doc_id", "score", "n_windows", "n_over"],
                 )
 
@@ -222,6 +228,19 @@ def score_texts(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, score double, n_windows long, n_over long")
 
 
+def ordinary_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, modulus: int = 5, held: int = 0) -> DataFrame:
+    """The rows of docs that toxicity() gives a score below 0.5, each by its own text, with all columns."""
+    model = fit(*labelled_sample(docs, labels, "toxic", rows, modulus, held))
+
+    def run(batches):
+        scorer = _Scorer(model.toxic, model.ordinary)
+        for batch in batches:
+            for part, buf, at in pieces(batch):
+                yield part.filter(pa.array(_scores(scorer, model, buf, at)[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, modulus: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted, n_windows, n_over for every row of docs.
 

@@ -301,3 +301,29 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
     assert sum(r.length for r in packed) == sum(len(r.text.encode()) + 1 for r in docs.collect())
+
+
+def test_pipeline_decides_row_by_row(spark):
+    """Rows without doc_id, or with one of another row, stand or fall by their own text."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents").persist()
+    for name, stage, operator, keeps in (
+        ("toxic", corpus_pipeline.drop_toxic, toxicity.toxicity, 0), ("quality", corpus_pipeline.keep_good, quality.quality, 1)
+    ):
+        predicted = operator(docs, table(spark, sf, "labels")).filter("not held_out")
+        gone, kept = (predicted.filter(f"predicted = {p}").orderBy("doc_id").limit(5) for p in (1 - keeps, keeps))
+        ids = {n: [r.doc_id for r in some.collect()] for n, some in (("gone", gone), ("kept", kept))}
+        text = {r.doc_id: r.text for r in docs.filter(docs.doc_id.isin(ids["gone"] + ids["kept"])).collect()}
+        free = 10**6  # has no label, so nothing is learned from these rows
+        extra = [(None, text[ids["gone"][0]], "en", "extra", 1), (None, text[ids["kept"][0]], "en", "extra", 1)]
+        extra += [(free, text[ids["gone"][1]], "en", "extra", 1), (free, text[ids["kept"][1]], "en", "extra", 1)]
+        out = stage(spark, docs.unionByName(spark.createDataFrame(extra, docs.schema)), sf).filter("source = 'extra'").collect()
+        assert sorted(((r.doc_id or 0), r.text) for r in out) == [(0, text[ids["kept"][0]]), (free, text[ids["kept"][1]])], name
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    texts = [(7, a), (7, a), (7, b), (5, a), (None, a), (None, c), (None, c), (9, ""), (9, "")]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], docs.schema)
+    out = corpus_pipeline.drop_near_duplicates(spark, rows, sf)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(7, b), (5, a), (0, c), (9, ""), (9, "")])
