@@ -59,6 +59,23 @@ def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     table gives an empty table. Shingles are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _row_classes(docs, percent, k)
+    # rows are compared by a number of their own (written, so it stays), then the rows of a doc_id are joined
+    rows = saved(docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    grouped = saved(_row_classes(rows.select(F.col("row").alias("doc_id"), "text"), percent, k), "row-classes")
+    ids = rows.filter("row is not null").select("row", "doc_id")
+    named = grouped.select(F.col("doc_id").alias("row"), "n_shingles", "component_id").join(ids, "row", "left")
+    first = ids.select(F.col("row").alias("component_id"), F.col("doc_id").alias("b"))
+    links = named.filter("row <> component_id").select(F.col("doc_id").alias("a"), "component_id").join(first, "component_id")
+    found = components(links.select("a", "b"))
+    return named.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    )
+
+
+def _row_classes(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """classes() where no doc_id is on two rows."""
     survey = saved(docs.mapInArrow(_survey(k), SURVEYED), "survey")
     common = common_shingles(survey)
     sizes = survey.filter("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("d1"), F.col("c").alias("d2"), F.col("n").alias("n_shingles"))

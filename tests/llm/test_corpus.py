@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -93,6 +94,22 @@ def test_jaccard_classes_equal_brute_force(spark, odd):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(texts)
 
 
+def test_jaccard_classes_of_repeated_ids(spark):
+    """A doc_id on two texts is one node with the links of both; repeated rows are not compared with each other's copies."""
+    rng = random.Random(6)
+    base = {x: [f"{x}{rng.randrange(10**6)}" for _ in range(60)] for x in "abc"}
+    near = {x: " ".join([*words[:-1], "other"]) for x, words in base.items()}
+    text = {x: " ".join(words) for x, words in base.items()}
+    # 9 has the set of 1 and one near 4; 8 has two texts of one size, near 2 and 3 of different groups
+    rows = [(1, text["a"]), (9, text["a"]), (9, near["b"]), (4, text["b"]), (4, text["b"]), (4, text["b"]), (8, near["c"]), (3, text["c"]),
+            (8, "x y z " * 9), (2, "x y z " * 9), (None, text["a"]), (7, ""), (7, ""), (6, text["c"] + " more")]
+    got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    group = {1: 1, 9: 1, 4: 1, 8: 2, 3: 2, 2: 2, 7: 7, 6: 2, None: None}
+    size = {"": 0, "x y z " * 9: 3, text["c"] + " more": 57}
+    want = Counter((i, size.get(t, 56), group[i]) for i, t in rows)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(500, 500 + i) for i in range(50)] + [(7, 7)]
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
