@@ -7,8 +7,9 @@ its contents. That is done with every permitted capacity as the largest to open,
 and the cheapest result is kept, so the capacities are chosen jointly.
 
 Documents longer than the largest capacity give full bins of their own and a
-remainder. The items are dealt by a hash into groups of about GROUP, which are
-packed independently: the loss is a fraction of a bin per group.
+remainder. The remainders are dealt by a hash, equal rows in turn, into groups of
+about GROUP, which are packed independently: the loss is a fraction of a bin per
+group.
 """
 
 from __future__ import annotations
@@ -91,13 +92,21 @@ def pack_documents(
     top = caps[-1]
     rows = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("length").cast("long").alias("length")).filter("length > 0")
     groups = max(1, -(-rows.count() // group))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("packing"), "doc_id", "length"), F.lit(groups)))
+    # equal rows are counted and numbered, so that they are dealt to all groups in turn
+    alike = rows.groupBy("doc_id", "length").agg(F.count(F.lit(1)).alias("n"))
+    first = alike.withColumn("first", F.explode(F.expr(f"sequence(0L, n - 1, {GROUP}L)")))
+    copies = first.withColumn("copy", F.explode(F.expr(f"sequence(first, least(n, first + {GROUP}L) - 1)"))).select("doc_id", "length", "copy")
+    part = F.pmod(F.pmod(F.xxhash64(F.lit("packing"), "doc_id", "length"), F.lit(groups)) + F.col("copy"), F.lit(groups))
     whole = F.expr(f"cast((length - 1) div {top} as int)")
     # whole pieces are bins of their own; the last piece of each row is packed
-    cut = dealt.withColumn("pieces", whole + 1).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    cut = cut.select(
-        "part", "doc_id", "piece", (F.col("piece").cast("long") * top).alias("start"),
-        F.when(F.col("piece") < F.col("pieces") - 1, F.lit(top)).otherwise(F.col("length") - F.col("piece").cast("long") * top).cast("int").alias("length"),
+    filled = copies.filter(F.col("length") > top).withColumn("piece", F.explode(F.sequence(F.lit(0), whole - 1))).select(
+        "doc_id", "piece", (F.col("piece").cast("long") * top).alias("start"), F.lit(top).cast("int").alias("length"),
+        F.concat_ws("-", F.lit("whole"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("length").cast("string"), F.col("copy").cast("string"), F.col("piece").cast("string")).alias("bin_id"),
+        F.lit(0).alias("bin_offset"), F.lit(top).cast("int").alias("capacity"),
+    )
+    cut = copies.select(
+        part.alias("part"), "doc_id", whole.alias("piece"), (whole.cast("long") * top).alias("start"),
+        (F.col("length") - whole.cast("long") * top).cast("int").alias("length"),
     )
     sorted_groups = cut.repartition("part").sortWithinPartitions("part", F.desc("length"), "doc_id", "piece")
 
@@ -127,9 +136,10 @@ def pack_documents(
                 names=["doc_id", "piece", "start", "length", "bin_id", "bin_offset", "capacity"],
             )
 
-    return sorted_groups.mapInArrow(
+    remainders = sorted_groups.mapInArrow(
         run, "doc_id long, piece int, start long, length int, bin_id string, bin_offset int, capacity int"
     )
+    return remainders.unionByName(filled)
 
 
 def text_lengths(docs: DataFrame) -> DataFrame:

@@ -282,6 +282,21 @@ def test_packing_fills_bins(spark):
         packing.pack([101], (40, 100))
 
 
+def test_packing_deals_equal_rows_to_all_groups(spark):
+    rows = spark.range(9000).selectExpr("if(id < 6000, null, if(id < 8000, 3, id)) as doc_id", "if(id < 6000, 7L, 10L) as length")
+    got = packing.pack_documents(rows.union(spark.sql("select 1L, 100000L union all select 1L, 100000L")), (40, 70, 100), 5, group=100).collect()
+    assert sum(r.doc_id is None for r in got) == 6000 and sum(r.doc_id == 3 for r in got) == 2000
+    assert sorted(r.start for r in got if r.doc_id == 1) == sorted([*range(0, 100000, 100)] * 2)
+    groups, bins = Counter(r.bin_id.split("-")[0] for r in got if not r.bin_id.startswith("whole")), {}
+    assert max(groups.values()) < 200
+    for r in got:
+        bins.setdefault((r.bin_id, r.capacity), []).append((r.bin_offset, r.length))
+    assert len(bins) == len({b for b, _ in bins})
+    for (_, capacity), own in bins.items():
+        ends = [a + n for a, n in sorted(own)]
+        assert [a for a, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= capacity
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r for r in table(spark, sf, "labels").collect()}
