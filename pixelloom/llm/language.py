@@ -148,16 +148,18 @@ def predict(model: LanguageModel, x: np.ndarray) -> tuple[list[str], np.ndarray]
 def sample_rows(docs: DataFrame, modulus: int, held: int, per_language: int) -> list[tuple[str, str]]:
     """(text, lang) of about `per_language` documents of every language outside the held-out fold.
 
-    Chosen by a seeded hash with a rate per language from counts over all rows.
+    Chosen by a seeded hash with a rate per language from counts over all ids.
     """
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held)
-    )
+    ).distinct()
     rates = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate"))
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = saved(known.join(rates, "lang").filter(draw < F.col("rate")).select("doc_id", "lang").distinct(), "languages")
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    got = rows.select(F.coalesce("text", F.lit("")).alias("text"), "lang").toArrow()
+    # one text for each id, however many rows repeat it
+    rows = rows.groupBy("doc_id", "lang").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    got = rows.orderBy("doc_id", "lang").select("text", "lang").toArrow()
     return list(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
 
 

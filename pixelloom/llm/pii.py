@@ -396,12 +396,24 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> PiiModel:
-    """Fits on at most `rows` documents, chosen by a seeded hash among those with `@` or `+`."""
-    order = F.xxhash64(F.lit("pii"), "doc_id")
-    text = F.col("text").cast("string")
-    chosen = docs.filter("doc_id is not null").filter(text.contains("@") | text.contains("+")).select("doc_id").distinct()
-    chosen = saved(chosen.orderBy(order, "doc_id").limit(rows), "pii-sample")
-    got = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("text").toArrow()
+    """Fits on at most `rows` documents, chosen by a seeded hash among those with a base span of any kind."""
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("mark", F.xxhash64("text"))
+
+    def with_spans(batches):
+        for batch in batches:
+            column = texts_of(batch.column(1))
+            some = []
+            for _, buf, at in pieces(pa.RecordBatch.from_arrays([column], names=["text"])):
+                rich = np.concatenate([[0], np.cumsum((buf == 64) | ((buf >= 48) & (buf <= 57)))])[at]
+                some += [bool(n) and bool(base_spans(buf[at[i] : at[i + 1]].tobytes().decode())) for i, n in enumerate(np.diff(rich).tolist())]
+            yield batch.filter(pa.array(some, pa.bool_())).select([0, 2])
+
+    # one text for each id, however many rows repeat it
+    chosen = texts.mapInArrow(with_spans, "doc_id long, mark long").groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    chosen = saved(chosen.orderBy(F.xxhash64(F.lit("pii"), "doc_id"), "doc_id").limit(rows), "pii-sample")
+    got = texts.join(F.broadcast(chosen), ["doc_id", "mark"]).groupBy("doc_id").agg(F.min("text").alias("text"))
+    got = got.orderBy("doc_id").select("text").toArrow()
     return fit([t for t in got.column(0).to_pylist() if t])
 
 

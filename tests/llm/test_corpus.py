@@ -309,6 +309,16 @@ def test_classifiers_on_held_out_rows(spark):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) >= 0.97
 
 
+def test_samples_hold_one_text_per_id(spark, monkeypatch):
+    rows = [(1, "mail a.b@x.org now", "en")] * 30 + [(1, "nothing", "en")] * 30 + [(2, "at 10.0.0.1", "en"), (3, "no @ data + here", "de"), (4, "4111 1111 1111 1111", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = []
+    monkeypatch.setattr(pii, "fit", lambda texts: taken.extend(texts))
+    pii.train(docs)
+    assert sorted(taken) == ["4111 1111 1111 1111", "at 10.0.0.1", "mail a.b@x.org now"]
+    assert sorted(language.sample_rows(docs, 10**6, -1, 900)) == [("4111 1111 1111 1111", "de"), ("at 10.0.0.1", "en"), ("mail a.b@x.org now", "en"), ("no @ data + here", "de")]
+
+
 def test_language_without_letters_is_und(spark, odd):
     got = {r.doc_id: r for r in language.identify(odd).collect()}
     assert got[0].lang_pred == got[1].lang_pred == got[2].lang_pred == "und" and got[3].lang_pred == "en"
