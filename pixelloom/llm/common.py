@@ -23,10 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/pixelloom/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write to a new folder in the shared checkpoint folder and read back: cuts the lineage."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/pixelloom/{name}-{uuid.uuid4().hex}"
+    path = work_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

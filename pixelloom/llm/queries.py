@@ -8,8 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, jaccard_join, language, merkle, neighbours, packing, pii, quality, sharding, toxicity
-from pixelloom.llm.common import table
+from pixelloom.llm import (
+    archive, bpe, centroids, jaccard_join, language, merkle, neighbours, packing, phrases, pii, quality, sharding, toxicity,
+)
+from pixelloom.llm.common import table, work_folder
+from pixelloom.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +80,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
+def op13_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_folder(spark, "archive")
+    archive.write_archive(table(spark, sf_dir, "pages"), path)
+    records = archive.sound(archive.read_archive(spark, path))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_neighbours, op2_toxicity, op3_fingerprints, op4_sharding, op5_jaccard_join,
-        op6_pii, op7_bpe, op8_language, op9_packing, op10_quality,
+        op6_pii, op7_bpe, op8_language, op9_packing, op10_quality, op11_phrases, op12_centroids, op13_archive,
     )
 }
