@@ -116,13 +116,15 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Row slices of a batch of about PIECE_BYTES of text and PIECE_ROWS rows at most, with bytes and offsets."""
+def pieces(
+    batch: pa.RecordBatch, text: str = "text", size: int = PIECE_BYTES, rows: int = PIECE_ROWS
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Row slices of a batch of about `size` bytes of text and `rows` rows at most, with bytes and offsets."""
     buf, at = raw(texts_of(batch.column(batch.schema.get_field_index(text))))
     first, n = 0, len(at) - 1
     while first < n:
-        last = int(np.searchsorted(at, at[first] + PIECE_BYTES, "right")) - 1
-        last = min(n, max(first + 1, last), first + PIECE_ROWS)
+        last = int(np.searchsorted(at, at[first] + size, "right")) - 1
+        last = min(n, max(first + 1, last), first + rows)
         yield batch.slice(first, last - first), buf[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
     pa.default_memory_pool().release_unused()

@@ -15,10 +15,13 @@ What keeps it bounded:
   up to FILTER_BITS in all (wrong hits cost rows, never results);
 * ranges of the stream are cut by sampled quantiles, also inside a frequent
   word; the phrases at the ends of a range are summed across ranges;
+* the CODES most frequent words are shipped as three bytes each (they only
+  shorten the rows);
 * a task holds one piece of texts or one Arrow batch of the stream.
 
-Keys are `lang 00 word 00 word 00 ...` in bytes, so that every prefix of whole
-words is a prefix of the bytes, sorts as one run and is told apart exactly.
+Keys are `lang 00 word 00 word 00 ...` in bytes, a coded word being `FF hi lo`,
+so that every prefix of whole words is a prefix of the bytes, sorts as one run
+and is told apart exactly (FF is in no UTF-8 text).
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ from pixelloom.llm.words import LOWER, span_hashes
 LONGEST = 5
 FILTER_BITS = 1 << 27
 BITMAP_BITS = 1 << 15  # of one row of Spark's bitmap aggregate
+CODES = 254 * 254  # pairs of bytes 01 .. FE
+TEXT_BYTES, TEXT_ROWS = 1 << 22, 1 << 14  # of a piece of texts
+ROWS = 1 << 16  # phrases of an Arrow batch
 
 STOP = np.zeros(256, bool)
 STOP[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -72,11 +78,11 @@ def phrase_counts(docs: DataFrame, least: int, longest: int = LONGEST) -> tuple[
     words = saved(words, "words")
     totals = words.groupBy(_parts()[0].alias("lang")).agg(F.sum("f").alias("n"))
     frequent = words.filter(F.col("f") >= least)
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(frequent))
+    shared = docs.sparkSession.sparkContext.broadcast((_bitmap(frequent), _coded(frequent)))
     stream = texts.mapInArrow(_starts(shared, longest), "key binary, f long")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = stream.repartitionByRange(partitions, "key").sortWithinPartitions("key")
-    found = ordered.mapInArrow(_runs(least, longest), "key binary, f long")
+    found = ordered.mapInArrow(_runs(shared, least, longest), "key binary, f long")
     longer = found.groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     return saved(frequent.select("key", "f").unionByName(longer), "counts"), totals
 
@@ -150,6 +156,26 @@ def _bitmap(frequent: DataFrame) -> np.ndarray:
     return out
 
 
+def _coded(frequent: DataFrame) -> list[bytes]:
+    """Keys of the most frequent words, CODES at most; the place in the list is the code."""
+    n = frequent.count()
+    if n > CODES:
+        cut = frequent.agg(F.percentile_approx("f", 1 - CODES / n, 10_000)).first()[0]
+        frequent = frequent.filter(F.col("f") > cut)
+    return sorted(bytes(r[0]) for r in frequent.select("key").limit(CODES).collect())
+
+
+def _code(i: int) -> bytes:
+    return bytes((255, 1 + i // 254, 1 + i % 254))
+
+
+def gathered(data: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans data[low : low + size] one after the other, and their offsets."""
+    offsets = np.zeros(len(low) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    return data[np.arange(offsets[-1]) + np.repeat(low - offsets[:-1], size)], offsets
+
+
 class Tokens:
     """The words of a piece of texts: exact ids by language, and which words follow each other."""
 
@@ -187,6 +213,12 @@ class Tokens:
         data, offsets = raw_bytes(self.words.take(pa.array(ids % max(1, len(self.words)))))
         return self._keyed(data, offsets[:-1], np.diff(offsets), ids // max(1, len(self.words)))
 
+    def respell(self, own: np.ndarray, spelled: list[bytes]) -> None:
+        """Write every word as the spelling of its id's index."""
+        size = np.array([len(x) for x in spelled], np.int64)
+        data = np.frombuffer(b"".join(spelled), np.uint8)
+        self.data, self.offsets = gathered(data, (np.cumsum(size) - size)[own], size[own])
+
     def phrase_keys(self, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = self.offsets[first]
         return self._keyed(self.data, low, self.offsets[first + length] - low, self.lang[first])
@@ -194,15 +226,15 @@ class Tokens:
     def _keyed(self, data, low, size, lang) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of the language and the span of each row."""
         head = np.array([len(x) for x in self.langs], np.int64)[lang] if len(lang) else np.zeros(0, np.int64)
+        spans, _ = gathered(data, low, size)
         offsets = np.zeros(len(low) + 1, np.int64)
         np.cumsum(head + size, out=offsets[1:])
         out = np.empty(offsets[-1], np.uint8)
+        inside = np.ones(len(out), bool)
         for i, name in enumerate(self.langs):
-            rows = offsets[:-1][lang == i]
-            out[rows[:, None] + np.arange(len(name))] = np.frombuffer(name, np.uint8)
-        shift = np.repeat(np.cumsum(size) - size, size)
-        inside = np.arange(size.sum()) - shift
-        out[inside + np.repeat(offsets[:-1] + head, size)] = data[inside + np.repeat(low, size)]
+            at = offsets[:-1][lang == i][:, None] + np.arange(len(name))
+            out[at], inside[at] = np.frombuffer(name, np.uint8), False
+        out[inside] = spans
         return out, offsets
 
 
@@ -220,7 +252,7 @@ def _tokens(batches):
         if (names < 2).any():
             langs = _escaped(langs)
         plain = pa.RecordBatch.from_arrays([langs, texts], names=["lang", "text"])
-        for part, buf, at in pieces(plain):
+        for part, buf, at in pieces(plain, size=TEXT_BYTES, rows=TEXT_ROWS):
             yield Tokens(part.column(0), buf, at)
 
 
@@ -247,10 +279,12 @@ def _starts(shared, longest: int):
     """The longest phrase of frequent words from each word on, if it has two, counted in each piece."""
 
     def run(batches):
-        bitmap = shared.value
+        bitmap, words = shared.value
+        codes = {key: _code(i) for i, key in enumerate(words)}
         for tokens in _tokens(batches):
             ids, own = np.unique(tokens.ids, return_inverse=True)
-            slot = _hashes(*tokens.word_keys(ids)) & (len(bitmap) * 8 - 1)
+            data, offsets = tokens.word_keys(ids)
+            slot = _hashes(data, offsets) & (len(bitmap) * 8 - 1)
             frequent = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)[own]
             reach = frequent.astype(np.int64)
             follows = tokens.joined.astype(np.int64)
@@ -259,8 +293,12 @@ def _starts(shared, longest: int):
             reach = np.minimum(reach, longest)
             first = np.flatnonzero(reach > 1)
             first, count = _distinct(own, first, reach[first])
-            data, offsets = tokens.phrase_keys(first, reach[first])
-            yield pa.RecordBatch.from_arrays([_binary(data, offsets).cast(pa.binary()), pa.array(count)], names=["key", "f"])
+            keys = _binary(data, offsets).to_pylist()
+            tokens.respell(own, [codes.get(key) or key[key.index(0) + 1 :] for key in keys])
+            for i in range(0, len(first), ROWS):
+                part = first[i : i + ROWS]
+                names = _binary(*tokens.phrase_keys(part, reach[part])).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([names, pa.array(count[i : i + ROWS])], names=["key", "f"])
 
     return run
 
@@ -277,10 +315,11 @@ def _distinct(ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[n
     return first[at], count.astype(np.int64)
 
 
-def _runs(least: int, longest: int):
+def _runs(shared, least: int, longest: int):
     """Counts of the phrases of 2 .. longest words from the sorted stream; partial ones at both ends of a range."""
 
     def run(batches):
+        words_of_codes = shared.value[1]
         held = {m: None for m in range(2, longest + 1)}  # the run that is open at the end of a batch
         opened = {m: True for m in held}  # it is the first one of the range
         for batch in batches:
@@ -289,7 +328,9 @@ def _runs(least: int, longest: int):
             keys = batch.column(0).cast(pa.large_binary())
             data, offsets = raw_bytes(keys)
             weight = batch.column(1).to_numpy()
-            zeros = np.flatnonzero(data == 0)
+            closes = data == 0
+            closes[np.flatnonzero(data == 255) + 2] = True
+            zeros = np.flatnonzero(closes)  # the last byte of each word
             before = np.searchsorted(zeros, offsets)
             words = np.diff(before) - 1
             for m in held:
@@ -304,9 +345,9 @@ def _runs(least: int, longest: int):
                 sums = np.add.reduceat(weight[rows], heads)
                 names = [bytes(data[starts[i] : ends[i]]) for i in heads[_reported(sums, least)]]
                 shown = sums[_reported(sums, least)]
-                yield from _closed(names, shown, held, opened, m, least)
+                yield from _closed(names, shown, held, opened, m, least, words_of_codes)
         last = [(name, f) for x in held.values() if x for name, f in [x]]
-        yield _pairs(last)
+        yield _pairs(last, words_of_codes)
 
     return run
 
@@ -318,7 +359,7 @@ def _reported(sums: np.ndarray, least: int) -> np.ndarray:
     return np.flatnonzero(own)
 
 
-def _closed(names: list[bytes], sums: np.ndarray, held: dict, opened: dict, m: int, least: int):
+def _closed(names: list[bytes], sums: np.ndarray, held: dict, opened: dict, m: int, least: int, words: list[bytes]):
     """Rows of the runs that end within the batch; the last one stays open."""
     sums = [int(x) for x in sums]
     out = []
@@ -333,12 +374,22 @@ def _closed(names: list[bytes], sums: np.ndarray, held: dict, opened: dict, m: i
     if out:
         opened[m] = False
     if kept:
-        yield _pairs(kept)
+        yield _pairs(kept, words)
+
+
+def _spelled(key: bytes, words: list[bytes]) -> bytes:
+    """The key with its coded words written out."""
+    head, *rest = key.split(b"\xff")
+    out = [head]
+    for part in rest:
+        word = words[(part[0] - 1) * 254 + part[1] - 1]
+        out += [word[word.index(0) + 1 :], part[2:]]
+    return b"".join(out)
 
 
-def _pairs(rows: list[tuple[bytes, int]]) -> pa.RecordBatch:
+def _pairs(rows: list[tuple[bytes, int]], words: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([k for k, _ in rows], pa.binary()), pa.array([f for _, f in rows], pa.int64())], names=["key", "f"]
+        [pa.array([_spelled(k, words) for k, _ in rows], pa.binary()), pa.array([f for _, f in rows], pa.int64())], names=["key", "f"]
     )
 
 

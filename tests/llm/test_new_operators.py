@@ -80,7 +80,7 @@ def test_phrase_runs_across_batches_and_ranges(spark):
 
 def test_phrases_whose_filter_lets_everything_pass(spark, monkeypatch):
     rows = [(f"one two w{i} three four", "en") for i in range(60)]
-    monkeypatch.setattr(phrases, "FILTER_BITS", 1)
+    monkeypatch.setattr(phrases, "CODES", 2)  # some words coded, some spelled out
     full = phrases.np.full(4096, 255, phrases.np.uint8)
     monkeypatch.setattr(phrases, "_bitmap", lambda frequent: full)
     got = phrases.collocations(docs_of(spark, rows), least=5)
@@ -91,6 +91,7 @@ def test_phrases_of_a_long_text_and_of_nothing(spark):
     draw = random.Random(5)
     long = " ".join(draw.choice("abcdefghij") * 9 for _ in range(130_000))  # over one piece of text
     assert len(long) > 1 << 20
+    long = long * 4
     rows = [(long, "en"), ("aaaaaaaaa bbbbbbbbb", None)]
     assert sorted(tuple(r) for r in phrases.collocations(docs_of(spark, rows), least=100, top=50).collect()) == brute_phrases(rows, 100, 50)
     assert phrases.collocations(docs_of(spark, []).limit(0)).collect() == []
