@@ -39,7 +39,7 @@ LONGEST = 5
 FILTER_BITS = 1 << 27
 BITMAP_BITS = 1 << 15  # of one row of Spark's bitmap aggregate
 CODES = 254 * 254  # pairs of bytes 01 .. FE
-TEXT_BYTES, TEXT_ROWS = 1 << 22, 1 << 14  # of a piece of texts
+TEXT_BYTES, TEXT_ROWS = 1 << 21, 1 << 13  # of a piece of texts
 ROWS = 1 << 16  # phrases of an Arrow batch
 
 STOP = np.zeros(256, bool)
@@ -208,6 +208,7 @@ class Tokens:
         self.words = shared.dictionary
         # one id per language and word, compared by their bytes
         self.ids = self.lang * len(self.words) + shared.indices.to_numpy()
+        self.span = len(self.langs) * len(self.words)
 
     def word_keys(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = raw_bytes(self.words.take(pa.array(ids % max(1, len(self.words)))))
@@ -267,7 +268,8 @@ def _hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _words(batches):
     """Counts of the words of each piece."""
     for tokens in _tokens(batches):
-        ids, count = np.unique(tokens.ids, return_counts=True)
+        ids, own = _dense(tokens.ids, tokens.span)
+        count = np.bincount(own, minlength=len(ids))
         data, offsets = tokens.word_keys(ids)
         yield pa.RecordBatch.from_arrays(
             [_binary(data, offsets).cast(pa.binary()), pa.array(_hashes(data, offsets)), pa.array(count.astype(np.int64))],
@@ -282,7 +284,7 @@ def _starts(shared, longest: int):
         bitmap, words = shared.value
         codes = {key: _code(i) for i, key in enumerate(words)}
         for tokens in _tokens(batches):
-            ids, own = np.unique(tokens.ids, return_inverse=True)
+            ids, own = _dense(tokens.ids, tokens.span)
             data, offsets = tokens.word_keys(ids)
             slot = _hashes(data, offsets) & (len(bitmap) * 8 - 1)
             frequent = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)[own]
@@ -305,16 +307,32 @@ def _starts(shared, longest: int):
 
 def _distinct(ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One start of each different phrase and its count; phrases are compared by their word ids."""
-    base = int(ids.max(initial=0)) + 2
-    key = ids[first] + 1 if len(first) else np.zeros(0, np.int64)
-    for i in range(1, LONGEST):
-        within = length > i
-        own = np.where(within, ids[np.minimum(first + i, len(ids) - 1)] + 1, 0) if len(first) else key
-        _, key = np.unique(key * base + own, return_inverse=True)
+    if not len(first):
+        return first, np.zeros(0, np.int64)
+    base = int(ids.max()) + 2
+    if base * len(first) >= 1 << 62:
+        raise ValueError("too many words in one text")
+    key, span = np.zeros(len(first), np.int64), 1
+    for i in range(int(length.max())):
+        if span * base >= 1 << 62:  # as many words in one number as fit
+            found, key = np.unique(key, return_inverse=True)
+            span = len(found)
+        key = key * base + np.where(length > i, ids[np.minimum(first + i, len(ids) - 1)] + 1, 0)
+        span *= base
     _, at, count = np.unique(key, return_index=True, return_counts=True)
     return first[at], count.astype(np.int64)
 
 
+def _dense(ids: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order, and the index of each id among them."""
+    if span > 8 * len(ids):
+        return np.unique(ids, return_inverse=True)
+    found = np.flatnonzero(np.bincount(ids, minlength=span))
+    index = np.zeros(span, np.int64)
+    index[found] = np.arange(len(found))
+    return found, index[ids]
+
+
 def _runs(shared, least: int, longest: int):
     """Counts of the phrases of 2 .. longest words from the sorted stream; partial ones at both ends of a range."""
 
