@@ -65,10 +65,13 @@ def latest_status(events: DataFrame, tie: str = "event_id") -> DataFrame:
     )
 
 
-def job_outcomes(events: DataFrame, seconds: int = TIMEOUT_SECONDS, tie: str = "event_id") -> DataFrame:
+def job_outcomes(
+    events: DataFrame, seconds: int = TIMEOUT_SECONDS, tie: str = "event_id", delay: int = 0
+) -> DataFrame:
     """Per run: done, error or timeout, from its first event and its first terminal one.
 
-    Runs that are still inside their time at the last event of the table are
+    Decided are the runs whose first terminal event or deadline lies at or
+    before the last event of the table less ``delay`` seconds; the others are
     left out. Aggregates only.
     """
     terminal = F.col("status").isin(*TERMINAL)
@@ -79,14 +82,16 @@ def job_outcomes(events: DataFrame, seconds: int = TIMEOUT_SECONDS, tie: str = "
             F.when(terminal, F.struct("ts", tie)),
         ).alias("end"),
     )
-    now = events.agg(F.max("ts").alias("now")).scalar()
+    now = events.agg((F.max("ts") - F.make_dt_interval(secs=F.lit(delay))).alias("now")).scalar()
     deadline = F.col("submitted") + F.make_dt_interval(secs=F.lit(seconds))
+    ended = F.col("end.ts") <= F.least("deadline", "now")
     return (
         runs.withColumns({"deadline": deadline, "now": now})
         .withColumn(
             "outcome",
-            F.when(F.col("end.ts") <= F.col("deadline"), F.col("end.status")).when(
-                F.coalesce(F.col("end.ts"), F.col("now")) >= F.col("deadline"), F.lit("timeout")
+            F.when(ended, F.col("end.status")).when(
+                (F.col("deadline") <= F.col("now")) & (F.col("end.ts").isNull() | (F.col("end.ts") > F.col("deadline"))),
+                F.lit("timeout"),
             ),
         )
         .filter(F.col("outcome").isNotNull())

@@ -758,11 +758,9 @@ def _finish(query_) -> None:
 def streamed_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workplace(spark, "status")
     events = inputs.as_run_events(inputs.event_stream(spark, sf_dir))
-    _finish(
-        generation.start_update_sink(
-            run_streams.stream_status(events), f"{folder}/rows", f"{folder}/checkpoint"
-        )
-    )
+    status = run_streams.stream_status(events, delay=f"{STREAM_DELAY} seconds")
+    with run_streams.rocksdb(spark):
+        _finish(generation.start_update_sink(status, f"{folder}/rows", f"{folder}/checkpoint"))
     rows = generation.latest_updates(spark.read.parquet(f"{folder}/rows"), "run_id")
     return _status_rows(rows)
 
@@ -772,21 +770,40 @@ def job_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.job_outcomes(inputs.run_events(spark, sf_dir)).select("run_id", "outcome")
 
 
+STREAM_DELAY = 3600  # seconds
+
+
+def _streamed_outcomes(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The events as they arrive, up to two hours out of order, in four deliveries.
+
+    The stream stops after each delivery and goes on from its checkpoint.
+    """
+    folder = workplace(spark, "timeouts")
+    arrived = inputs.as_arrivals(inputs.run_events(spark, sf_dir)).persist()
+    schema = arrived.drop("delivery").schema
+    try:
+        for n in range(inputs.DELIVERIES):
+            arrived.filter(F.col("delivery") == n).drop("delivery").write.parquet(f"{folder}/in/{n}")
+            stream = spark.readStream.schema(schema).parquet(f"{folder}/in/*")
+            _finish(
+                run_streams.start_timeouts(
+                    stream, f"{folder}/rows", f"{folder}/checkpoint", f"{STREAM_DELAY} seconds", keep=365 * 24 * 3600
+                )
+            )
+    finally:
+        arrived.unpersist()
+    return run_streams.written(spark, f"{folder}/rows", kind)
+
+
 @query
 def streamed_job_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = workplace(spark, "timeouts")
-    events = run_streams.as_event_stream(inputs.as_run_events(inputs.event_stream(spark, sf_dir)))
-    outcomes = run_streams.stream_timeouts(events, delay="0 seconds")
-    _finish(
-        outcomes.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{folder}/rows")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    rows = spark.read.schema(run_streams.OUTCOME_SCHEMA).parquet(f"{folder}/rows")
-    return rows.select("run_id", "outcome")
+    rows = _streamed_outcomes(spark, sf_dir, run_streams.OUTCOME)
+    return rows.select("run_id", F.col("status").alias("outcome"))
+
+
+@query
+def late_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed_outcomes(spark, sf_dir, run_streams.LATE).select("run_id", "event_id", "status")
 
 
 @query

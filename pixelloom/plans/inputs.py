@@ -134,6 +134,15 @@ def as_run_events(events: DataFrame) -> DataFrame:
     )
 
 
+DELIVERIES = 4
+
+
+def as_arrivals(events: DataFrame) -> DataFrame:
+    """Run events with the delivery they come in: up to two hours late, in weeks of eight days."""
+    lag = F.make_dt_interval(secs=(F.col("event_id") * 7919) % 7200)
+    return events.withColumn("delivery", idiv(F.dayofmonth(F.col("ts") + lag), 8).cast("int"))
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream; the table may be one file or a folder of part files."""
     schema = table(spark, sf_dir, "events").schema

@@ -311,6 +311,20 @@ FROM (SELECT run_id, min(ts) AS submitted, min(ts) FILTER (status IN ('done', 'e
 arg_min(status, ts) FILTER (status IN ('done', 'error')) AS end_status, (SELECT max(ts) FROM runs) AS now
 FROM runs GROUP BY run_id)) WHERE outcome IS NOT NULL"""
 
+# Events by delivery; late is what lies an hour or more behind the newest event of earlier deliveries.
+ARRIVALS = f"""SELECT r.*, ts > w IS NOT FALSE AS in_time FROM (
+SELECT *, day(ts + to_seconds(event_id * 7919 % 7200)) // 8 AS delivery FROM ({RUNS})) r JOIN (
+SELECT delivery, date_trunc('millisecond', max(max(ts)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+- INTERVAL 1 HOUR AS w FROM (SELECT *, day(ts + to_seconds(event_id * 7919 % 7200)) // 8 AS delivery FROM ({RUNS})) GROUP BY delivery
+) d USING (delivery)"""
+
+STREAMED_OUTCOMES = """SELECT run_id, outcome FROM (SELECT run_id, CASE WHEN end_ts <= least(submitted + INTERVAL 600 SECOND, now) THEN end_status
+WHEN submitted + INTERVAL 600 SECOND <= now AND coalesce(end_ts > submitted + INTERVAL 600 SECOND, true) THEN 'timeout' END AS outcome
+FROM (SELECT run_id, min(ts) AS submitted, min(ts) FILTER (status IN ('done', 'error')) AS end_ts,
+arg_min(status, ts) FILTER (status IN ('done', 'error')) AS end_status,
+(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM runs) AS now
+FROM runs WHERE in_time GROUP BY run_id)) WHERE outcome IS NOT NULL"""
+
 REQUESTS = """SELECT CAST(event_id AS VARCHAR) AS request_id,
 CASE WHEN event_type IN ('view', 'click') THEN 'text2img' WHEN event_type = 'purchase' THEN 'img2img'
 WHEN event_type = 'signup' THEN 'text2vid' ELSE 'img2vid' END AS op,
@@ -723,7 +737,8 @@ def build() -> dict[str, str]:
     # Streaming
     out["streamed_run_status"] = out["latest_run_status"]
     out["job_timeouts"] = f"WITH runs AS ({RUNS}) {OUTCOMES}"
-    out["streamed_job_timeouts"] = out["job_timeouts"]
+    out["streamed_job_timeouts"] = f"WITH runs AS ({ARRIVALS}) {STREAMED_OUTCOMES}"
+    out["late_run_events"] = f"SELECT run_id, event_id, status FROM ({ARRIVALS}) WHERE NOT in_time"
 
     def streamed(s: Sql) -> None:
         source = f"SELECT request_id AS image_id, prompt, seed FROM ({REQUESTS}) JOIN ({ROUTES}) USING (model_id, op)"

@@ -1,117 +1,210 @@
-"""Run events as a stream: live status and job timeouts."""
+"""Run events as a stream: live status and job timeouts, with late events given back.
+
+Both operators keep their own state and event-time timers. The time column that
+carries the watermark is not the one the processors read, so Spark removes no
+row as late: a processor sees every event, compares it with the watermark and
+gives a late one back as a row of its own.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from pixelloom.operators.runs import TERMINAL, TIMEOUT_SECONDS, latest_status
+from pixelloom.operators.runs import TERMINAL, TIMEOUT_SECONDS, latest_status, status_columns
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MICROS = 1_000_000
+# The outputs of a stream of runs.
+OUTCOME, LATE = "outcome", "late"
 
-def stream_status(events: DataFrame) -> DataFrame:
-    """The latest status of each run, as a streaming aggregate (update or complete mode).
+RESULT_SCHEMA = "kind string, run_id string, event_id long, at long, status string"
+STATUS_SCHEMA = (
+    "run_id string, event_id long, at long, status string, progress double, message string, error string"
+)
 
-    The same plan as the batch operator: ``max_by`` keeps one row of state per
-    run, and events may arrive in any order.
-    """
-    return latest_status(events)
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State of several columns and timers need this store; the session's own choice comes back."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
-OUTCOME_SCHEMA = "run_id string, submitted timestamp, outcome string"
-STATE_SCHEMA = "submitted timestamp, closed boolean"
 
+class _Timed(StatefulProcessor):
+    """One event-time timer per run; times are microseconds, timers whole milliseconds."""
 
-def _essential(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per Arrow batch and run: the first event, the first terminal one and the last one.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("run", self.schema)
 
-    The outcome and the watermark depend on no other event, so a hot run reaches
-    its state task with three rows per batch of events.
-    """
-    for frame in frames:
-        frame = frame.reset_index(drop=True)
-        by_run = frame.groupby("run_id")["ts"]
-        ends = frame[frame["status"].isin(TERMINAL)].groupby("run_id")["ts"].idxmin()
-        kept = pd.concat([by_run.idxmin(), by_run.idxmax(), ends]).unique()
-        yield frame.loc[kept]
+    def get(self) -> tuple | None:
+        return tuple(self.state.get()) if self.state.exists() else None
 
+    def wake(self, at: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-at // 1000))
 
-def stream_timeouts(
-    events: DataFrame, delay: str, seconds: int = TIMEOUT_SECONDS
-) -> DataFrame:
-    """done, error or timeout per run, once: ``events`` is (run_id, ts timestamp, status).
-
-    ``delay`` is how late an event may come: Spark drops what is older than the
-    watermark, so it must cover the disorder of the source. State per run is its submission time; an event-time timer fires when the
-    watermark passes the deadline. Only later events move the watermark, so a
-    run at the very end of the stream stays open. A closed run keeps its mark
-    until the watermark is another ``seconds`` past the deadline, then its
-    state is dropped.
-    """
-    span = pd.Timedelta(seconds=seconds)
-
-    def step(
-        key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        def outcome(submitted: pd.Timestamp, result: str) -> pd.DataFrame:
-            return pd.DataFrame(
-                {"run_id": [key[0]], "submitted": [submitted], "outcome": [result]}
-            )
-
-        def close(submitted: pd.Timestamp) -> None:
-            state.update((submitted.to_pydatetime(), True))
-            until = int((submitted + 2 * span).timestamp() * 1000)
-            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1000 * seconds))
-
-        submitted, closed = None, False
-        if state.exists:
-            submitted, closed = pd.Timestamp(state.get[0]), state.get[1]
-        if state.hasTimedOut:
-            if closed:
-                state.remove()
-            else:
-                close(submitted)
-                yield outcome(submitted, "timeout")
-            return
-        # Bounded: the first event, and the first terminal one, of each Arrow batch.
-        first_end: tuple[pd.Timestamp, str] | None = None
-        first = submitted
-        for frame in frames:
-            if closed:
+    def close(self) -> None:
+        pass
+
+
+class _Outcomes(_Timed):
+    """submitted: first event; ended, tie, status: first terminal event; closed: the outcome is given."""
+
+    schema = "submitted long, ended long, tie long, status string, closed boolean"
+
+    def __init__(self, seconds: int, keep: int):
+        self.span, self.keep = seconds * MICROS, keep * MICROS
+
+    def handleInputRows(self, key, rows, timerValues):
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        submitted, ended, tie, status, closed = self.get() or (None, None, None, None, False)
+        for frame in rows:
+            late = frame["at"] <= watermark if watermark > 0 else pd.Series(False, frame.index)
+            if late.any():
+                yield frame[late].assign(kind=LATE)[["kind", "run_id", "event_id", "at", "status"]]
+            frame = frame[~late]
+            if closed or not len(frame):
                 continue
-            low = frame["ts"].min()
-            first = low if first is None else min(first, low)
+            low = int(frame["at"].min())
+            submitted = low if submitted is None else min(low, submitted)
             ends = frame[frame["status"].isin(TERMINAL)]
             if len(ends):
-                row = ends.loc[ends["ts"].idxmin()]
-                if first_end is None or row["ts"] < first_end[0]:
-                    first_end = (row["ts"], row["status"])
-        if closed or first is None:
-            return
-        if first_end is not None:
-            close(first)
-            in_time = first_end[0] <= first + span
-            yield outcome(first, first_end[1] if in_time else "timeout")
+                first = ends.sort_values(["at", "event_id"]).iloc[0]
+                end = (int(first["at"]), int(first["event_id"]), first["status"])
+                if ended is None or end[:2] < (ended, tie):
+                    ended, tie, status = end
+        if submitted is not None and not closed:
+            self.state.update((submitted, ended, tie, status, closed))
+            self.wake(min(x for x in (ended, submitted + self.span) if x is not None))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        submitted, ended, tie, status, closed = self.get()
+        if closed:  # nothing came for so long that the mark can go
+            self.state.clear()
             return
-        state.update((first.to_pydatetime(), False))
-        deadline = int((first + span).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-
-    return (
-        events.select("run_id", "ts", "status")
-        .mapInPandas(_essential, "run_id string, ts timestamp, status string")
-        .withWatermark("ts", delay)
-        .groupBy("run_id")
-        .applyInPandasWithState(
-            step, OUTCOME_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
+        in_time = ended is not None and ended <= submitted + self.span
+        self.state.update((submitted, ended, tie, status, True))
+        self.wake(max(timerValues.getCurrentWatermarkInMs() * 1000, submitted) + self.keep)
+        yield pd.DataFrame(
+            {"kind": [OUTCOME], "run_id": [key[0]], "event_id": pd.array([tie if in_time else None], "Int64"),
+             "at": [submitted], "status": [status if in_time else "timeout"]}
         )
+
+
+def _marked(events: DataFrame, delay: str, columns: list[str]) -> DataFrame:
+    """The watermark follows ts; the processors read `at`, microseconds, which carries no mark."""
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return stamped.select("run_id", F.unix_micros("ts").alias("at"), *columns)
+
+
+def stream_timeouts(
+    events: DataFrame, delay: str, seconds: int = TIMEOUT_SECONDS, keep: int = 30 * 24 * 3600
+) -> DataFrame:
+    """kind, run_id, event_id, at, status: one ``outcome`` per run, and every ``late`` event.
+
+    ``events`` is (run_id, event_id, ts, status); a null ts or run_id is late.
+    An outcome is given when the watermark (the newest time seen, less ``delay``)
+    has passed the first terminal event or the deadline: no event that could
+    change it is still to come. So files in any order give the outcomes of
+    ``operators.runs.job_outcomes`` over the events that were not late. ``at`` is
+    the submission of an outcome and the time of a late event, in microseconds.
+
+    Only later events move the watermark, so runs at the end of the stream stay
+    open. A closed run keeps a mark of one row until the watermark is ``keep``
+    seconds further; ids must not come back after that. Events of one run reach
+    one state task, in Arrow batches.
+
+    Needs the RocksDB state store (``rocksdb``) where the query is started.
+    """
+    rows = _marked(events, delay, ["event_id", "status"])
+    return rows.groupBy("run_id").transformWithStateInPandas(
+        _Outcomes(seconds, keep), RESULT_SCHEMA, "append", "EventTime"
     )
 
 
-def as_event_stream(events: DataFrame) -> DataFrame:
-    """Zone-less event times as session timestamps, which watermarks need."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+def start_timeouts(
+    events: DataFrame, path: str, checkpoint: str, delay: str, seconds: int = TIMEOUT_SECONDS,
+    keep: int = 30 * 24 * 3600, trigger: dict[str, Any] | None = None,
+) -> StreamingQuery:
+    """Write the outcomes and the late events to ``path``, in folders by kind."""
+    with rocksdb(events.sparkSession):
+        return (
+            stream_timeouts(events, delay, seconds, keep)
+            .writeStream.outputMode("append").format("parquet").partitionBy("kind")
+            .option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start()
+        )
+
+
+def written(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """run_id, event_id, at timestamp, status of one kind of output of ``start_timeouts``."""
+    rows = spark.read.schema(RESULT_SCHEMA).parquet(path).filter(F.col("kind") == kind)
+    return rows.select("run_id", "event_id", F.timestamp_micros("at").alias("at"), "status")
+
+
+class _Status(_Timed):
+    """The newest event of the run."""
+
+    schema = "at long, tie long"
+
+    def __init__(self, keep: int):
+        self.keep = keep * MICROS
+
+    def handleInputRows(self, key, rows, timerValues):
+        known, newest = self.get(), None
+        for frame in rows:
+            row = frame.sort_values(["at", "event_id"]).iloc[-1]
+            if newest is None or (row["at"], row["event_id"]) > (newest["at"], newest["event_id"]):
+                newest = row
+        if newest is None or (known and (newest["at"], newest["event_id"]) <= known):
+            return
+        self.state.update((int(newest["at"]), int(newest["event_id"])))
+        self.wake(max(int(newest["at"]) + self.keep, timerValues.getCurrentWatermarkInMs() * 1000 + 1000))
+        yield newest.to_frame().T
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        return iter(())
+
+
+def _newest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last event of each run in an Arrow batch: all that a hot run sends to its state task."""
+    for frame in frames:
+        yield frame.sort_values(["at", "event_id"]).drop_duplicates("run_id", keep="last")
+
+
+def stream_status(events: DataFrame, delay: str | None = None, keep: int = 24 * 3600) -> DataFrame:
+    """The newest status of each run, whenever it changes (update mode).
+
+    Without ``delay`` it is the aggregate of ``operators.runs.latest_status``,
+    which keeps a row of state per run for ever. With ``delay`` a run leaves the
+    state when the watermark is ``keep`` seconds past its newest event; events of
+    a run that come later than that begin it anew. Needs the RocksDB state store
+    (``rocksdb``) then. Events may come in any order.
+    """
+    if delay is None:
+        return latest_status(events)
+    rows = status_columns(_marked(events, delay, ["event_id", "status", "progress", "message"])).select(
+        "run_id", "event_id", "at", "status", "progress", "message", "error"
+    )
+    changed = rows.mapInPandas(_newest, STATUS_SCHEMA).groupBy("run_id").transformWithStateInPandas(
+        _Status(keep), STATUS_SCHEMA, "update", "EventTime"
+    )
+    return changed.select(
+        "run_id", F.timestamp_micros("at").alias("ts"), "status", "progress", "message", "error",
+        F.col("status").isin(*TERMINAL).alias("terminal"),
+    )

@@ -57,24 +57,68 @@ def test_status_stream_equals_batch(spark, tmp_path):
     assert want.filter("run_id = 'fail'").first().error == "m6"
 
 
-def outcomes(spark, path, size, tmp):
-    write_files(spark, path, ROWS, size)
-    sink = str(tmp / f"out{size}")
-    (
-        run_streams.stream_timeouts(stream_of(spark, path), delay="0 seconds")
-        .writeStream.outputMode("append").format("parquet").option("path", sink)
-        .option("checkpointLocation", str(tmp / f"cp{size}")).trigger(availableNow=True).start().awaitTermination()
-    )
-    rows = spark.read.schema(run_streams.OUTCOME_SCHEMA).parquet(sink).collect()
-    assert len({r.run_id for r in rows}) == len(rows), "one outcome per run"
-    return {r.run_id: r.outcome for r in rows}
+def drain(spark, path, size, tmp, rows, delay):
+    """Files of `size` events, one per micro-batch: (outcomes, late event ids, events of no output)."""
+    write_files(spark, path, rows, size)
+    sink = str(tmp / f"out-{path.name}")
+    run_streams.start_timeouts(stream_of(spark, path), sink, str(tmp / f"cp-{path.name}"), delay).awaitTermination()
+    done = run_streams.written(spark, sink, run_streams.OUTCOME).collect()
+    assert len({r.run_id for r in done}) == len(done), "one outcome per run"
+    late = run_streams.written(spark, sink, run_streams.LATE).collect()
+    assert len({r.event_id for r in late}) == len(late)
+    return {r.run_id: (r.at, r.status) for r in done}, {r.event_id for r in late}
+
+
+def batch_outcomes(spark, rows, late=(), delay=0):
+    kept = spark.createDataFrame([r for r in rows if r[0] not in late], SCHEMA)
+    return {r.run_id: (r.submitted, r.outcome) for r in runs.job_outcomes(kept, delay=delay).collect()}
 
 
 def test_timeouts_in_one_or_many_batches_equal_batch(spark, tmp_path):
-    want = {r.run_id: r.outcome for r in runs.job_outcomes(spark.createDataFrame(ROWS, SCHEMA)).collect()}
-    assert want == {"fast": "done", "slow": "timeout", "fail": "error", "late": "timeout", "edge": "done"}
-    assert outcomes(spark, tmp_path / "a", len(ROWS), tmp_path) == want
-    assert outcomes(spark, tmp_path / "b", 2, tmp_path) == want
+    want = batch_outcomes(spark, ROWS)
+    assert {k: v[1] for k, v in want.items()} == {"fast": "done", "slow": "timeout", "fail": "error", "late": "timeout", "edge": "done"}
+    assert drain(spark, tmp_path / "a", len(ROWS), tmp_path, ROWS, "0 seconds") == (want, set())
+    assert drain(spark, tmp_path / "b", 2, tmp_path, ROWS, "0 seconds") == (want, set())
+
+
+def test_files_out_of_order_give_the_batch_outcomes_and_the_late_events(spark, tmp_path):
+    import random
+
+    draw = random.Random(8)
+    rows = events(*[
+        (f"r{draw.randint(0, 12)}", second, draw.choice(["queued", "running", "running", "done", "error"]))
+        for second in sorted(draw.sample(range(1, 4000), 70))
+    ])
+    shuffled = sorted(rows, key=lambda r: r[2] + timedelta(seconds=draw.randint(0, 500)))
+    got, late = drain(spark, tmp_path / "wide", 9, tmp_path, shuffled, "600 seconds")
+    assert late == set() and got == batch_outcomes(spark, rows, delay=600)
+    got, late = drain(spark, tmp_path / "narrow", 9, tmp_path, shuffled, "60 seconds")
+    # an event is late when it is at or behind the watermark of the files before its own
+    expected = {
+        r[0] for i, r in enumerate(shuffled)
+        if i >= 9 and r[2] <= max(x[2] for x in shuffled[: i // 9 * 9]) - timedelta(seconds=60)
+    }
+    assert late == expected and late
+    assert got == batch_outcomes(spark, rows, late, delay=60)
+
+
+def test_status_state_ends(spark, tmp_path):
+    rows = events(*[(f"r{i // 3}", 100 * i, ("queued", "running", "done")[i % 3]) for i in range(60)])
+    write_files(spark, tmp_path / "in", rows, 6)
+    with run_streams.rocksdb(spark):
+        query = generation.start_update_sink(
+            run_streams.stream_status(stream_of(spark, tmp_path / "in"), delay="10 seconds", keep=900),
+            str(tmp_path / "out"), str(tmp_path / "cp"),
+        )
+        query.awaitTermination()
+    states = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    got = generation.latest_updates(spark.read.parquet(str(tmp_path / "out")), "run_id")
+    want = runs.latest_status(spark.createDataFrame(rows, SCHEMA))
+    assert {tuple(r) for r in got.select(want.columns).collect()} == {tuple(r) for r in want.collect()}
+    kept = spark.read.format("statestore").load(str(tmp_path / "cp"), stateVarName="run")
+    # 20 runs went by; only those of the last 900 seconds are held
+    assert 0 < kept.count() <= 6, kept.count()
+    assert len(states) >= 10
 
 
 def test_sprite_stream_routes_and_stores(spark, tmp_path):
