@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.columns import luma1000, prompt_rgb, truncate_u8
+from pixelloom.model import PIXEL
+from pixelloom.operators.strips import from_strips, to_strips
 
 OPAQUE = 128  # fixed value: alpha from which a pixel counts as content
 
@@ -67,14 +69,14 @@ def tint_columns(prompt: Column) -> dict[str, Column]:
 def retint(pixels: DataFrame, prompts: DataFrame) -> DataFrame:
     """Tint every image by the prompt that ``prompts(image_id, prompt)`` gives it.
 
-    Images without a prompt take the empty prompt. The join is on the image:
-    Catalyst broadcasts the prompts when they are small, and AQE splits a hot
-    image otherwise.
+    Images without a prompt take the empty prompt. The join is on the image and
+    moves strips of packed pixels.
     """
     # The join key is unique per image on the prompt side; hashing happens there.
     tints = prompts.select("image_id", *[c.alias(n) for n, c in tint_columns(F.col("prompt")).items()])
     empty = tint_columns(F.lit(""))
-    joined = pixels.join(tints, "image_id", "left")
-    return joined.withColumns(
+    names = [f"tint_{c}" for c in "rgb"]
+    rows = from_strips(to_strips(pixels.select(*PIXEL)).join(tints, "image_id", "left"), *names)
+    return rows.withColumns(
         {c: truncate_u8(F.col(c) * F.coalesce(F.col(f"tint_{c}"), empty[f"tint_{c}"])) for c in "rgb"}
-    ).drop(*[f"tint_{c}" for c in "rgb"])
+    ).drop(*names)

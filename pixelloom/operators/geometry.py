@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions.columns import cells, col, floor_half
 from pixelloom.model import PIXEL, with_meta
 from pixelloom.operators.channels import OPAQUE
+from pixelloom.operators.strips import from_strips, rows_between, to_strips
 
 BOUNDS = ("x0", "y0", "x1", "y1")
 
@@ -29,15 +30,6 @@ def alpha_bbox(pixels: DataFrame, threshold: int = OPAQUE) -> DataFrame:
     )
 
 
-def _per_image(pixels: DataFrame, facts: DataFrame) -> DataFrame:
-    """Attach per-image facts to pixels.
-
-    A plain equi-join: Catalyst broadcasts the facts below the configured size,
-    and AQE splits the pixels of a hot image above it.
-    """
-    return pixels.join(facts, "image_id")
-
-
 def crop_to_content(pixels: DataFrame, threshold: int = OPAQUE, padding: int = 0) -> DataFrame:
     """Keep the content bounds, moved to 0,0, with a transparent ring of ``padding``.
 
@@ -48,15 +40,13 @@ def crop_to_content(pixels: DataFrame, threshold: int = OPAQUE, padding: int = 0
     found = F.col("x0").isNotNull()
     new_w = F.when(found, F.col("x1") - F.col("x0") + 2 * padding).otherwise(F.col("width"))
     new_h = F.when(found, F.col("y1") - F.col("y0") + 2 * padding).otherwise(F.col("height"))
+    low = F.coalesce(F.col("y0"), F.lit(0))
+    high = F.coalesce(F.col("y1"), F.col("height"))
+    # strips of packed pixels meet the bounds; their scanlines outside are cut off before they are unpacked
+    strips = rows_between(to_strips(pixels.select(*PIXEL)).join(bounds, "image_id"), low, high)
     kept = (
-        _per_image(pixels, bounds)
-        .filter(
-            ~found
-            | (
-                (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
-                & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-            )
-        )
+        from_strips(strips, *BOUNDS)
+        .filter(~found | ((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))))
         .select(
             "image_id",
             new_w.alias("width"),
@@ -202,13 +192,11 @@ def center_align(
     """Place the content of every image on a fixed transparent canvas."""
     w, h = max(1, int(width)), max(1, int(height))
     placed = alignment(pixels, w, h, anchor)
-    inside = (
-        (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
-        & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-    )
+    facts = placed.select("image_id", *BOUNDS, "ox", "oy")
+    strips = rows_between(to_strips(pixels.select(*PIXEL)).join(facts, "image_id"), F.col("y0"), F.col("y1"))
     content = (
-        _per_image(pixels, placed.select("image_id", *BOUNDS, "ox", "oy"))
-        .filter(inside)
+        from_strips(strips, *BOUNDS, "ox", "oy")
+        .filter((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
         .withColumns({"x": F.col("x") - F.col("x0"), "y": F.col("y") - F.col("y0")})
     )
     fill = placed.select(

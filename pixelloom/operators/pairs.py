@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.model import NORMAL, PIXEL
+from pixelloom.model import NORMAL, PIXEL, SIZE
+from pixelloom.operators.strips import from_strips, packed_normals, to_strips
 
 # Fixed values of the light model.
 ATTENUATION = 0.35
@@ -37,7 +38,7 @@ def sprite_pair(diffuse: DataFrame, normals: DataFrame | None = None) -> tuple[D
 
     Returns the pairs (``has_normal`` per pixel row) and the rejects: images
     whose normal map has another size. Sizes are compared on one row per image;
-    the pixel join is on (image, x, y), which spreads a large image.
+    the others meet as strips of packed pixels.
     """
     if normals is None:
         none = {n: F.lit(None).cast("int") for n in NORMAL}
@@ -55,13 +56,13 @@ def sprite_pair(diffuse: DataFrame, normals: DataFrame | None = None) -> tuple[D
         .filter((F.col("width") != F.col("normal_w")) | (F.col("height") != F.col("normal_h")))
         .select("image_id", F.lit("ValueError: normal map must match diffuse size").alias("reason"))
     )
-    pairs = (
-        diffuse.select(*PIXEL)
+    shading = to_strips(normals, nx=packed_normals())
+    strips = (
+        to_strips(diffuse.select(*PIXEL))
         .join(rejects.select("image_id"), "image_id", "left_anti")
-        .join(normals.select("image_id", "x", "y", *NORMAL), ["image_id", "x", "y"], "left")
-        .select(*PIXEL, *NORMAL)
-        .withColumn("has_normal", F.col("nr").isNotNull())
+        .join(shading, [*SIZE, "top"], "left")
     )
+    pairs = from_strips(strips).withColumn("has_normal", F.col("nr").isNotNull())
     return pairs, rejects
 
 

@@ -12,25 +12,17 @@ from pixelloom.functions.columns import dense, channel, idiv, pack_rgba
 from pixelloom.functions.ranking import split_row_number
 from pixelloom.model import PIXEL
 from pixelloom.operators.channels import OPAQUE, hard_alpha
+from pixelloom.operators.cuts import cut_trees, list_offsets
 from pixelloom.operators.resample import box_downsample, upscale
+from pixelloom.operators.strips import from_strips, to_strips
 
 MIN_COLORS, MAX_COLORS = 2, 256
 
 
-# A colour occurs at most 2^39 times per image in the packed histogram.
-COUNT_BITS = 39
-
-
 def palette_size(colors: int) -> int:
     return max(MIN_COLORS, min(MAX_COLORS, int(colors)))
 
 
-def _offsets(lists: pa.ListArray):
-    """List boundaries of a column, counted from its own first value."""
-    offsets = lists.offsets.to_numpy()
-    return offsets - offsets[0]
-
-
 def _rgb(r: Column, g: Column, b: Column) -> Column:
     return (r.cast("long") * 256 + g) * 256 + b
 
@@ -38,50 +30,40 @@ def _rgb(r: Column, g: Column, b: Column) -> Column:
 def quantize(pixels: DataFrame, colors: int) -> DataFrame:
     """At most ``colors`` RGB colours per image by median cut, and hard alpha.
 
-    Transparent pixels take part with their RGB. The pixels are first reduced to
-    a colour histogram (map-side combined), which has at most 2^24 entries for
-    an image of any size; only that histogram is gathered per image, as packed
-    longs. The replacement is joined back on (image, colour), so a hot image is
-    spread over its colours and a hot colour is split by AQE.
+    Transparent pixels take part with their RGB. The cut of an image is a few
+    splits and colours (``operators.cuts``), found on its colour histogram
+    without gathering a large one; strips of packed pixels meet it in a join on
+    the image and look their colours up.
     """
     colors = palette_size(colors)
-    keyed = pixels.withColumn("rgb", _rgb(F.col("r"), F.col("g"), F.col("b")))
-    histogram = (
-        keyed.groupBy("image_id", "rgb")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("image_id")
-        .agg(
-            F.collect_list(F.shiftleft(F.col("rgb"), COUNT_BITS).bitwiseOR(F.col("n"))).alias("hist")
-        )
+    trees = cut_trees(pixels, colors)
+    painted = to_strips(pixels).join(trees, "image_id").mapInArrow(
+        _painted, "image_id string, width int, height int, top int, px array<bigint>"
     )
+    return hard_alpha(from_strips(painted)).select(*PIXEL)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pixelloom.functions.mediancut import median_cut
 
-        for batch in batches:
-            lists = batch.column("hist")
-            packed, offsets = lists.flatten().to_numpy(), _offsets(lists)
-            rgb, weight = packed >> COUNT_BITS, packed & ((1 << COUNT_BITS) - 1)
-            pairs = (rgb << 24) | median_cut(rgb, weight, offsets[:-1], colors)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("image_id"), pa.ListArray.from_arrays(offsets, pa.array(pairs))],
-                ["image_id", "pairs"],
-            )
+def _painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The colours of each strip replaced by those of its image's cut."""
+    import numpy as np
 
-    mapping = (
-        histogram.mapInArrow(cut, "image_id string, pairs array<bigint>")
-        .select("image_id", F.explode("pairs").alias("pair"))
-        .select(
-            "image_id",
-            F.shiftright("pair", 24).alias("rgb"),
-            F.col("pair").bitwiseAND(F.lit((1 << 24) - 1)).alias("q"),
-        )
-    )
-    byte = lambda shift: F.shiftright("q", shift).bitwiseAND(F.lit(255)).cast("int")
-    joined = keyed.join(mapping, ["image_id", "rgb"]).withColumns(
-        {"r": byte(16), "g": byte(8), "b": byte(0)}
-    )
-    return hard_alpha(joined).select(*PIXEL)
+    from pixelloom.functions.mediancut import paint
+
+    def table(lists, empty: int):
+        offsets, flat = list_offsets(lists), lists.flatten().to_numpy()
+        size = np.diff(offsets)
+        out = np.full((len(size), size.max(initial=0)), empty, np.int64)
+        out[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(offsets[:-1], size)] = flat
+        return out
+
+    for batch in batches:
+        lists = batch.column("px")
+        offsets, cells = list_offsets(lists), lists.flatten().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        rgb = paint((cells >> 8) & 0xFFFFFF, row, table(batch.column("splits"), -1), table(batch.column("colors"), 0))
+        px = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((rgb << 8) | (cells & 0xFF)))
+        names = ["image_id", "width", "height", "top"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], px], [*names, "px"])
 
 
 def quantized_grids(grid: DataFrame, colors: int) -> DataFrame:
@@ -117,7 +99,7 @@ def quantized_grids(grid: DataFrame, colors: int) -> DataFrame:
 
         for batch in batches:
             lists = batch.column("px")
-            cells, offsets = lists.flatten().to_numpy(), _offsets(lists)
+            cells, offsets = lists.flatten().to_numpy(), list_offsets(lists)
             image = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             distinct, where, count = np.unique(
                 (image << 24) | ((cells >> 8) & 0xFFFFFF), return_inverse=True, return_counts=True

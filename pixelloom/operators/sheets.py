@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.columns import cells, channel, idiv, pack_rgba
+from pixelloom.functions.columns import cells, channel, idiv
 from pixelloom.functions.ranking import split_row_number
 from pixelloom.model import NORMAL
+from pixelloom.operators.strips import to_strips
 
 # Frames of one sequence ranked in one task; a longer sequence is split into ranges.
 RANGE_ROWS = 100_000
 
-# Pixels per strip of an image that is joined to its frames.
-STRIP_PIXELS = 4096
-
 
 def check_frames(frames: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split sequences into equal-size ones and rejects with a reason.
@@ -87,37 +85,6 @@ def rank_frames(
     return _number_frames(frames, extents, order, range_rows)
 
 
-def _strips(pixels: DataFrame) -> DataFrame:
-    """Pixels as strips of whole scanlines: at most ``STRIP_PIXELS`` per row, in pixel order.
-
-    ``px`` holds the colours and, if there are normals, ``nx`` the normals, one
-    long per pixel. A join then moves strips instead of pixel rows.
-    """
-    rows = F.greatest(F.lit(1), idiv(F.lit(STRIP_PIXELS), F.col("width"))).cast("int")
-    first = idiv(F.col("y"), rows) * rows
-    position = F.shiftleft((F.col("y") - first) * F.col("width") + F.col("x"), 32)
-    lists = {"px": pack_rgba(*[F.col(c) for c in "rgba"])}
-    if "nr" in pixels.columns:
-        lists["nx"] = pack_rgba(*[F.col(c) for c in NORMAL], F.lit(0))
-    packed = (
-        pixels.select(
-            "image_id", "width", "height",
-            first.cast("int").alias("top"),
-            *[position.bitwiseOR(v).alias(name) for name, v in lists.items()],
-        )
-        .groupBy("image_id", "width", "height", "top")
-        .agg(*[F.collect_list(name).alias(name) for name in lists])
-    )
-    dense = F.size("px") == F.least(rows, F.col("height") - F.col("top")) * F.col("width")
-    checked = F.when(dense, F.sort_array("px")).otherwise(
-        F.raise_error(F.concat(F.lit("image is not dense: "), F.col("image_id")))
-    )
-    ordered = {"px": checked} | {n: F.sort_array(n) for n in lists if n != "px"}
-    return packed.select(
-        "image_id", "width", "height", "top", *[v.alias(n) for n, v in ordered.items()]
-    )
-
-
 def pack_sheet(
     frames: DataFrame, pixels: DataFrame, order_column: str = "frame_no"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -146,7 +113,7 @@ def pack_sheet(
         order,
         RANGE_ROWS,
     )
-    placed = ranked.join(_strips(pixels), "image_id").withColumn(
+    placed = ranked.join(to_strips(pixels), "image_id").withColumn(
         "i", F.explode(cells(F.size("px")))
     )
     normals = []

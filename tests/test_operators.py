@@ -187,6 +187,23 @@ def test_median_cut_helper_over_several_images():
     assert got.tolist() == want
 
 
+def test_a_large_image_is_cut_in_parts_with_the_same_colours(spark, images, monkeypatch):
+    from pixelloom.operators import cuts
+
+    smooth = np.dstack([np.add.outer(np.arange(48), np.arange(40)) * k % 256 for k in (1, 2, 3)] + [np.full((48, 40), 255)])
+    table = images.table(a=noise(40, 48, 5), b=smooth, c=noise(9, 3, 6), d=np.full((48, 40, 4), 7), e=noise(40, 48, 7) // 128 * 255)
+    for colors in (2, 7, 32):
+        monkeypatch.setattr(cuts, "CUT_COLORS", 1 << 16)
+        whole = images.arrays(palette.quantize(table, colors))
+        monkeypatch.setattr(cuts, "CUT_COLORS", 300)
+        parted = palette.quantize(table, colors)
+        parts = cuts.histogram_parts(table).filter("image_id = 'a'")
+        assert parts.count() == 7 and parts.agg(F.max(F.size("hist"))).first()[0] < 450
+        got = images.arrays(parted)
+        for name, picture in whole.items():
+            assert (got[name] == picture).all(), (name, colors)
+
+
 @pytest.mark.parametrize("colors", [1, 5, 300])
 def test_quantize_against_the_contract(images, colors):
     picture = noise(11, 6, seed=9) // 16 * 16

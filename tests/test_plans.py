@@ -9,7 +9,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from pixelloom.model import PIXEL
-from pixelloom.operators import channels, geometry, normals, palette, quality, resample, sheets, tiles
+from pixelloom.operators import channels, geometry, normals, pairs, palette, quality, resample, sheets, tiles
 from pixelloom.plans import inputs
 from pixelloom.plans.catalog import QUERIES
 from pixelloom.sources import artifacts
@@ -130,3 +130,37 @@ def test_a_hot_sequence_is_ranked_in_ranges(spark):
     )
     for row in positions.collect():
         assert (row.d, row.m, row.z) == (row.n, row.n - 1, 0)
+
+
+def join_inputs(df) -> list[set[str]]:
+    """Column names of both sides of every join of the optimised plan."""
+    found = []
+
+    def walk(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            found.extend({c.output().apply(i).name() for i in range(c.output().size())} for c in children)
+        for child in children:
+            walk(child)
+
+    walk(df._jdf.queryExecution().optimizedPlan())
+    return found
+
+
+def test_joins_move_strips_not_pixels(spark, stored):
+    prompts = stored.select("image_id").distinct().withColumn("prompt", F.lit("p"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (
+            geometry.crop_to_content(stored, padding=1),
+            geometry.center_align(stored, 9, 8),
+            channels.retint(stored, prompts),
+            pairs.sprite_pair(stored, normals.normal_estimate(stored))[0],
+            palette.quantize(stored, 5),
+        ):
+            sides = join_inputs(df)
+            assert sides and any("px" in side for side in sides)
+            assert not any({"x", "y"} <= side or "rgb" in side for side in sides)
+            assert "SortMergeJoin" in plan(df) or "ShuffledHashJoin" in plan(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
