@@ -223,6 +223,6 @@ def first_output(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = F.coalesce(F.size("outputs"), F.lit(0)) > 0
     taken = results.filter(some).withColumn("output", F.get("outputs", F.lit(0)))
     rejected = results.filter(~some).withColumn(
-        "reason", F.lit("RuntimeError: inference returned no outputs")
+        "reason", F.lit("ValueError: the result has no output")
     )
     return taken, rejected

@@ -31,7 +31,7 @@ from pixelloom.operators import (
     sheets,
 )
 from pixelloom.plans import inputs, sprites
-from pixelloom.plans.pattern_model import PatternModel
+from pixelloom.plans.pattern_model import InvertModel, PatternModel
 from pixelloom.session import blowup_partitions, checkpoint_dir, ship_package
 from pixelloom.sources import artifacts, images
 from pixelloom.sources.generate import prompt_images
@@ -827,14 +827,14 @@ def streamed_sprites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def user_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    registry = extension.Operators()
+    box = extension.Toolbox()
 
-    @registry.register("posterize")
+    @box.operator("posterize", needs=dict.fromkeys("rgb", "int"), gives=PIXEL)
     def posterize(pixels: DataFrame, levels: int) -> DataFrame:
         step = 256 // levels
         return pixels.withColumns({c: (idiv(F.col(c), step) * step).cast("int") for c in "rgb"})
 
-    return registry.apply(inputs.glyphs(spark, sf_dir), "posterize", levels=4)
+    return box["posterize"](inputs.glyphs(spark, sf_dir), levels=4)
 
 
 @query
@@ -877,10 +877,7 @@ def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     done, _ = extension.split_errors(_inferred(spark, sf_dir))
     first, _ = requests.first_output(done)
-    payloads = first.select(
-        F.col("request_id").alias("image_id"), F.to_json("output").alias("payload")
-    )
-    return images.decode_payload(payloads)[0]
+    return images.decode_outputs(first)[0]
 
 
 @query
@@ -888,6 +885,65 @@ def model_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extension.split_errors(_inferred(spark, sf_dir))[1].select("request_id", "op", "reason")
 
 
+def _asked_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as requests: most paint from the prompt in a size of their own, others change a picture they bring."""
+    asked = inputs.part_prompts(spark, sf_dir)
+    op = F.when(F.col("p_size") % 3 == 0, "img2img").when(F.col("p_size") > 45, "text2vid").otherwise("text2img")
+    own = F.map_filter(
+        F.create_map(
+            F.lit("width"), F.when(F.col("seed") % 2 == 0, (F.col("seed") % 5 + 4).cast("string")),
+            F.lit("seed"), F.col("seed").cast("string"),
+        ),
+        lambda _, v: v.isNotNull(),
+    )
+    rows = asked.select(
+        F.col("image_id").alias("request_id"), op.alias("op"),
+        F.when(F.col("p_size") == 7, "unknown").otherwise("stub-image").alias("model_id"),
+        "prompt", F.lit("picture").alias("scope_id"), own.alias("overrides"),
+    )
+    brought = artifacts.encode_png(inputs.sized_glyphs(spark, sf_dir)).select(
+        F.col("image_id").alias("request_id"), F.base64("png").alias("image_b64")
+    )
+    given = F.map_filter(
+        F.create_map(F.lit("prompt"), F.col("prompt"), F.lit("image_b64"), F.when(F.col("op") == "img2img", F.col("image_b64"))),
+        lambda _, v: v.isNotNull(),
+    )
+    return rows.join(brought, "request_id", "left").withColumn("inputs", given).drop("image_b64", "prompt")
+
+
+def _routed_inference(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests, layered parameters, routing, inference: (results, requests without an adapter)."""
+    declared = spark.createDataFrame(
+        [("picture", "width", "int", "8"), ("picture", "height", "int", "6"), ("picture", "seed", "int", "0")],
+        "scope_id string, name string, type string, default_value string",
+    )
+    layered = requests.resolve_params(
+        _asked_pictures(spark, sf_dir), declared, requests.config_params({"canvas.height": "5", "pivot": "center"})
+    )
+    adapters = {"invert": InvertModel, "pattern": PatternModel}
+    listing = extension.model_listing(spark, [make() for make in adapters.values()])
+    routed, rejected = requests.route(layered, listing)
+    return extension.infer_routed(routed, adapters, spread=4), rejected
+
+
+@query
+def routed_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, _ = extension.split_errors(_routed_inference(spark, sf_dir)[0])
+    return images.decode_outputs(requests.first_output(done)[0])[0]
+
+
+@query
+def routed_inference_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed_inference(spark, sf_dir)[1].select("request_id", "op", "model_id", "reason")
+
+
+@query
+def glyph_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extension.register_glyph_table(spark)
+    asked = inputs.part_prompts(spark, sf_dir).repartition(blowup_partitions(spark), "image_id")
+    return spark.sql("SELECT image_id, g.* FROM {asked} a, LATERAL glyph(a.prompt, a.seed, 7, 9) g", asked=asked)
+
+
 # --- composite pipelines --------------------------------------------------------------------
 
 # Sizes of the flagship in the registered queries; the operator's defaults are the full ones.

@@ -419,7 +419,7 @@ def build() -> dict[str, str]:
         "SELECT image_id || '-normal', false FROM k WHERE kind IN ('sprite_pair', 'sprite_sheet')"
     )
     out["unstorable_artifacts"] = (
-        "SELECT kind, 'ValueError: cannot persist artifact kind ' || kind AS reason, count(*) AS n FROM ("
+        "SELECT kind, 'ValueError: the store takes no ' || kind AS reason, count(*) AS n FROM ("
         "SELECT CASE WHEN l_returnflag = 'N' THEN 'image_batch' WHEN l_linestatus = 'O' THEN 'frame_seq' ELSE 'image' END AS kind "
         "FROM lineitem) WHERE kind <> 'image' GROUP BY kind"
     )
@@ -711,7 +711,7 @@ def build() -> dict[str, str]:
         "FROM conversations WHERE role = 'user' AND text IS NOT NULL"
     )
     out["missing_output_rejects"] = (
-        "SELECT concat_ws('-', conv_id, turn) AS request_id, 'RuntimeError: inference returned no outputs' AS reason "
+        "SELECT concat_ws('-', conv_id, turn) AS request_id, 'ValueError: the result has no output' AS reason "
         "FROM conversations WHERE role <> 'user' OR role IS NULL OR text IS NULL"
     )
 
@@ -763,6 +763,21 @@ def build() -> dict[str, str]:
         "CAST((c.range * l.range + length(p_name)) % 256 AS INTEGER) AS g, "
         "CAST(40 + 180 * ((c.range + l.range) % 2) AS INTEGER) AS b, 255 AS a FROM part, range(8) c, range(6) l WHERE p_size <= 45"
     )
+    sized_part = "(SELECT s.*, p_size FROM sized s JOIN (SELECT CAST(p_partkey AS VARCHAR) AS image_id, p_size FROM part) USING (image_id))"
+    final(
+        "routed_inference", sized_glyphs,
+        f"SELECT image_id, width, height, x, y, 255 - r AS r, 255 - g AS g, 255 - b AS b, a FROM {sized_part} WHERE p_size % 3 = 0 "
+        "UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(w AS INTEGER), 5, CAST(c.range AS INTEGER), CAST(l.range AS INTEGER), "
+        "CAST((7 * c.range + 13 * l.range + 31 * p_partkey) % 256 AS INTEGER), CAST((c.range * l.range + length(p_name)) % 256 AS INTEGER), "
+        "CAST(40 + 180 * ((c.range + l.range) % 2) AS INTEGER), 255 FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 5 + 4 ELSE 8 END AS w "
+        "FROM part WHERE p_size % 3 <> 0 AND p_size <= 45 AND p_size <> 7) t, range(8) c, range(5) l WHERE c.range < w",
+    )
+    out["routed_inference_rejects"] = (
+        "SELECT request_id, op, model_id, format('LookupError: no adapter serves op=''{}'' model_id=''{}''', op, model_id) AS reason "
+        "FROM (SELECT CAST(p_partkey AS VARCHAR) AS request_id, CASE WHEN p_size > 45 THEN 'text2vid' ELSE 'text2img' END AS op, "
+        "CASE WHEN p_size = 7 THEN 'unknown' ELSE 'stub-image' END AS model_id FROM part WHERE p_size % 3 <> 0 AND (p_size > 45 OR p_size = 7))"
+    )
+    final("glyph_table_function", lambda s: part_glyphs(s, 7, 9), "SELECT image_id, x, y, r, g, b, a FROM glyph")
     out["model_errors"] = (
         "SELECT CAST(p_partkey AS VARCHAR) AS request_id, 'text2vid' AS op, "
         "'LookupError: adapter pattern has no text2vid for stub-image' AS reason FROM part WHERE p_size > 45"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def split_storable(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Artifacts of a kind the sink stores, and the others with a reason."""
     known = F.coalesce(F.col("kind").isin(*STORABLE_KINDS), F.lit(False))
     rejected = artifacts.filter(~known).withColumn(
-        "reason", F.concat(F.lit("ValueError: cannot persist artifact kind "), F.coalesce("kind", F.lit("null")))
+        "reason", F.concat(F.lit("ValueError: the store takes no "), F.coalesce("kind", F.lit("null")))
     )
     return artifacts.filter(known), rejected
 
@@ -160,6 +162,25 @@ def write_png(pixels: DataFrame, path: str, partitions: int | None = None) -> No
     _write_bands(to_bands(pixels), path, partitions)
 
 
+def encode_png(pixels: DataFrame) -> DataFrame:
+    """image_id, png: every image as one PNG value, for payloads and model inputs.
+
+    Bands meet in the task of their image in order and are packed one by one;
+    the file itself is one value, so its size must suit a row.
+    """
+    bands = to_bands(pixels).repartition("image_id").sortWithinPartitions("image_id", "band")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pixelloom.functions.png import png_parts
+
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for (name, width, height), same in groupby(rows, key=lambda r: (r["image_id"], r["width"], r["height"])):
+            png = b"".join(png_parts(width, height, (r["data"] for r in same)))
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([png], pa.binary())], ["image_id", "png"])
+
+    return bands.mapInArrow(encode, "image_id string, png binary")
+
+
 def export_png(spark: SparkSession, store: str, path: str, partitions: int | None = None) -> None:
     """A PNG file per stored layer, named by its file id."""
     bands = spark.read.parquet(f"{store}/bands")

@@ -14,8 +14,8 @@ from pixelloom.model import PIXEL
 PAYLOAD_SCHEMA = "png_b64 string, rgba array<int>, w int, h int"
 
 
-def _rows_of(blobs: DataFrame) -> DataFrame:
-    """Blob rows (image_id, width, height, channels, data as B,G,R[,A]) to pixel rows.
+def _rows_of(blobs: DataFrame, order: str = "bgra") -> DataFrame:
+    """Blob rows (image_id, width, height, channels, data as B,G,R[,A] or in ``order``) to pixel rows.
 
     Two nested explodes of row and column numbers; the blob stays one value and
     is sliced per scanline first, so a pixel reads from a short binary.
@@ -43,9 +43,7 @@ def _rows_of(blobs: DataFrame) -> DataFrame:
         .withColumn("v", value)
         .select(
             "image_id", "width", "height", "x", "y",
-            F.when(gray, sample(0)).otherwise(sample(2)).alias("r"),
-            F.when(gray, sample(0)).otherwise(sample(1)).alias("g"),
-            sample(0).alias("b"),
+            *[F.when(gray, sample(0)).otherwise(sample(order.index(c))).alias(c) for c in "rgb"],
             F.when(F.col("channels") == 4, sample(3)).otherwise(F.lit(255)).alias("a"),
         )
     )
@@ -121,6 +119,26 @@ def decode_payload(outputs: DataFrame, column: str = "payload") -> tuple[DataFra
     return pixels, unknown.unionByName(bad)
 
 
+def decode_outputs(results: DataFrame, column: str = "output") -> tuple[DataFrame, DataFrame]:
+    """Pixels of model outputs (request_id, struct of png, rgba, w, h), and the outputs that hold no picture.
+
+    ``rgba`` are 4 * w * h row-major bytes; a PNG is used where there is one. The
+    image_id is the request_id.
+    """
+    taken = results.select(F.col("request_id").alias("image_id"), f"{column}.*")
+    is_png = F.col("png").isNotNull()
+    flat = F.coalesce(F.octet_length("rgba") == 4 * F.col("w") * F.col("h"), F.lit(False))
+    raw = taken.filter(~is_png & flat).select(
+        "image_id", F.col("w").alias("width"), F.col("h").alias("height"), F.lit(4).alias("channels"), F.col("rgba").alias("data")
+    )
+    decoded = decode_png_rows(taken.filter(is_png).select("image_id", "png"))
+    good = decoded.filter(F.col("reason").isNull()).select("image_id", "width", "height", F.lit(4).alias("channels"), "data")
+    neither = taken.filter(~is_png & ~flat).select("image_id", F.lit("ValueError: no picture of 4 * w * h bytes").alias("reason"))
+    bad = decoded.filter(F.col("reason").isNotNull()).select("image_id", "reason")
+    pixels = _rows_of(raw, "rgba").unionByName(_rows_of(good))
+    return pixels.select(*PIXEL), neither.unionByName(bad)
+
+
 def decode_png_rows(rows: DataFrame) -> DataFrame:
     """(image_id, png) to size and B,G,R,A bytes, or the reason it cannot be decoded."""
 

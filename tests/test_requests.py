@@ -7,9 +7,12 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from pixelloom.model import PIXEL, PIXEL_SCHEMA
 from pixelloom.operators import extension, requests, runs
 from pixelloom.plans.pattern_model import PatternModel
-from pixelloom.sources.images import decode_payload
+from pixelloom.sources.artifacts import encode_png
+from pixelloom.sources.generate import prompt_images
+from pixelloom.sources.images import decode_outputs
 
 TEXTS = [
     "seed=12", "seed= 12 ", "seed=+3", "seed=1_000", "seed=-0", "f=1.5", "f=.5", "f=5.", "f=1e3", "f=-1E-2",
@@ -138,39 +141,123 @@ def test_progress_is_nested_and_ends_at_one(spark):
     assert [r.reason for r in unknown.collect()] == ["LookupError: gen/x is no node of the graph"]
 
 
+ASKED = "request_id string, op string, model_id string, inputs map<string,string>, params map<string,string>"
+
+
+def small_png(spark):
+    pixels = spark.createDataFrame([("p", 2, 1, 0, 0, 10, 20, 30, 40), ("p", 2, 1, 1, 0, 1, 2, 3, 255)], PIXEL_SCHEMA)
+    return encode_png(pixels).select(F.base64("png")).first()[0]
+
+
 def test_infer_gives_errors_as_rows_and_decodes(spark):
     asked = spark.createDataFrame(
         [
             ("1", "text2img", "stub-image", {"prompt": "hello"}, {"width": "6", "height": "4"}),
             ("2", "text2img", "nope", {}, {}),
             ("3", "text2img", "stub-image", {}, {"width": "six"}),
-            ("4", "img2img", "stub-image", {"prompt": "x", "rgba": "10,20,30,40", "w": "1", "h": "1"}, {}),
+            ("4", "img2img", "stub-image", {"prompt": "x", "image_b64": small_png(spark)}, {}),
+            ("5", "img2img", "stub-image", {"prompt": "x"}, {}),
         ],
-        "request_id string, op string, model_id string, inputs map<string,string>, params map<string,string>",
+        ASKED,
     )
     done, failed = extension.split_errors(extension.infer(asked, PatternModel))
-    assert {r.request_id: r.reason.split(":")[0] for r in failed.collect()} == {"2": "LookupError", "3": "ValueError"}
+    assert {r.request_id: r.reason.split(":")[0] for r in failed.collect()} == {"2": "LookupError", "3": "ValueError", "5": "ValueError"}
     first, none = requests.first_output(done)
     assert none.count() == 0
-    pixels, rejects = decode_payload(
-        first.select(F.col("request_id").alias("image_id"), F.to_json("output").alias("payload"))
-    )
+    pixels, rejects = decode_outputs(first)
     assert pixels.filter("image_id = '1'").count() == 24 and rejects.count() == 0
-    tinted = pixels.filter("image_id = '4'").first()
-    assert (tinted.r, tinted.g, tinted.b, tinted.a) == (245, 235, 225, 40)
+    turned = pixels.filter("image_id = '4' AND x = 0").first()
+    assert (turned.width, turned.height, turned.r, turned.g, turned.b, turned.a) == (2, 1, 245, 235, 225, 40)
+
+
+def counting_model():
+    """Its pictures report how many of its models this process has open."""
+
+    class Counting(PatternModel):
+        name, live = "counting", [0]
+
+        def __init__(self):
+            self.live[0] += 1
+
+        def supports(self, op, model_id):
+            return True
+
+        def close(self):
+            self.live[0] -= 1
 
+        def run_batch(self, op, model_id, jobs):
+            return [{"rgba": bytes([self.live[0]] * 4), "w": len(jobs), "h": 1} for _ in jobs]
 
-def test_registry_rejects_duplicates_and_unknown_kinds(spark):
-    registry = extension.Operators()
-    registry.register("double", lambda df, by: df.withColumn("x", F.col("x") * by))
-    with pytest.raises(ValueError):
-        registry.register("double", lambda df: df)
-    with pytest.raises(ValueError):
-        registry.register("other", lambda df: df, kind="magic")
+    return Counting
+
+
+def test_routed_inference_opens_one_model_at_a_time(spark):
+    def broken():
+        raise OSError("no weights")
+
+    rows = [(f"{i}", "text2img", f"m{i % 3}", {}, {}, "counting") for i in range(60)]
+    rows += [("x", "text2img", "m0", {}, {}, "absent"), ("y", "text2img", "m0", {}, {}, "broken"), (None, "text2img", None, None, None, "counting")]
+    routed = spark.createDataFrame(rows, ASKED + ", adapter string")
+    adapters = {"counting": counting_model(), "broken": broken}
+    out = {r.request_id: r for r in extension.infer_routed(routed, adapters, at_once=7).collect()}
+    assert len(out) == 63
+    assert out["x"].error == "LookupError: no adapter is called absent" and out["y"].error == "OSError: no weights"
+    fine = [r.outputs[0] for r in out.values() if r.outputs]
+    assert len(fine) == 61 and {bytes(o.rgba)[0] for o in fine} == {1}  # never two at once
+    assert max(o.w for o in fine) == 7
+    dealt = extension.infer_routed(routed, adapters, spread=5)
+    assert dealt.filter("error IS NULL").count() == 61
+    assert extension.infer_routed(routed.limit(0), adapters).count() == 0
+
+
+def test_outputs_without_a_picture_are_rejected(spark):
+    kinds = "request_id string, output struct<png: binary, rgba: binary, w: int, h: int>"
+    rows = [("a", (None, b"abcd", 1, 1)), ("b", (None, b"abc", 1, 1)), ("c", (None, None, None, None)), ("d", (b"no png", None, None, None)), ("e", None)]
+    pixels, rejects = decode_outputs(spark.createDataFrame(rows, kinds))
+    assert [tuple(r)[5:] for r in pixels.collect()] == [(97, 98, 99, 100)]
+    assert {r.image_id for r in rejects.collect()} == {"b", "c", "d", "e"}
+
+
+def test_toolbox_checks_names_parameters_and_columns(spark):
+    box = extension.Toolbox()
+
+    @box.operator("double", needs={"x": "int"}, gives=("x", "y"))
+    def double(df, by):
+        return df.withColumn("y", F.col("x") * by)
+
+    with pytest.raises(ValueError, match="taken"):
+        box.operator("double")(lambda df: df)
+    with pytest.raises(ValueError, match="no kind"):
+        box.operator("other", kind="magic")(lambda df: df)
+    with pytest.raises(TypeError, match="takes no frame"):
+        box.operator("other")(lambda: None)
     with pytest.raises(KeyError):
-        registry.apply(spark.range(1), "missing")
-    assert registry.apply(spark.sql("SELECT 4 AS x"), "double", by=3).first().x == 12
-    assert registry.names() == ["double"]
+        box["missing"]
+    four = spark.sql("SELECT 4 AS x")
+    assert box["double"](four, by=3).first().y == 12
+    with pytest.raises(TypeError, match="'by'"):
+        double(four)
+    with pytest.raises(TypeError, match=r"x \(string\)"):
+        double(spark.sql("SELECT '4' AS x"), by=3)
+    with pytest.raises(TypeError, match=r"x \(missing\)"):
+        double(spark.range(1), by=3)
+    with pytest.raises(TypeError, match="did not make"):
+        box.operator("lazy", gives=("z",))(lambda df: df)(four)
+    assert list(box) == ["double", "lazy"]
+
+
+def test_glyph_table_function_equals_the_generator(spark):
+    extension.register_glyph_table(spark)
+    asked = [("a", "red fox", 3, 7, 9), ("b", "", 0, 1, 1), ("c", "é", -5, 20, 3)]
+    df = spark.createDataFrame([*asked, ("n", None, 1, 2, 2), ("z", "p", 1, 0, 4)], "image_id string, prompt string, seed long, w int, h int")
+    got = spark.sql("SELECT image_id, w AS width, h AS height, g.* FROM {df} d, LATERAL glyph(d.prompt, d.seed, d.w, d.h) g", df=df)
+    rows = {tuple(r) for r in got.collect()}
+    want = set()
+    for name, prompt, seed, w, h in asked:
+        one = spark.createDataFrame([(name, prompt, seed)], "image_id string, prompt string, seed long")
+        want |= {tuple(r) for r in prompt_images(one, F.col("prompt"), F.col("seed"), w, h).select(*PIXEL).collect()}
+    assert rows == want
+    assert spark.sql("SELECT count(*) FROM glyph('one', 2L, 5, 4)").first()[0] == 20
 
 
 def test_strict_mode_fails_with_the_reason(spark):

@@ -102,7 +102,7 @@ def test_artifact_store_layers_and_rejects(spark, images, tmp_path):
     )
     path = str(tmp_path / "store")
     rejected = artifacts.write_artifacts(kinds, shaded, path, mode="overwrite")
-    assert [r.reason for r in rejected.collect()] == ["ValueError: cannot persist artifact kind mask"]
+    assert [r.reason for r in rejected.collect()] == ["ValueError: the store takes no mask"]
     entries = {r.id: r for r in spark.read.parquet(f"{path}/entries").collect()}
     assert entries["p"].normal == "p-normal" and entries["p"].image is None
     assert entries["i"].image == "i-image" and entries["i"].normal is None
