@@ -72,38 +72,65 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def edits(before: DataFrame, after: DataFrame) -> DataFrame:
-    """doc_id, start, text: the leaves of `after` that `before` has not, for doc_ids in both whose roots differ.
+def _leaf_rows(docs: DataFrame, tree: str) -> DataFrame:
+    """doc, section, paragraph, leaf, start, hash, nth, text: every leaf of docs(doc, <tree>), nth among equal leaves."""
+    sections = docs.select("doc", F.posexplode(tree).alias("section", "s"))
+    paragraphs = sections.select("doc", "section", F.posexplode("s").alias("paragraph", "p"))
+    rows = paragraphs.select("doc", "section", "paragraph", F.posexplode("p").alias("leaf", "text"))
+    place = ("section", "paragraph", "leaf")
+    before = Window.partitionBy("doc").orderBy(*place)
+    return rows.withColumn("hash", F.substring(F.sha2("text", 256), 1, 16)).select(
+        "doc", *place, "text", "hash",
+        (F.sum(F.length("text")).over(before) - F.length("text")).cast("long").alias("start"),
+        F.row_number().over(Window.partitionBy("doc", "hash").orderBy(*place)).alias("nth"),
+        F.row_number().over(before).alias("at"),
+    )
+
 
-    start is the character position in the new text. Differing sections are
-    found first, then differing paragraphs in them, then leaves.
+def edits(before: DataFrame, after: DataFrame) -> DataFrame:
+    """doc_id, change, section, paragraph, leaf, start, old_start, text: where two versions of a text differ.
+
+    Documents of both tables are compared by doc_id; where the roots are equal
+    nothing is. Of the others the leaves are aligned by hash and occurrence
+    number: the second of two equal leaves meets the second one of the other
+    version. `added` leaves are only in `after`, `deleted` ones only in `before`
+    (their places are those in `before`, start is null). `moved` is a leaf of
+    both whose neighbour before it, among the leaves of both, is another one
+    than in `before`: there begins a run that was moved, or one from the front
+    of which something was moved away. start and old_start are character
+    positions in the new and the old text.
+
+    Null texts are empty. Rows that repeat a doc_id are numbered by their texts
+    in both tables and compared number by number; rows without a partner give
+    nothing, a null doc_id is an id like others. Equal or empty tables give an
+    empty table.
     """
-    old = before.select("doc_id", leaf_hashes(F.coalesce("text", F.lit(""))).alias("_old"))
-    new = after.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_new", leaf_hashes(F.col("text")))
-    pair = old.join(new, "doc_id").filter(root(F.col("_old")) != root(F.col("_new"))).select(
-        "doc_id", section_hashes(F.col("_old")).alias("_sections"), F.flatten(paragraph_hashes(F.col("_old"))).alias("_paragraphs"),
-        flat(F.col("_old")).alias("_leaves"), leaves(F.col("text")).alias("_texts"), F.col("_new"),
-        section_hashes(F.col("_new")).alias("_s"), paragraph_hashes(F.col("_new")).alias("_p"),
-    )
-    size = F.transform(F.col("_texts"), lambda s: F.transform(s, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x))))
-    by_section = pair.withColumn("_size", size).select(
-        "doc_id", "_sections", "_paragraphs", "_leaves",
-        F.posexplode(F.arrays_zip("_s", "_p", "_texts", "_new", "_size")).alias("_i", "_section"),
-        F.transform("_size", lambda s: F.aggregate(s, F.lit(0), lambda n, x: n + x)).alias("_lengths"),
-    ).withColumn("_from", F.aggregate(F.slice("_lengths", 1, F.col("_i")), F.lit(0), lambda n, x: n + x))
-    by_section = by_section.filter(~F.array_contains("_sections", F.col("_section._s")))
-    by_paragraph = by_section.select(
-        "doc_id", "_paragraphs", "_leaves", "_from", F.col("_section._size").alias("_size"),
-        F.posexplode(F.arrays_zip(F.col("_section._p").alias("p"), F.col("_section._texts").alias("t"), F.col("_section._new").alias("n"))).alias("_i", "_q"),
-    ).filter(~F.array_contains("_paragraphs", F.col("_q.p"))).withColumn(
-        "_from", F.col("_from") + F.aggregate(F.slice("_size", 1, F.col("_i")), F.lit(0), lambda n, x: n + x)
+
+    def versions(docs: DataFrame, name: str) -> DataFrame:
+        rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        return rows.select(
+            F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), nth.alias("nth")).alias("doc"),
+            F.col("doc_id"), leaves(F.col("text")).alias(name), root(leaf_hashes(F.col("text"))).alias(f"{name}_root"),
+        )
+
+    pair = versions(before, "old").join(versions(after, "new").drop("doc_id"), "doc").filter("old_root <> new_root")
+    old = _leaf_rows(pair.select("doc", "old"), "old")
+    new = _leaf_rows(pair.select("doc", "new"), "new")
+    place = ("section", "paragraph", "leaf", "start", "text", "at")
+    key = ["doc", "hash", "nth"]
+    both = new.join(old.select(*key, *(F.col(c).alias(f"old_{c}") for c in place)), key, "full")
+    # the order among leaves of both versions; the first of them has no neighbour in either
+    kept = Window.partitionBy("doc", F.col("at").isNotNull() & F.col("old_at").isNotNull())
+    ranked = both.withColumn("rank", F.row_number().over(kept.orderBy("old_at", "at")))
+    follows = F.coalesce(F.lag("rank").over(kept.orderBy("at", "old_at")), F.lit(0)) == F.col("rank") - 1
+    change = F.when(F.col("old_at").isNull(), "added").when(F.col("at").isNull(), "deleted").when(~follows, "moved")
+    told = ranked.withColumn("change", change).filter("change is not null")
+    ids = pair.select("doc", "doc_id")
+    return told.join(ids, "doc").select(
+        "doc_id", "change", *(F.coalesce(c, f"old_{c}").alias(c) for c in ("section", "paragraph", "leaf")),
+        "start", "old_start", F.coalesce("text", "old_text").alias("text"),
     )
-    by_leaf = by_paragraph.select(
-        "doc_id", "_leaves", "_from", F.col("_q.t").alias("_texts"),
-        F.posexplode(F.arrays_zip(F.col("_q.t").alias("t"), F.col("_q.n").alias("h"))).alias("_i", "_leaf"),
-    ).filter(~F.array_contains("_leaves", F.col("_leaf.h")))
-    start = F.col("_from") + F.aggregate(F.slice("_texts", 1, F.col("_i")), F.lit(0), lambda n, x: n + F.length(x))
-    return by_leaf.select("doc_id", start.cast("long").alias("start"), F.col("_leaf.t").alias("text"))
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:

@@ -32,7 +32,6 @@ SAMPLE_ROWS = 3000
 WINDOW_WORDS = 8
 WINDOW_BYTES = 256
 RUN_BYTES = 6  # shortest match of the compressor, and the unit of the contrast
-DICTIONARY_BYTES = 2048
 PRIMER = b"\x01the primer of every window\x02"
 LEAST_CONTEXTS = 6
 
@@ -74,14 +73,15 @@ def _windows(buf: np.ndarray, at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     return out, bounds
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    """Fast strategy, so literals stay whole bytes and lengths compare evenly."""
+def _compressor(content: bytes, size: int) -> zstandard.ZstdCompressor:
+    """Fast strategy, so literals stay whole bytes and lengths compare evenly; both dictionaries have one size."""
+    log = max(13, (size + len(PRIMER) + 2 * WINDOW_BYTES).bit_length())
     params = zstandard.ZstdCompressionParameters(
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, strategy=zstandard.STRATEGY_FAST, target_length=1,
-        min_match=RUN_BYTES, window_log=13, hash_log=13, chain_log=13, search_log=3,
+        min_match=RUN_BYTES, window_log=log, hash_log=log, chain_log=log, search_log=3,
         write_checksum=False, write_content_size=True, write_dict_id=False,
     )
-    whole = content.rjust(DICTIONARY_BYTES, b"\x00") + PRIMER
+    whole = content.rjust(size, b"\x00") + PRIMER
     dictionary = zstandard.ZstdCompressionDict(whole, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(compression_params=params, dict_data=dictionary)
@@ -89,7 +89,8 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 class _Scorer:
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.compressors = _compressor(ordinary), _compressor(toxic)
+        size = max(len(toxic), len(ordinary), 256)
+        self.compressors = _compressor(ordinary, size), _compressor(toxic, size)
 
     def lengths(self, which: int, windows: list[bytes]) -> np.ndarray:
         sizes = np.fromiter(map(len, windows), np.uint64, len(windows))
@@ -163,11 +164,9 @@ def _content(own: tuple[Counter, Counter, int], other: tuple[Counter, Counter, i
             found[word[i : j + k]] += count
             i = j + k
     chosen: list[bytes] = []
-    size = 0
     for run, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if size + len(run) <= DICTIONARY_BYTES and not any(run in x for x in chosen):
+        if not any(run in x for x in chosen):
             chosen.append(run)
-            size += len(run)
     return b"".join(reversed(chosen))
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from pixelloom.llm import bpe, components, jaccard_join, language, merkle, neighbours, packing, pii, quality, queries, sharding, toxicity
 from pixelloom.llm.common import arrow_texts, pieces, table
@@ -165,10 +166,44 @@ def test_bpe_query_round_trip(spark):
 
 def test_merkle_trees_locate_edits(spark):
     text = "First one. Second one.\nNext line here! And more.\n\nA new section. Its end."
-    before = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
-    after = spark.createDataFrame([(1, text.replace("And more", "And less")), (2, text)], "doc_id long, text string")
-    found = merkle.edits(before, after).collect()
-    assert [(r.doc_id, r.start, r.text) for r in found] == [(1, text.index("And more"), "And less.\n\n")]
+    head, more, last = "First one. Second one.\n", "Next line here! And more.\n\n", "A new section. Its end."
+    versions = {
+        1: (text, text.replace("And more", "And less")),
+        2: (text, text),
+        3: (text, head + last),  # a deleted paragraph
+        4: (text, more + head + last),  # a moved one
+        5: ("Same. Same. Other.", "Same. Other."),  # one of two equal leaves
+        6: ("", "All new."), 7: ("All gone.", None),
+        None: ("No id. Old.", "No id. New."),
+    }
+    schema = "doc_id long, text string, at int, hash string"
+    before = spark.createDataFrame([(i, a, 1, "h") for i, (a, _) in versions.items()] + [(9, "only here", 1, "")], schema)
+    after = spark.createDataFrame([(i, b, 1, "h") for i, (_, b) in versions.items()] + [(10, "only there", 1, "")], schema)
+    found = {}
+    for r in merkle.edits(before, after).collect():
+        found.setdefault(r.doc_id, set()).add((r.change, r.start, r.old_start, r.text))
+        old, new = versions[r.doc_id]
+        if r.start is not None:
+            assert new[r.start : r.start + len(r.text)] == r.text
+        if r.old_start is not None:
+            assert old[r.old_start : r.old_start + len(r.text)] == r.text
+    at = text.index("And more")
+    assert found == {
+        1: {("added", at, None, "And less.\n\n"), ("deleted", None, at, "And more.\n\n")},
+        3: {("deleted", None, len(head), "Next line here! "), ("deleted", None, at, "And more.\n\n")},
+        4: {
+            ("moved", 0, len(head), "Next line here! "), ("moved", len(more), 0, "First one. "),
+            ("moved", len(text) - len(last), len(text) - len(last), "A new section. "),
+        },
+        5: {("deleted", None, 6, "Same. ")},
+        6: {("added", 0, None, "All new.")},
+        7: {("deleted", None, 0, "All gone.")},
+        None: {("added", 7, None, "New."), ("deleted", None, 7, "Old.")},
+    }
+    assert merkle.edits(before, before).count() == 0 == merkle.edits(before.limit(0), after).count()
+    twice = before.filter("doc_id = 1").unionByName(before.filter("doc_id = 3"))
+    twice = twice.withColumn("doc_id", F.lit(1))
+    assert merkle.edits(twice, twice.limit(2)).count() == 0
     roots = {r.doc_id: r.fingerprint for r in merkle.fingerprints(before).collect()}
     assert roots[1] == roots[2]
 
@@ -305,10 +340,32 @@ def test_classifiers_on_held_out_rows(spark):
         held = [r for r in run(spark, sf).collect() if r.held_out and r.doc_id in truth]
         assert np.mean([r.predicted == truth[r.doc_id][name] for r in held]) >= least
         assert all(0 <= r.score <= 1 for r in held)
+    # of the few toxic rows that are held out most are found, and hardly any other
+    large = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in table(spark, large, "labels").collect()}
+    held = [(r.predicted, toxic[r.doc_id]) for r in queries.op2_toxicity(spark, large).collect() if r.held_out and r.doc_id in toxic]
+    hits = sum(p and y for p, y in held)
+    assert hits / sum(y for _, y in held) >= 0.7 and hits / sum(p for p, _ in held) >= 0.9
     held = [r for r in queries.op8_language(spark, sf).collect() if r.held_out]
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) >= 0.97
 
 
+def test_dictionaries_hold_all_learned_runs():
+    draw = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    insults = ["".join(draw.choice(letters) for _ in range(12)) for _ in range(400)]
+    plain = ["".join(draw.choice(letters) for _ in range(7)) for _ in range(400)]
+    sample = []
+    for i in range(3000):
+        words = draw.choices(plain, k=20)
+        if i % 2:
+            for j in range(0, 20, 3):
+                words[j] = draw.choice(insults)
+        sample.append((" ".join(words), i % 2))
+    model = toxicity.fit(sample, {0: 0.5, 1: 0.5})
+    assert all(w.encode() in model.toxic for w in insults) and len(model.toxic) > 4096
+
+
 def test_samples_hold_one_text_per_id(spark, monkeypatch):
     rows = [(1, "mail a.b@x.org now", "en")] * 30 + [(1, "nothing", "en")] * 30 + [(2, "at 10.0.0.1", "en"), (3, "no @ data + here", "de"), (4, "4111 1111 1111 1111", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
