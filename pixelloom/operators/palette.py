@@ -188,3 +188,23 @@ def color_counts(pixels: DataFrame) -> DataFrame:
         .groupBy("image_id")
         .agg(F.count(F.lit(1)).alias("colors"))
     )
+
+
+def color_sketches(pixels: DataFrame, *keys: str, lg_k: int = 12) -> DataFrame:
+    """A mergeable sketch of the RGB colours per image, or per ``keys``.
+
+    Of constant size (about 2^lg_k bytes) for any number of colours; the
+    relative standard error is about 1.04 / sqrt(2^lg_k).
+    """
+    rgb = _rgb(F.col("r"), F.col("g"), F.col("b"))
+    return pixels.groupBy(*(keys or ("image_id",))).agg(F.hll_sketch_agg(rgb, lg_k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of unions: per ``keys``, or of all rows without any."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def color_estimates(sketches: DataFrame) -> DataFrame:
+    """``estimate``, the number of colours that each sketch has seen."""
+    return sketches.withColumn("estimate", F.hll_sketch_estimate("sketch")).drop("sketch")

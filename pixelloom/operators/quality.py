@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.columns import col
 from pixelloom.model import PIXEL
 
 
 def check_images(pixels: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """One row per image: counts of what breaks the dense uint8 contract, and ``ok``.
 
-    Distinct positions are counted exactly with bitmaps: each 32k range of
-    positions of an image is one 4 KB bitmap, or-ed map-side, instead of one
-    shuffled row per pixel. With ``images``, an image without pixels is listed, and
+    Distinct positions are counted exactly with bits: 64 positions of an image
+    are one long, or-ed map-side in a hash aggregate, instead of one shuffled row
+    per pixel. With ``images``, an image without pixels is listed, and
     pixels of an undeclared image are not ok.
     """
     placed = F.col("x").between(0, F.col("width") - 1) & F.col("y").between(0, F.col("height") - 1)
@@ -22,28 +21,25 @@ def check_images(pixels: DataFrame, images: DataFrame | None = None) -> DataFram
     for c in "rgba":
         good_values = good_values & F.coalesce(F.col(c).between(0, 255), F.lit(False))
     position = F.when(placed, F.col("y").cast("long") * F.col("width") + F.col("x")).otherwise(F.lit(0))
+    one_bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("position").bitwiseAND(F.lit(63)).cast("int"))
     ranges = (
         pixels.select(
             "image_id", "width", "height", position.alias("position"), placed.alias("placed"),
             good_values.alias("good"),
         )
-        .groupBy("image_id", F.call_function("bitmap_bucket_number", col("position")).alias("bucket"))
+        .groupBy("image_id", F.shiftright("position", 6).alias("word"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count(F.when(~F.col("placed"), 1)).alias("misplaced"),
             F.count(F.when(~F.col("good"), 1)).alias("bad"),
             F.min("width").alias("w0"), F.max("width").alias("w1"),
             F.min("height").alias("h0"), F.max("height").alias("h1"),
-            F.bitmap_construct_agg(
-                F.when(
-                    F.col("placed"), F.call_function("bitmap_bit_position", col("position"))
-                )
-            ).alias("bits"),
+            F.bit_or(F.when(F.col("placed"), one_bit)).alias("bits"),
         )
     )
     facts = ranges.groupBy("image_id").agg(
         F.sum("n").alias("pixels"),
-        F.sum(F.bitmap_count("bits")).alias("positions"),
+        F.sum(F.coalesce(F.bit_count("bits"), F.lit(0))).cast("long").alias("positions"),
         F.sum("misplaced").alias("misplaced"),
         F.sum("bad").alias("bad_values"),
         (F.max("w1").cast("long") * F.max("h1")).alias("expected"),

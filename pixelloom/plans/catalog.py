@@ -387,6 +387,25 @@ def image_color_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return palette.color_counts(inputs.glyphs(spark, sf_dir))
 
 
+@query
+def declared_image_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third picture is not stored, every fourth not declared."""
+    stored = inputs.glyphs(spark, sf_dir, 5, 3).filter(F.col("image_id").cast("long") % 3 != 0)
+    declared = inputs.part_prompts(spark, sf_dir).filter(F.col("seed") % 4 != 0).select(
+        "image_id", F.lit(5).alias("width"), F.lit(3).alias("height")
+    )
+    return quality.check_images(stored, declared)
+
+
+@query
+def image_color_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = inputs.glyphs(spark, sf_dir)
+    sketched = palette.color_estimates(palette.color_sketches(pixels))
+    return palette.color_counts(pixels).join(sketched, "image_id").select(
+        "image_id", "colors", (F.abs(F.col("estimate") - F.col("colors")) <= F.greatest(F.lit(1.0), 0.05 * F.col("colors"))).alias("close")
+    )
+
+
 @query
 def image_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Some images are damaged: a hole, a doubled pixel, or a value out of range.

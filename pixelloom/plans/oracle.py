@@ -763,6 +763,12 @@ def build() -> dict[str, str]:
         "CAST((c.range * l.range + length(p_name)) % 256 AS INTEGER) AS g, "
         "CAST(40 + 180 * ((c.range + l.range) % 2) AS INTEGER) AS b, 255 AS a FROM part, range(8) c, range(6) l WHERE p_size <= 45"
     )
+    out["declared_image_integrity"] = (
+        "SELECT CAST(p_partkey AS VARCHAR) AS image_id, CASE WHEN kept THEN 15 ELSE 0 END::BIGINT AS pixels, "
+        "CASE WHEN kept THEN 15 ELSE 0 END::BIGINT AS positions, 15::BIGINT AS expected, 0::BIGINT AS misplaced, 0::BIGINT AS bad_values, "
+        "kept AND told AS ok FROM (SELECT p_partkey, p_partkey % 3 <> 0 AS kept, p_partkey % 4 <> 0 AS told FROM part) WHERE kept OR told"
+    )
+    final("image_color_estimates", part_glyphs, "SELECT image_id, count(DISTINCT (r * 256 + g) * 256 + b) AS colors, true AS close FROM glyph GROUP BY image_id")
     sized_part = "(SELECT s.*, p_size FROM sized s JOIN (SELECT CAST(p_partkey AS VARCHAR) AS image_id, p_size FROM part) USING (image_id))"
     final(
         "routed_inference", sized_glyphs,

@@ -243,6 +243,21 @@ def test_palette_order_and_counts(images):
     assert [r.palette_ix for r in rows] == list(range(len(rows)))
 
 
+def test_color_sketches_merge_within_their_error(images):
+    table = images.table(a=noise(90, 80, 1), b=noise(60, 70, 2), c=np.full((4, 4, 4), 9))
+    exact = {r.image_id: r.colors for r in palette.color_counts(table).collect()}
+    sketches = palette.color_sketches(table)
+    for r in palette.color_estimates(sketches).collect():
+        assert abs(r.estimate - exact[r.image_id]) <= max(1, 0.05 * exact[r.image_id])
+    total = palette.color_estimates(palette.merged_sketches(sketches)).first()
+    every = table.select("r", "g", "b").distinct().count()
+    assert abs(total.estimate - every) <= 0.05 * every
+    parts = table.withColumn("part", F.col("y") % 5)
+    again = palette.merged_sketches(palette.color_sketches(parts, "image_id", "part"), "image_id")
+    same = {r.image_id: r.estimate for r in palette.color_estimates(again).collect()}
+    assert all(abs(same[n] - exact[n]) <= max(1, 0.05 * exact[n]) for n in exact)
+
+
 def test_check_images(images):
     good, hole = images.table(good=noise(6, 5)), images.table(hole=noise(6, 5)).filter("NOT (x = 2 AND y = 2)")
     doubled = images.table(twice=noise(3, 3)).withColumn(

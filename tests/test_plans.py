@@ -91,9 +91,9 @@ def test_palette_histogram_is_shuffled_once(stored):
     assert "ReusedExchange" in final_plan(palette.palette(stored))
 
 
-def test_integrity_check_shuffles_bitmaps_not_pixels(stored):
+def test_integrity_check_is_a_hash_aggregate_of_bits(stored):
     text = plan(quality.check_images(stored))
-    assert "partial_bitmap_construct_agg" in text
+    assert "partial_bit_or" in text and "Sort" not in text
 
 
 def test_a_hot_image_is_cut_into_bounded_groups(spark):
