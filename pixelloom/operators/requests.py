@@ -202,6 +202,64 @@ def fill_templates(rows: DataFrame, column: str, params: str = "params") -> tupl
     return filled.drop("undefined"), rejected.drop("undefined")
 
 
+# A JSON string that is one placeholder, in a place where a value can stand.
+PLACEHOLDER = r'(?<!\\)"\$\{([^"\\]*)\}"(?=[,\]}]|$)'
+
+
+def json_params(params: Column, types: Column) -> Column:
+    """A map of parameter texts as a map of JSON values, by the declared type of each name.
+
+    int and float texts become numbers and bool texts true or false; a text that
+    does not read as its type, and a name without a type, become strings. Null
+    becomes null.
+    """
+
+    def value(name: Column, text: Column) -> Column:
+        kind = F.coalesce(F.try_element_at(types, name), F.lit("string"))
+        string = F.substring(F.to_json(F.array(text)), F.lit(2), F.length(F.to_json(F.array(text))) - 2)
+        return (
+            F.when(text.isNull(), F.lit("null"))
+            .when((kind == "int") & text.try_cast("bigint").isNotNull(), text.try_cast("bigint").cast("string"))
+            .when((kind == "float") & text.try_cast("double").isNotNull() & text.rlike("[0-9]"), F.to_json(F.parse_json(F.trim(text))))
+            .when((kind == "bool") & F.lower(text).isin("true", "false"), F.lower(text))
+            .otherwise(string)
+        )
+
+    return F.transform_values(params, value)
+
+
+def fill_json(rows: DataFrame, column: str, params: str = "params") -> tuple[DataFrame, DataFrame]:
+    """Replace every JSON string that is exactly ``"${name}"`` by the value of that parameter, type and all.
+
+    ``column`` is a JSON text of any nesting and ``params`` a map of JSON texts
+    (``json_params``). The result is a variant: a number stays a number, an
+    object becomes part of the tree. Keys, and strings that merely contain a
+    placeholder, stay. Rows that name an undefined parameter, or are no JSON,
+    are rejected; a null text stays null.
+    """
+    given = F.coalesce(F.col(params), F.create_map().cast("map<string,string>"))
+    parsed = F.try_parse_json(F.col(column))
+    names = F.array_distinct(F.regexp_extract_all(F.coalesce("_text", F.lit("")), F.lit(PLACEHOLDER), F.lit(1)))
+    judged = rows.withColumn("_text", F.to_json(parsed)).withColumn("_names", names).withColumn(
+        "_undefined", F.array_sort(F.array_except("_names", F.map_keys(given)))
+    )
+
+    def put(text: Column, name: Column) -> Column:
+        pattern = F.concat(F.lit(r'(?<!\\)"\$\{\Q'), name, F.lit(r'\E\}"(?=[,\]}]|$)'))
+        literal = F.regexp_replace(F.coalesce(given[name], F.lit("null")), r"([\\$])", r"\\$1")
+        return F.regexp_replace(text, pattern, literal)
+
+    broken = F.col(column).isNotNull() & F.col("_text").isNull()
+    bad = broken | (F.size("_undefined") > 0)
+    filled = judged.filter(~bad).withColumn(column, F.parse_json(F.aggregate("_names", F.col("_text"), put)))
+    reason = F.when(broken, F.lit("ValueError: no JSON")).otherwise(
+        F.concat(F.lit("KeyError: undefined param "), F.array_join("_undefined", ", "))
+    )
+    rejected = judged.filter(bad).withColumn("reason", reason)
+    own = ("_text", "_names", "_undefined")
+    return filled.drop(*own), rejected.drop(*own)
+
+
 def choose_candidates(nodes: DataFrame, choices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The picked candidate of each (run, node), else its first one.
 

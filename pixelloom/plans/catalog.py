@@ -565,6 +565,22 @@ def layered_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.typed_params(resolved, declared).select("request_id", "name", "type", "value")
 
 
+@query
+def typed_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates in JSON whose numbers, flags and objects keep their type."""
+    texts = F.create_map(
+        F.lit("user"), F.col("user_id").cast("string"), F.lit("buys"), (F.col("event_type") == "purchase").cast("string"),
+        F.lit("kind"), F.col("event_type"),
+    )
+    types = F.create_map(F.lit("user"), F.lit("int"), F.lit("buys"), F.lit("bool"), F.lit("kind"), F.lit("string"))
+    node = '{"seed": "${user}", "note": "${user} x", "on": {"${kind}": ["${buys}", 1, "${kind}"]}}'
+    rows = inputs.table(spark, sf_dir, "events").select("event_id", F.lit(node).alias("node"), requests.json_params(texts, types).alias("params"))
+    filled, _ = requests.fill_json(rows, "node")
+    seed = F.variant_get("node", "$.seed", "bigint")
+    return filled.select("event_id", (seed + 1).alias("next_seed"), F.variant_get("node", "$.on['${kind}'][0]", "boolean").alias("buys"), F.to_json("node").alias("node"))
+
+
+
 def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = inputs.table(spark, sf_dir, "events")
     bad = F.when(F.col("event_type") == "error", "${missing}").otherwise("a${k}")

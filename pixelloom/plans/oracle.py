@@ -763,6 +763,10 @@ def build() -> dict[str, str]:
         "CAST((c.range * l.range + length(p_name)) % 256 AS INTEGER) AS g, "
         "CAST(40 + 180 * ((c.range + l.range) % 2) AS INTEGER) AS b, 255 AS a FROM part, range(8) c, range(6) l WHERE p_size <= 45"
     )
+    out["typed_templates"] = (
+        "SELECT event_id, user_id + 1 AS next_seed, event_type = 'purchase' AS buys, '{\"note\":\"${user} x\",\"on\":{\"${kind}\":[' || "
+        "(event_type = 'purchase')::VARCHAR || ',1,\"' || event_type || '\"]},\"seed\":' || user_id || '}' AS node FROM events"
+    )
     out["declared_image_integrity"] = (
         "SELECT CAST(p_partkey AS VARCHAR) AS image_id, CASE WHEN kept THEN 15 ELSE 0 END::BIGINT AS pixels, "
         "CASE WHEN kept THEN 15 ELSE 0 END::BIGINT AS positions, 15::BIGINT AS expected, 0::BIGINT AS misplaced, 0::BIGINT AS bad_values, "

@@ -260,6 +260,29 @@ def test_glyph_table_function_equals_the_generator(spark):
     assert spark.sql("SELECT count(*) FROM glyph('one', 2L, 5, 4)").first()[0] == 20
 
 
+def test_json_templates_keep_types(spark):
+    import json
+
+    types = {"i": "int", "f": "float", "b": "bool", "s": "string", "bad": "int", "none": "int"}
+    texts = {"i": "7", "f": "2.5", "b": "TRUE", "s": 'q"\\ $1 ${i}', "bad": "x7", "none": None, "free": "9"}
+    rows = [
+        (1, '{"a": "${i}", "b": ["${f}", "${b}", {"c": "${s}"}], "${i}": "${bad}", "d": "x ${i}", "e": "${none}", "g": "${free}"}'),
+        (2, '"${i}"'), (3, '["${i}","${i}"]'), (4, '{"a": "say \\"${i}", "b": "\\"${i}\\""}'), (5, '["${nope}", "${also}"]'),
+        (6, "{broken"), (7, None), (8, '{"deep": {"er": [[["${tree}"]]]}}'),
+    ]
+    df = spark.createDataFrame([(i, t, texts, types) for i, t in rows], "id int, node string, texts map<string,string>, types map<string,string>")
+    params = F.map_concat(requests.json_params(F.col("texts"), F.col("types")), F.create_map(F.lit("tree"), F.lit('{"x": [1, true]}')))
+    filled, rejected = requests.fill_json(df.withColumn("params", params), "node")
+    got = {r.id: r.node and json.loads(r.node) for r in filled.select("id", F.to_json("node").alias("node")).collect()}
+    assert got == {
+        1: {"a": 7, "b": [2.5, True, {"c": texts["s"]}], "${i}": "x7", "d": "x ${i}", "e": None, "g": "9"},
+        2: 7, 3: [7, 7], 4: {"a": 'say "${i}', "b": '"${i}"'}, 7: None, 8: {"deep": {"er": [[[{"x": [1, True]}]]]}},
+    }
+    assert {r.id: r.reason for r in rejected.collect()} == {5: "KeyError: undefined param also, nope", 6: "ValueError: no JSON"}
+    kind = filled.filter("id = 1").select(F.schema_of_variant("node")).first()[0]
+    assert "a: BIGINT" in kind and "d: STRING" in kind
+
+
 def test_strict_mode_fails_with_the_reason(spark):
     rejects = spark.sql("SELECT 'a' AS id, 'ValueError: bad' AS reason")
     with pytest.raises(Exception, match="ValueError: bad"):
