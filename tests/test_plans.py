@@ -15,7 +15,7 @@ from pixelloom.plans.catalog import QUERIES
 from pixelloom.sources import artifacts
 
 # These run jobs while they are built.
-EAGER = ("stream", "read_png", "png_", "decode_png", "stored_", "manifest_append")
+EAGER = ("stream", "late_run", "read_png", "png_", "decode_png", "stored_", "manifest_append")
 
 
 def plan(df) -> str:
