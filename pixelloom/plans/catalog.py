@@ -934,7 +934,7 @@ def _asked_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = asked.select(
         F.col("image_id").alias("request_id"), op.alias("op"),
         F.when(F.col("p_size") == 7, "unknown").otherwise("stub-image").alias("model_id"),
-        "prompt", F.lit("picture").alias("scope_id"), own.alias("overrides"),
+        "prompt", op.alias("scope_id"), own.alias("overrides"),
     )
     brought = artifacts.encode_png(inputs.sized_glyphs(spark, sf_dir)).select(
         F.col("image_id").alias("request_id"), F.base64("png").alias("image_b64")
@@ -949,7 +949,7 @@ def _asked_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _routed_inference(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Requests, layered parameters, routing, inference: (results, requests without an adapter)."""
     declared = spark.createDataFrame(
-        [("picture", "width", "int", "8"), ("picture", "height", "int", "6"), ("picture", "seed", "int", "0")],
+        [(op, *one) for op in ("text2img", "img2img") for one in (("width", "int", "8"), ("height", "int", "6"), ("seed", "int", "0"))],
         "scope_id string, name string, type string, default_value string",
     )
     layered = requests.resolve_params(
