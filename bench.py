@@ -14,7 +14,6 @@ import time
 
 HEADLINE = (
     "prompt_glyphs",
-    "routed_inference",
     "box_downsample",
     "pixelize",
     "quantize",
