@@ -19,11 +19,15 @@ What keeps it small:
   not all its pairs;
 * a pair belongs to the first key both share, so the places of the key in both
   prefixes bound its overlap too, and narrow the size band of a document;
+* that key is looked up, too: a tile knows the first EARLIER tiles before it of
+  each document and leaves a pair that met in one of them to it;
+* a document without one of another cluster in its size band of a tile is not in it;
 * a key with many documents is cut into blocks of BLOCK; tasks get block pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +43,7 @@ BLOCK = 512
 COMMON_SHARE = 256  # a shingle in more than 1 / COMMON_SHARE of the documents goes last
 SURVEY_ROWS = 2048
 FILTER_BITS = 1 << 24
+EARLIER = 16  # a pair without a common one among them is compared again, and dropped as repeated
 LEADER_KEYS = 4
 LEADER_TURNS = 6
 WIDEST = 1 << 16
@@ -269,10 +274,18 @@ def _tile_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame
     # a document without another of its size band in the tile has no pair there, so needs no bitmap
     met = met.withColumn("room", _room(F.col("n_shingles").cast("long"), F.col("place"), percent))
     size = F.col("n_shingles").cast("long") * percent
-    met = met.join(_neighbour_sizes(met), ["key", "n_shingles"])
+    met = met.join(_neighbour_sizes(met, percent), ["key", "n_shingles"])
     band = (F.col("below") >= size) | (F.col("room") >= F.col("above") * percent) | ((F.col("alike") > 1) & (F.col("room") >= size))
-    met = met.filter(band).drop("below", "above", "alike", "place").join(
-        reps.select("doc_id", "n_shingles", "bits"), ["doc_id", "n_shingles"]
+    foreign = (F.col("lowest") != F.col("cluster")) | (F.col("highest") != F.col("cluster"))
+    # the tiles of a document in the common order: each tile gets the first of those before it
+    own = met.filter(band & foreign).groupBy("doc_id", "n_shingles", "cluster").agg(
+        F.sort_array(F.collect_list(F.struct("place", "key", "n", "room"))).alias("own")
+    )
+    met = own.join(reps.select("doc_id", "n_shingles", "bits"), ["doc_id", "n_shingles"]).select(
+        "doc_id", "n_shingles", "cluster", "bits", F.slice("own.key", 1, EARLIER).alias("first"), F.posexplode("own").alias("turn", "tile")
+    ).select(
+        "doc_id", "n_shingles", "cluster", "bits", "tile.key", "tile.n", "tile.room",
+        F.slice("first", F.lit(1), F.least(F.col("turn"), F.lit(EARLIER))).alias("earlier"),
     )
     # blocks of about BLOCK documents, by a hash of the id; a row goes to every block pair of its block
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -281,7 +294,7 @@ def _tile_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "doc_id", "cluster", "n_shingles", "room", "bits",
+        "block", "doc_id", "cluster", "n_shingles", "room", "bits", "earlier",
     )
     dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_shingles")
     return dealt.mapInArrow(_tiles(percent), "a long, b long").distinct()
@@ -295,15 +308,21 @@ def _room(size, place, percent: int):
     return (100 + percent) * (size - place) - percent * size
 
 
-def _neighbour_sizes(met: DataFrame) -> DataFrame:
-    """Of each key and set size: documents of that size (alike), the widest room of smaller ones (below), the next size (above).
+def _neighbour_sizes(met: DataFrame, percent: int) -> DataFrame:
+    """Of each key and set size: documents of that size (alike), the widest room of smaller ones (below), the next size
+    (above), the lowest and highest cluster among the sizes that allow the similarity.
 
     The rows of a key are summed by size before its window, so a key that very
     many documents share brings one row per size to a task.
     """
     along = Window.partitionBy("key").orderBy("n_shingles")
-    return met.groupBy("key", "n_shingles").agg(F.count(F.lit(1)).alias("alike"), F.max("room").alias("widest")).select(
-        "key", "n_shingles", "alike",
+    # the range is a ratio of sizes, so it is taken on their logarithm (in millionths, one more on each end)
+    reach = math.ceil(1e6 * math.log(100 / percent)) + 1
+    near = Window.partitionBy("key").orderBy(F.round(F.log("n_shingles") * 1e6).cast("long")).rangeBetween(-reach, reach)
+    return met.groupBy("key", "n_shingles").agg(
+        F.count(F.lit(1)).alias("alike"), F.max("room").alias("widest"), F.min("cluster").alias("low"), F.max("cluster").alias("high")
+    ).select(
+        "key", "n_shingles", "alike", F.min("low").over(near).alias("lowest"), F.max("high").over(near).alias("highest"),
         F.max("widest").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("below"),
         F.lead("n_shingles").over(along).cast("long").alias("above"),
     )
@@ -324,6 +343,9 @@ def _tiles(percent: int):
             return
         bits = [np.frombuffer(x, np.uint8) for x in tile.column("bits").to_pylist()]
         limit = np.searchsorted(size, room // percent, "right")  # sorted by size
+        earlier = tile.column("earlier").combine_chunks()
+        at = np.append(0, np.cumsum(earlier.value_lengths().to_numpy(zero_copy_only=False)))
+        names, codes = np.unique(earlier.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
         width = np.array([len(x) for x in bits])
         stacks = {w: np.stack([fold_to(bits[x], w) for x in np.flatnonzero((width == w) | (width == 2 * w))]) for w in np.unique(width)}
         place = {w: np.cumsum((width == w) | (width == 2 * w)) - 1 for w in stacks}
@@ -332,6 +354,11 @@ def _tiles(percent: int):
             others = others[(cluster[others] != cluster[x]) & (room[others] >= percent * int(size[x]))]
             if i != j:
                 others = others[block[others] != block[x]]
+            if len(others) and at[x] < at[x + 1]:  # a pair that also meets in an earlier tile is compared there
+                before = np.zeros(len(names), bool)
+                before[codes[at[x] : at[x + 1]]] = True
+                met = np.append(0, np.cumsum(before[codes]))
+                others = others[met[at[others + 1]] == met[at[others]]]
             if not len(others):
                 continue
             w = width[x]

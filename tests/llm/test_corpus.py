@@ -95,6 +95,28 @@ def test_jaccard_classes_equal_brute_force(spark, odd):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(texts)
 
 
+def test_tile_pairs_hold_every_link_between_clusters(spark):
+    """Sets that share many keys, in clusters of their own or few: all links of different clusters are candidates, once each."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    texts = {}
+    for i in range(40):
+        words = base[: rng.choice((90, 88, 76))]
+        for _ in range(i % 5):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        texts[i] = words
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    reps = jaccard_join.saved(docs.mapInArrow(jaccard_join._features(np.zeros(0, np.uint64), 80, 5), jaccard_join.FEATURES), "representatives")
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in texts.items()}
+    linked = {(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    for cluster in (lambda i: i, lambda i: i % 3):
+        clusters = spark.createDataFrame([(i, cluster(i)) for i in texts], "node long, component long")
+        got = [tuple(r) for r in jaccard_join._tile_pairs(reps, clusters, 80).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) >= {(a, b) for a, b in linked if cluster(a) != cluster(b)}
+        assert all(cluster(a) != cluster(b) for a, b in got)
+
+
 def test_jaccard_classes_of_repeated_ids(spark):
     """A doc_id on two texts is one node with the links of both; repeated rows are not compared with each other's copies."""
     rng = random.Random(6)
