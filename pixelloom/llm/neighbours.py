@@ -1,19 +1,23 @@
 """Near-duplicate vectors by Euclidean p-stable hashing with exact cosine checks.
 
-Vectors are normalised and projected on TABLES groups of Gaussian directions
-made orthonormal; each projection is quantised with a random offset and a fixed
-width, and the cells of a group are the bucket of that table. On unit vectors
-cosine >= c is distance <= r = sqrt(2 - 2c). The groups are orthogonal, so the
-squared distances inside the groups add up to at most r^2, and in at least one
-table it is at most r^2 / TABLES. A vector is therefore stored in its own bucket of each table
-and also looks into the neighbouring buckets which that radius reaches (only the
-larger keys: the other vector looks the other way). Every pair over the
-threshold meets, none by luck. The first table in which a pair is that close
-counts it, so no pair counts twice and no pairs need to be shuffled.
+Vectors are normalised and projected on Gaussian directions; each projection is
+quantised with a random offset and one width, and the cells of one table's
+directions are the bucket of that table. On unit vectors cosine >= c is distance
+<= r = sqrt(2 - 2c), at which two projections share a cell with a known
+probability, as they do at the distance sqrt(2) of unrelated vectors.
+
+`layout` takes width, directions per table and tables from both and from the
+number of vectors: unrelated vectors bring RIVALS others per bucket at any
+number of vectors, and a pair just at the threshold is missed by all tables with
+probability MISS, a nearer one more rarely. What meets in a bucket is compared by its cosine in
+double precision. The first table in which a pair meets counts it, so no pair
+counts twice and no pairs need to be shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,20 +26,54 @@ from pyspark.sql import functions as F
 from pixelloom.llm.common import mixed, saved
 from pixelloom.llm.components import components
 
-TABLES = 8
-WIDTH = 0.45
+MISS = 1e-4
+RIVALS = 0.25
+WIDTHS = (0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
+MOST_TABLES = 256  # beyond it, tables take fewer directions: more is compared, nothing more is missed
 BLOCK = 512
-SLACK = 1e-9  # rounding of projections
+
+
+def same_cell(distance: float, width: float) -> float:
+    """Probability that a Gaussian projection puts two points of this distance into one cell."""
+    t = width / distance
+    return math.erf(t / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
+
+
+def layout(rows: int, threshold: float) -> tuple[float, int, int]:
+    """(width, directions per table, tables) for so many vectors of one label, by the fewest tables."""
+    near = max(1e-3, math.sqrt(2 - 2 * threshold))
+
+    def tables(width: float, directions: int) -> int:
+        return math.ceil(math.log(MISS) / math.log1p(-min(same_cell(near, width) ** directions, 1 - 1e-9)))
+
+    found = []
+    for width in WIDTHS:
+        directions = max(1, math.ceil(math.log(max(rows, 2) / RIVALS) / -math.log(same_cell(math.sqrt(2), width))))
+        while directions > 1 and tables(width, directions) > MOST_TABLES:
+            directions -= 1
+        rivals = rows * same_cell(math.sqrt(2), width) ** directions
+        found.append((max(rivals, RIVALS), tables(width, directions), width, directions))
+    _, most, width, directions = min(found)
+    return width, directions, most
 
 
 class Projections:
-    """Orthonormal directions and offsets for one dimension, split over the tables."""
+    """Directions and offsets of all tables for one dimension."""
 
-    def __init__(self, dim: int, seed: int):
+    def __init__(self, dim: int, seed: int, width: float, directions: int, tables: int):
         rng = np.random.default_rng([seed, dim])
-        basis, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
-        self.groups = [basis[:, g] for g in np.array_split(np.arange(dim), min(TABLES, dim))]
-        self.offsets = [rng.uniform(0, WIDTH, g.shape[1]) for g in self.groups]
+        self.width, self.directions, self.tables = width, directions, tables
+        self.basis = rng.standard_normal((dim, tables * directions))
+        self.offset = rng.uniform(0, width, tables * directions)
+
+    def keys(self, v: np.ndarray) -> np.ndarray:
+        """The bucket of every row in every table: (rows, tables)."""
+        cells = np.floor((v @ self.basis + self.offset) / self.width).astype(np.int64).view(np.uint64)
+        cells = cells.reshape(len(v), self.tables, self.directions)
+        h = np.broadcast_to(np.arange(1, self.tables + 1, dtype=np.uint64), cells.shape[:2])
+        for i in range(self.directions):
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, i])
+        return h.view(np.int64)
 
 
 def unit(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,37 +85,6 @@ def unit(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300), good
 
 
-def _key(cells: np.ndarray, table: int) -> np.ndarray:
-    h = np.full(len(cells), table + 1, np.uint64)
-    for c in cells.T:
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(np.uint64))
-    return h.view(np.int64)
-
-
-def _buckets(v: np.ndarray, p: Projections, limit: float):
-    """(row, table, key, own): the own bucket of every row and the larger ones within reach."""
-    for t, (basis, offset) in enumerate(zip(p.groups, p.offsets)):
-        x = (v @ basis + offset) / WIDTH
-        cell = np.floor(x).astype(np.int64)
-        key = _key(cell, t)
-        yield np.arange(len(v)), t, key, np.ones(len(v), bool)
-        down, up = (x - cell) * WIDTH, (cell + 1 - x) * WIDTH
-        rows, cells, spent = np.arange(len(v)), cell, np.zeros(len(v))
-        for i in range(cell.shape[1]):  # widen axis by axis; the spent distance prunes
-            new = [(rows, cells, spent)]
-            for step, gap in ((-1, down[:, i]), (1, up[:, i])):
-                cost = spent + gap[rows] ** 2
-                ok = cost <= limit
-                if ok.any():
-                    moved = cells[ok].copy()
-                    moved[:, i] += step
-                    new.append((rows[ok], moved, cost[ok]))
-            rows, cells, spent = (np.concatenate(z) for z in zip(*new))
-        far = _key(cells, t)
-        ask = far > key[rows]
-        yield rows[ask], t, far[ask], np.zeros(int(ask.sum()), bool)
-
-
 def near_vectors(
     vectors: DataFrame, threshold: float = 0.98, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
@@ -89,8 +96,9 @@ def near_vectors(
     without id, link with nothing. n_links counts the other rows linked directly;
     component_id is the smallest id reachable (the row's own id when alone);
     kept says whether it is the row's own. Repeated rows are rows of their own
-    and link with each other; a vec_id on several vectors is one node of the graph.
-    An empty table gives an empty table; other columns
+    and link with each other; a vec_id on several vectors does not join them.
+    Of the pairs just at the threshold the tables miss one in 10,000 on average
+    (MISS), of nearer ones fewer; none below it is linked. An empty table gives an empty table; other columns
     are ignored. The threshold must be above 0.5 and at most 1.
     """
     if not 0.5 < threshold <= 1:
@@ -98,59 +106,59 @@ def near_vectors(
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"), F.col(label_col).cast("string").alias("label")
     )
-    # equal vectors are one point with a count
+    # equal vectors are one point with a count and a number of its own
     point = saved(
         rows.filter("vec_id is not null and label is not null and size(v) > 0").groupBy("label", "v").agg(
             F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")
-        ),
+        ).withColumn("point", F.monotonically_increasing_id()),
         "points",
     )
-    limit = 2 - 2 * threshold
+    largest = point.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    drawn = (seed, *layout(largest, threshold))
 
     def place(batches):
         known: dict[int, Projections] = {}
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
-                lists = part.column("v")
-                sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                sizes = part.column("v").value_lengths().to_numpy(zero_copy_only=False)
                 for dim in np.unique(sizes):
                     own = part.filter(pa.array(sizes == dim))
-                    flat = own.column("v").flatten()
-                    values = flat.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+                    values = own.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
                     v, good = unit(values)
                     own, v = own.filter(pa.array(good)), v[good]
-                    if not len(v):
-                        continue
-                    p = known.setdefault(int(dim), Projections(int(dim), seed))
-                    for row, table, key, home in _buckets(v, p, limit / len(p.groups) + SLACK):
-                        if not len(row):
-                            continue
-                        take = pa.array(row)
+                    if len(v):
+                        if int(dim) not in known:
+                            known[int(dim)] = Projections(int(dim), *drawn)
+                        keys = known[int(dim)].keys(v)
+                        ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * keys.shape[1])
+                        keys = pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))
                         yield pa.RecordBatch.from_arrays(
-                            [own.column("label").take(take), pa.array(np.full(len(row), dim, np.int32)), pa.array(np.full(len(row), table, np.int32)),
-                             pa.array(key), pa.array(home), own.column("vec_id").take(take)],
-                            names=["label", "dim", "tab", "key", "home", "vec_id"],
+                            [own.column("point"), own.column("label"), pa.array(np.full(len(v), dim, np.int32)), keys, own.column("copies"), own.column("v")],
+                            names=["point", "label", "dim", "keys", "copies", "v"],
                         )
 
-    placed = point.mapInArrow(place, "label string, dim int, tab int, key long, home boolean, vec_id long")
+    kind = point.schema["v"].dataType.simpleString()
+    placed = saved(
+        point.select("point", "label", "copies", "v").mapInArrow(
+            place, f"point long, label string, dim int, keys array<long>, copies long, v {kind}"
+        ),
+        "keys",
+    )
     bucket = ["label", "dim", "tab", "key"]
-    placed = saved(placed, "buckets")
-    counts = placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).filter("n > 1 and any")
-    met = placed.join(counts.drop("any"), bucket)
+    met = placed.select("point", "label", "dim", F.posexplode("keys").alias("tab", "key"))
+    counts = met.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = met.join(counts, bucket)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    cells = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn(
+    cells = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("n", "blocks", "other")
     keys = [*bucket, "i", "j"]
-    # the vectors come last: one shuffle carries them
-    cells = cells.join(point.select("label", "vec_id", "copies", "v").filter("size(v) > 0"), ["label", "vec_id"]).filter(
-        F.size("v") == F.col("dim")
-    )
+    # the vectors come last: one shuffle carries them, for rows of buckets with others only
+    cells = cells.join(placed.select("point", "keys", "copies", "v"), "point")
     dealt = cells.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches):
-        known: dict[int, Projections] = {}
         held = None
         for batch in batches:
             new = pa.Table.from_batches([batch])
@@ -158,18 +166,18 @@ def near_vectors(
             marks = _changes(held, keys)
             if len(marks):
                 done, held = held.slice(0, marks[-1]), held.slice(marks[-1])
-                yield from _cells(done.combine_chunks(), marks[:-1], known, seed, threshold)
+                yield from _cells(done.combine_chunks(), marks[:-1], threshold)
         if held is not None and held.num_rows:
-            yield from _cells(held.combine_chunks(), _changes(held, keys), known, seed, threshold)
+            yield from _cells(held.combine_chunks(), _changes(held, keys), threshold)
 
     found = saved(dealt.mapInArrow(compare, "kind int, a long, b long"), "links")
-    # kind 0: vector a gets b links from this cell; kind 1: an edge a - b of the cell's spanning forest
-    linked = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
-    joined = components(found.filter("kind = 1").select("a", "b"))
-    reps = point.select("label", "v", F.col("vec_id").alias("rep"), "copies").join(linked, "rep", "left").join(
-        joined.withColumnRenamed("node", "rep"), "rep", "left"
+    # kind 0: point a gets b links from this cell; kind 1: an edge a - b of the cell's spanning forest
+    linked = found.filter("kind = 0").groupBy(F.col("a").alias("point")).agg(F.sum("b").alias("others"))
+    joined = components(found.filter("kind = 1").select("a", "b")).withColumnRenamed("node", "point")
+    least = joined.join(point.select("point", "vec_id"), "point").groupBy("component").agg(F.min("vec_id").alias("least"))
+    pointed = point.join(linked, "point", "left").join(joined.join(least, "component"), "point", "left").select(
+        "label", "v", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("least", "vec_id").alias("component")
     )
-    pointed = reps.select("label", "v", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "rep").alias("component"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     out = rows.join(pointed, ["label", "v"], "left")
     links = F.when(F.col("vec_id").isNotNull() & sound, F.coalesce(F.col("copies") - 1 + F.col("others"), F.lit(0))).otherwise(0)
@@ -188,40 +196,30 @@ def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(changed) + 1
 
 
-def _cells(table: pa.Table, marks: np.ndarray, known: dict, seed: int, threshold: float):
-    dims, tabs, blocks, homes, ids, copies, i, j = (
-        table.column(c).to_numpy() for c in ("dim", "tab", "block", "home", "vec_id", "copies", "i", "j")
+def _cells(table: pa.Table, marks: np.ndarray, threshold: float):
+    dims, tabs, blocks, points, copies, i, j = (
+        table.column(c).to_numpy() for c in ("dim", "tab", "block", "point", "copies", "i", "j")
     )
     edges = [0, *marks.tolist(), table.num_rows]
     counted: list[np.ndarray] = []
     forest: list[np.ndarray] = []
-    vectors = table.column("v").combine_chunks()
+    vectors, keys = table.column("v").combine_chunks(), table.column("keys").combine_chunks()
     for a, b in zip(edges[:-1], edges[1:]):
-        if b - a < 2 or not homes[a:b].any():
+        if b - a < 2:
             continue
-        dim, t = int(dims[a]), int(tabs[a])
-        p = known.setdefault(dim, Projections(dim, seed))
-        v, _ = unit(vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, dim))
+        v, _ = unit(vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, int(dims[a])))
         close = v @ v.T >= threshold
-        # the first table whose group has the pair within its share of the distance counts it
-        share = (2 - 2 * threshold) / len(p.groups) + SLACK
-        for e, basis in enumerate(p.groups[: t + 1]):
-            x = v @ basis
-            norm = (x**2).sum(axis=1)
-            near = norm[:, None] + norm[None, :] - 2 * (x @ x.T) <= share
-            close &= near if e == t else ~near
-        home, block = homes[a:b], blocks[a:b]
-        close &= home[:, None] | home[None, :]
         if i[a] != j[a]:
-            close &= block[:, None] != block[None, :]
+            close &= blocks[a:b][:, None] != blocks[a:b][None, :]
         np.fill_diagonal(close, False)
         if not close.any():
             continue
-        own, weight = ids[a:b], copies[a:b]
-        total = close @ weight
+        close &= ~_met_before(keys.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)[:, : tabs[a]])
+        total = close @ copies[a:b]
         hit = np.flatnonzero(total)
-        counted.append(np.column_stack([np.zeros(len(hit), np.int64), own[hit], total[hit]]))
-        forest.append(_forest(close, own))
+        if len(hit):
+            counted.append(np.column_stack([np.zeros(len(hit), np.int64), points[a:b][hit], total[hit]]))
+            forest.append(_forest(close, points[a:b]))
     if counted:
         out = np.concatenate(counted + forest)
         yield pa.RecordBatch.from_arrays(
@@ -229,6 +227,17 @@ def _cells(table: pa.Table, marks: np.ndarray, known: dict, seed: int, threshold
         )
 
 
+def _met_before(keys: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share a bucket of these (earlier) tables."""
+    _, codes, often = np.unique(keys, return_inverse=True, return_counts=True)
+    codes = codes.reshape(keys.shape)
+    column = np.cumsum(often > 1) - 1
+    row, tab = np.nonzero((often > 1)[codes])
+    shared = np.zeros((len(keys), int((often > 1).sum())), np.float32)
+    shared[row, column[codes[row, tab]]] = 1
+    return shared @ shared.T > 0
+
+
 def _forest(close: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Edges (1, a, b) that join what the matrix joins, at most one per vector."""
     n, seen, out = len(ids), np.zeros(len(ids), bool), []
