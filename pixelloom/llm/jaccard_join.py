@@ -22,7 +22,9 @@ What keeps it small:
 * that key is looked up, too: a tile knows the first EARLIER tiles before it of
   each document and leaves a pair that met in one of them to it;
 * a document without one of another cluster in its size band of a tile is not in it;
-* a key with many documents is cut into blocks of BLOCK; tasks get block pairs.
+* the documents of a key are cut into blocks of about BLOCK in the order of their
+  sizes (one size that more of them hold, by a hash inside that size), and a
+  document goes only to the block pairs whose sizes its own allows.
 """
 
 from __future__ import annotations
@@ -269,7 +271,7 @@ def _tile_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame
         F.count(F.lit(1)).alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high"),
         F.sum(F.xxhash64("doc_id", "n_shingles").cast("decimal(38,0)")).alias("members"),
         F.min(F.struct("doc_id", "place"))["place"].alias("turn"),
-    ).filter("low <> high").groupBy("n", "members").agg(F.min_by("key", "turn").alias("key")).select("key", "n")
+    ).filter("low <> high").groupBy("n", "members").agg(F.min_by("key", "turn").alias("key")).select("key")
     met = met.join(tiles, "key")
     # a document without another of its size band in the tile has no pair there, so needs no bitmap
     met = met.withColumn("room", _room(F.col("n_shingles").cast("long"), F.col("place"), percent))
@@ -279,19 +281,18 @@ def _tile_pairs(reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame
     foreign = (F.col("lowest") != F.col("cluster")) | (F.col("highest") != F.col("cluster"))
     # the tiles of a document in the common order: each tile gets the first of those before it
     own = met.filter(band & foreign).groupBy("doc_id", "n_shingles", "cluster").agg(
-        F.sort_array(F.collect_list(F.struct("place", "key", "n", "room"))).alias("own")
+        F.sort_array(F.collect_list(F.struct("place", "key", "room", "first_block", "last_block", "from_block", "to_block"))).alias("own")
     )
     met = own.join(reps.select("doc_id", "n_shingles", "bits"), ["doc_id", "n_shingles"]).select(
         "doc_id", "n_shingles", "cluster", "bits", F.slice("own.key", 1, EARLIER).alias("first"), F.posexplode("own").alias("turn", "tile")
     ).select(
-        "doc_id", "n_shingles", "cluster", "bits", "tile.key", "tile.n", "tile.room",
+        "doc_id", "n_shingles", "cluster", "bits", "tile.key", "tile.room", "tile.first_block", "tile.last_block", "tile.from_block", "tile.to_block",
         F.slice("first", F.lit(1), F.least(F.col("turn"), F.lit(EARLIER))).alias("earlier"),
     )
-    # blocks of about BLOCK documents, by a hash of the id; a row goes to every block pair of its block
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    cells = met.withColumn("blocks", blocks).withColumn("block", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # a row goes to the block pairs of its block and those of the sizes in its band, in either order alike
+    spread = F.pmod(F.xxhash64("doc_id"), F.col("last_block") - F.col("first_block") + 1)
+    cells = met.withColumn("block", (F.col("first_block") + spread).cast("int")).withColumn(
+        "other", F.explode(F.sequence("from_block", "to_block"))
     ).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         "block", "doc_id", "cluster", "n_shingles", "room", "bits", "earlier",
@@ -310,7 +311,8 @@ def _room(size, place, percent: int):
 
 def _neighbour_sizes(met: DataFrame, percent: int) -> DataFrame:
     """Of each key and set size: documents of that size (alike), the widest room of smaller ones (below), the next size
-    (above), the lowest and highest cluster among the sizes that allow the similarity.
+    (above), the lowest and highest cluster among the sizes that allow the similarity, the first and last block of this
+    size and of those sizes (from, to). A block number counts BLOCK documents in the order of their sizes.
 
     The rows of a key are summed by size before its window, so a key that very
     many documents share brings one row per size to a task.
@@ -319,12 +321,17 @@ def _neighbour_sizes(met: DataFrame, percent: int) -> DataFrame:
     # the range is a ratio of sizes, so it is taken on their logarithm (in millionths, one more on each end)
     reach = math.ceil(1e6 * math.log(100 / percent)) + 1
     near = Window.partitionBy("key").orderBy(F.round(F.log("n_shingles") * 1e6).cast("long")).rangeBetween(-reach, reach)
-    return met.groupBy("key", "n_shingles").agg(
+    sizes = met.groupBy("key", "n_shingles").agg(
         F.count(F.lit(1)).alias("alike"), F.max("room").alias("widest"), F.min("cluster").alias("low"), F.max("cluster").alias("high")
-    ).select(
+    ).withColumn("until", F.sum("alike").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumns({
+        "first_block": F.floor((F.col("until") - F.col("alike")) / BLOCK).cast("int"),
+        "last_block": F.floor((F.col("until") - 1) / BLOCK).cast("int"),
+    })
+    return sizes.select(
         "key", "n_shingles", "alike", F.min("low").over(near).alias("lowest"), F.max("high").over(near).alias("highest"),
         F.max("widest").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("below"),
-        F.lead("n_shingles").over(along).cast("long").alias("above"),
+        F.lead("n_shingles").over(along).cast("long").alias("above"), "first_block", "last_block",
+        F.min("first_block").over(near).alias("from_block"), F.max("last_block").over(near).alias("to_block"),
     )
 
 

@@ -95,8 +95,11 @@ def test_jaccard_classes_equal_brute_force(spark, odd):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(texts)
 
 
-def test_tile_pairs_hold_every_link_between_clusters(spark):
-    """Sets that share many keys, in clusters of their own or few: all links of different clusters are candidates, once each."""
+@pytest.mark.parametrize("block", [512, 3])
+def test_tile_pairs_hold_every_link_between_clusters(spark, monkeypatch, block):
+    """Sets that share many keys, in clusters of their own or few: all links of different clusters are candidates, once each,
+    in one block and in blocks cut by size and inside one size."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(90)]
     texts = {}
@@ -117,6 +120,24 @@ def test_tile_pairs_hold_every_link_between_clusters(spark):
         assert all(cluster(a) != cluster(b) for a, b in got)
 
 
+def test_blocks_follow_the_sizes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(2)
+    sizes = [50] * 30 + [rng.randint(10, 2000) for _ in range(400)]
+    met = spark.createDataFrame([(1, i, n, 0, i) for i, n in enumerate(sizes)], "key long, doc_id long, n_shingles int, place int, cluster long")
+    met = met.withColumn("room", jaccard_join._room(met.n_shingles.cast("long"), met.place, 80))
+    got = {r.n_shingles: r for r in jaccard_join._neighbour_sizes(met, 80).collect()}
+    assert got[50].last_block - got[50].first_block >= 3 and max(r.last_block for r in got.values()) == len(sizes) // 8
+    for a in got:
+        for b in got:
+            if min(a, b) * 100 >= max(a, b) * 80:
+                assert got[a].from_block <= got[b].first_block and got[b].last_block <= got[a].to_block
+    ordered = [got[n] for n in sorted(got)]
+    assert all(a.last_block <= b.first_block for a, b in zip(ordered, ordered[1:]))
+    # a set goes to the blocks of its band, not to all of them
+    assert sum(got[n].to_block - got[n].from_block + 1 for n in sizes) < 0.5 * len(sizes) * len(sizes) / 8
+
+
 def test_jaccard_classes_of_repeated_ids(spark):
     """A doc_id on two texts is one node with the links of both; repeated rows are not compared with each other's copies."""
     rng = random.Random(6)
@@ -165,6 +186,49 @@ def test_vectors_equal_brute_force(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (links[i], group[i], group[i] == i) for i in links}
 
 
+VECTORS = "vec_id long, embedding array<double>, label int, key int, point int"
+
+
+def test_vectors_of_repeated_ids_and_empty_tables(spark):
+    near = [[1.0, 0.0, 0.001 * i, 0.0] for i in range(4)]
+    rows = [(1, near[0], 0, 1, 1), (1, near[1], 0, 1, 1), (2, near[2], 0, 1, 1), (5, near[3], 0, 1, 1), (5, [0.0, 1.0, 0.0, 0.0], 1, 1, 1)]
+    got = sorted(tuple(r) for r in neighbours.near_vectors(spark.createDataFrame(rows, VECTORS)).collect())
+    assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (5, 0, 5, True), (5, 3, 1, False)]
+    assert neighbours.near_vectors(spark.createDataFrame([], VECTORS)).collect() == []
+    nothing = spark.createDataFrame([(1, None, 0, 1, 1), (2, [], 0, 1, 1), (None, [1.0], 0, 1, 1)], VECTORS)
+    assert {(r.vec_id, r.n_links, r.component_id) for r in neighbours.near_vectors(nothing).collect()} == {(1, 0, 1), (2, 0, 2), (None, 0, None)}
+
+
+def test_buckets_of_unrelated_vectors_stay_small():
+    rng = np.random.default_rng(5)
+    slots = {}
+    for n in (2_000, 20_000, 100_000):
+        v, _ = neighbours.unit(rng.standard_normal((n, 64)))
+        p = neighbours.Projections(64, 11, *neighbours.layout(n, 0.98))
+        met = 0
+        for first in range(0, p.tables, 4):  # a few tables at a time, as all keys of all vectors are many
+            part = neighbours.Projections(64, 11, p.width, p.directions, p.tables)
+            cut = slice(first * p.directions, (first + 4) * p.directions)
+            part.basis, part.offset = p.basis[:, cut], p.offset[cut]
+            part.tables = part.basis.shape[1] // p.directions
+            for keys in part.keys(v).T:
+                count = np.unique(keys, return_counts=True)[1]
+                met += int((count * (count - 1)).sum())
+        slots[n] = met / n / p.tables
+    assert max(slots.values()) < 1 and slots[100_000] < 3 * slots[2_000] + 0.2, slots
+
+
+def test_pairs_at_the_threshold_meet():
+    rng = np.random.default_rng(6)
+    a, _ = neighbours.unit(rng.standard_normal((20_000, 64)))
+    side = rng.standard_normal(a.shape)
+    side, _ = neighbours.unit(side - (side * a).sum(axis=1)[:, None] * a)
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * side
+    p = neighbours.Projections(64, 11, *neighbours.layout(20_000, 0.98))
+    met = np.concatenate([(p.keys(x) == p.keys(y)).any(axis=1) for x, y in zip(np.split(a, 20), np.split(b, 20))])
+    assert met.mean() >= 0.999
+
+
 def test_bpe_equals_the_published_encoder():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
