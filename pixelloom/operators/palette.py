@@ -66,14 +66,15 @@ def _painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], px], [*names, "px"])
 
 
-def quantized_grids(grid: DataFrame, colors: int) -> DataFrame:
+def quantized_grids(grid: DataFrame, colors: int | str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per image of a small grid: size, content bounds, quantised pixels.
 
     For grids whose size is a parameter (``box_downsample`` output), so the
     number of cells per image is bounded by it. ``px`` holds the cells in row
-    order, luma in the high and colour in the low 32 bits.
+    order, luma in the high and colour in the low 32 bits. ``colors`` may name a
+    column, constant per image like the integer columns in ``keep``, which stay.
     """
-    colors = palette_size(colors)
+    sizes = F.max(colors) if isinstance(colors, str) else F.lit(colors)
     content = F.col("a") >= OPAQUE
     alpha = F.when(content, F.lit(255)).otherwise(F.lit(0))
     position = F.col("y").cast("long") * F.col("width") + F.col("x")
@@ -88,6 +89,8 @@ def quantized_grids(grid: DataFrame, colors: int) -> DataFrame:
             (F.max(F.when(content, F.col("x"))) + 1).alias("x1"),
             (F.max(F.when(content, F.col("y"))) + 1).alias("y1"),
             F.collect_list(packed).alias("px"),
+            sizes.cast("int").alias("colors"),
+            *[F.max(c).cast("int").alias(c) for c in keep],
         )
         .withColumn("px", dense(F.sort_array("px"), F.col("width").cast("long") * F.col("height")))
     )
@@ -104,8 +107,13 @@ def quantized_grids(grid: DataFrame, colors: int) -> DataFrame:
             distinct, where, count = np.unique(
                 (image << 24) | ((cells >> 8) & 0xFFFFFF), return_inverse=True, return_counts=True
             )
-            starts = np.flatnonzero(np.diff(distinct >> 24, prepend=-1))
-            rgb = median_cut(distinct & 0xFFFFFF, count, starts, colors)[where]
+            asked = np.array([palette_size(n) for n in batch.column("colors").to_pylist()])[distinct >> 24]
+            rgb = np.empty_like(distinct)
+            for size in np.unique(asked):  # images of one palette size together
+                own = np.flatnonzero(asked == size)
+                starts = np.flatnonzero(np.diff(distinct[own] >> 24, prepend=-1))
+                rgb[own] = median_cut(distinct[own] & 0xFFFFFF, count[own], starts, int(size))
+            rgb = rgb[where]
             luma = 299 * (rgb >> 16) + 587 * ((rgb >> 8) & 255) + 114 * (rgb & 255)
             pixels = (luma << 32) | (rgb << 8) | (cells & 0xFF)
             columns = dict(zip(batch.schema.names, batch.columns))
@@ -113,7 +121,8 @@ def quantized_grids(grid: DataFrame, colors: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = (
-        "image_id string, width int, height int, x0 int, y0 int, x1 int, y1 int, px array<bigint>"
+        "image_id string, width int, height int, x0 int, y0 int, x1 int, y1 int, px array<bigint>, colors int"
+        + "".join(f", {c} int" for c in keep)
     )
     return rows.mapInArrow(cut, schema)
 

@@ -140,6 +140,29 @@ def typed_params(resolved: DataFrame, declared: DataFrame) -> DataFrame:
     return long.join(types, ["scope_id", "name"], "left")
 
 
+def integer_params(
+    resolved: DataFrame, ranges: Mapping[str, tuple[int, int]], params: str = "params"
+) -> tuple[DataFrame, DataFrame]:
+    """Each named parameter as an integer column of its request: (accepted, rejected).
+
+    ``ranges`` gives the least and greatest value of each name. A request whose
+    parameter is missing, null, no integer or out of its range is rejected; the
+    reason names all such parameters, in the order of ``ranges``.
+    """
+    given = F.coalesce(F.col(params), F.create_map().cast("map<string,string>"))
+    read = {
+        name: F.when(F.rlike(given[name], F.lit(INT_TEXT)), F.regexp_replace(F.trim(given[name]), "_", "").try_cast("bigint"))
+        for name in ranges
+    }
+    wrong = F.array_compact(F.array(*(
+        F.when(~F.coalesce(read[name].between(low, high), F.lit(False)), F.concat(F.lit(f"{name}="), F.coalesce(given[name], F.lit("null"))))
+        for name, (low, high) in ranges.items()
+    )))
+    judged = resolved.withColumn("reason", F.when(F.size(wrong) > 0, F.concat(F.lit("ValueError: not usable: "), F.array_join(wrong, ", "))))
+    accepted = judged.filter("reason is null").drop("reason").withColumns({n: c.cast("int") for n, c in read.items()})
+    return accepted, judged.filter("reason is not null")
+
+
 def _is_placeholder(value: Column) -> Column:
     return F.startswith(value, F.lit("${")) & F.endswith(value, F.lit("}"))
 

@@ -10,13 +10,16 @@ from pixelloom.model import PIXEL
 from pixelloom.operators.channels import hard_alpha
 
 
-def box_downsample(pixels: DataFrame, target_w: int | Column, target_h: int | Column) -> DataFrame:
+def box_downsample(
+    pixels: DataFrame, target_w: int | Column, target_h: int | Column, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Area average onto a target_w x target_h grid, weighted by coverage.
 
     Alpha is the mean; a colour is sum(c*a)/sum(a), 0 without coverage; both
     round half up. All sums are integers, combined map-side before the shuffle,
     so a large image sends at most one row per cell and task. A growing axis
     groups by its source coordinate and is expanded after the aggregation.
+    ``keep`` names further columns that are constant per image and stay.
     """
     tw, th = col(target_w), col(target_h)
     sized = pixels.withColumns({"tw": tw.cast("int"), "th": th.cast("int")})
@@ -26,7 +29,7 @@ def box_downsample(pixels: DataFrame, target_w: int | Column, target_h: int | Co
     sums = sized.groupBy(
         "image_id", kx.otherwise(F.col("x")).alias("kx"), ky.otherwise(F.col("y")).alias("ky")
     ).agg(
-        *[F.max(c).alias(c) for c in ("width", "height", "tw", "th")],  # constant per image
+        *[F.max(c).alias(c) for c in ("width", "height", "tw", "th", *keep)],  # constant per image
         F.count(F.lit(1)).alias("n"),
         F.sum(alpha).alias("sa"),
         *[F.sum(F.col(c) * alpha).alias(f"s{c}") for c in "rgb"],
@@ -45,6 +48,7 @@ def box_downsample(pixels: DataFrame, target_w: int | Column, target_h: int | Co
         F.col("cy").alias("y"),
         *[round_ratio(F.col(f"s{c}"), F.col("sa")).alias(c) for c in "rgb"],
         round_ratio(F.col("sa"), F.col("n")).alias("a"),
+        *keep,
     )
 
 

@@ -998,6 +998,58 @@ def single_sprite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sprites.single_sprite(asked, F.col("prompt"), F.col("seed"), **SPRITE_SIZES)
 
 
+# Declared sprite parameters with small defaults, and the values that requests may take.
+REQUESTED = (
+    ("prompt", "string", ""), ("seed", "int", "0"), ("width", "int", "14"), ("height", "int", "10"),
+    ("grid_w", "int", "10"), ("grid_h", "int", "10"), ("colors", "int", "6"),
+)
+REQUESTED_RANGES = {
+    "seed": (0, 2**31 - 1), "width": (1, 256), "height": (1, 256), "grid_w": (1, 64), "grid_h": (1, 64), "colors": (2, 64),
+}
+
+
+def _requested_sprites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sprite requests of all parts, each with its own sizes, colours and seed, layered and read as integers."""
+    medium, large = F.col("p_size").between(21, 40), F.col("p_size") > 40
+    turn = F.col("p_partkey") % 5
+    given = {
+        "prompt": F.col("p_name"),
+        "seed": F.when(large, "7").otherwise(F.col("p_partkey").cast("string")),
+        "width": F.when(medium, "9").when(large & (turn == 0), "wide"),
+        "height": F.when(large, "16"),
+        "grid_w": F.when(medium, "7"),
+        "grid_h": F.when(large, "8"),
+        "colors": F.when(medium, "4"),
+    }
+    overrides = F.map_filter(
+        F.create_map(*(c for k, v in given.items() for c in (F.lit(k), v))),
+        lambda k, v: v.isNotNull() | ((k == "colors") & large & (turn == 1)),
+    )
+    asked = inputs.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("image_id"),
+        F.when(F.col("p_size") <= 20, 24).otherwise(20).alias("render"),
+        F.lit("sprite").alias("scope_id"),
+        overrides.alias("overrides"),
+    )
+    declared = spark.createDataFrame(
+        [("sprite", *row) for row in REQUESTED], "scope_id string, name string, type string, default_value string"
+    )
+    resolved = requests.resolve_params(asked, declared, requests.config_params({"canvas.height": "12"}))
+    return requests.integer_params(resolved, REQUESTED_RANGES)
+
+
+@query
+def requested_sprites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, _ = _requested_sprites(spark, sf_dir)
+    names = ("render", "width", "height", "grid_w", "grid_h", "colors")
+    return sprites.single_sprite(asked, F.col("params")["prompt"], F.col("seed"), **{n: F.col(n) for n in names})
+
+
+@query
+def requested_sprite_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _requested_sprites(spark, sf_dir)[1].select("image_id", "reason")
+
+
 @query
 def animation_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, strip, _ = sprites.animation_sheet(

@@ -241,6 +241,20 @@ def spritified(sql: Sql, name: str, source: str, w: int, h: int, gw: int, gh: in
     return normals(sql, name, aligned(sql, f"{name}_al", quant, w, h, "bottom_center"))
 
 
+def requested(sql: Sql) -> str:
+    """The three kinds of sprite requests, each with its own sizes."""
+    kinds = (
+        ("p_size <= 20", "seed", 24, (14, 12, 10, 10, 6)),
+        ("p_size BETWEEN 21 AND 40", "seed", 20, (9, 12, 7, 10, 4)),
+        ("p_size > 40 AND seed % 5 > 1", "7", 20, (14, 16, 10, 8, 6)),
+    )
+    made = []
+    for i, (which, seed, render, sizes) in enumerate(kinds):
+        source = f"SELECT image_id, prompt, {seed} AS seed FROM ({PARTS}) WHERE {which}"
+        made.append(spritified(sql, f"sprite{i}", glyphs(sql, f"picture{i}", source, render, render), *sizes))
+    return sql.add("requested", " UNION ALL ".join(f"SELECT {PIXEL}, nr, ng, nb FROM {m}" for m in made))
+
+
 def digest(source: str, *values: str, key: str = "image_id", alias: str = "image_id") -> str:
     mixed = " + ".join(f"{v} * {(3, 7, 13, 29, 53, 97, 193)[i]}" for i, v in enumerate(values))
     return (
@@ -797,6 +811,12 @@ def build() -> dict[str, str]:
     rows("spritify", lambda s: spritified(s, "sprite", cutouts(s), 9, 10, 6, 7, 5), f"{PIXEL}, nr, ng, nb")
     rows("single_sprite", lambda s: spritified(s, "sprite", part_glyphs(s, 24, 24), 14, 12, 10, 10, 6),
          f"{PIXEL}, nr, ng, nb")
+    rows("requested_sprites", requested, f"{PIXEL}, nr, ng, nb")
+    out["requested_sprite_rejects"] = (
+        "SELECT CAST(p_partkey AS VARCHAR) AS image_id, 'ValueError: not usable: ' || "
+        "CASE p_partkey % 5 WHEN 0 THEN 'width=wide' ELSE 'colors=null' END AS reason "
+        "FROM part WHERE p_size > 40 AND p_partkey % 5 < 2"
+    )
     final("animation_sheets", lambda s: strip(s, normals(s, "shaded", sized_glyphs(s)), ", nr, ng, nb"),
           digest("strip", "r", "g", "b", "a", "nr", "ng", "nb"))
     seeds = (

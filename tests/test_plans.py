@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.model import PIXEL
 from pixelloom.operators import channels, geometry, normals, pairs, palette, quality, resample, sheets, tiles
-from pixelloom.plans import inputs
+from pixelloom.plans import inputs, sprites
 from pixelloom.plans.catalog import QUERIES
 from pixelloom.sources import artifacts
 
@@ -51,6 +51,14 @@ def test_flagship_shuffles_only_the_requests(spark):
     assert "Window" not in text and "Sort " not in text and "Join" not in text
 
 
+def test_sizes_per_request_take_no_join(spark):
+    asked = spark.createDataFrame([("a", "p", 1, 8, 6, 5)], "image_id string, prompt string, seed int, width int, colors int, grid_w int")
+    sizes = {n: F.col(n) for n in ("width", "colors", "grid_w")}
+    text = plan(sprites.single_sprite(asked, F.col("prompt"), F.col("seed"), render=12, height=7, grid_h=5, **sizes))
+    assert text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text
+    assert "Window" not in text and "Sort " not in text and "Join" not in text
+
+
 def test_stencil_is_one_shuffle_without_windows(stored):
     text = plan(normals.normal_estimate(stored))
     assert exchanges(text) == 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.model import PIXEL, PIXEL_SCHEMA
 from pixelloom.operators import extension, requests, runs
+from pixelloom.plans import sprites
 from pixelloom.plans.pattern_model import PatternModel
 from pixelloom.sources.artifacts import encode_png
 from pixelloom.sources.generate import prompt_images
@@ -21,6 +22,39 @@ TEXTS = [
 ]
 
 
+def test_integer_params_take_or_refuse_requests(spark):
+    rows = spark.createDataFrame(
+        [(1, {"w": " 12 ", "n": "1_0"}), (2, {"w": "0", "n": "x"}), (3, {"w": None, "n": "3"}), (4, {"n": "3"}), (5, None),
+         (6, {"w": "3.0", "n": "3"}), (7, {"w": "99999999999999999999", "n": "64"}), (8, {"w": "+8", "n": "64", "other": "y"})],
+        "id int, params map<string,string>",
+    )
+    accepted, rejected = requests.integer_params(rows, {"w": (1, 100), "n": (2, 64)})
+    assert {(r.id, r.w, r.n) for r in accepted.collect()} == {(1, 12, 10), (8, 8, 64)}
+    start = "ValueError: not usable: "
+    assert {r.id: r.reason for r in rejected.collect()} == {
+        2: start + "w=0, n=x", 3: start + "w=null", 4: start + "w=null", 5: start + "w=null, n=null", 6: start + "w=3.0",
+        7: start + "w=99999999999999999999",
+    }
+    assert requests.integer_params(rows.limit(0), {"w": (1, 2)})[0].collect() == []
+
+
+def test_sprites_with_own_sizes_equal_those_of_one_size(spark):
+    kinds = [(20, 9, 8, 5, 6, 4), (16, 12, 11, 7, 8, 6), (16, 9, 11, 5, 8, 30)]
+    names = ("render", "width", "height", "grid_w", "grid_h", "colors")
+    rows = [(f"i{i}", f"p{i % 4}", i, *kinds[i % 3]) for i in range(12)]
+    asked = spark.createDataFrame(rows, "image_id string, prompt string, seed int, " + ", ".join(f"{n} int" for n in names))
+    prompt, seed = F.col("prompt"), F.col("seed")
+    got = sprites.single_sprite(asked, prompt, seed, **{n: F.col(n) for n in names})
+    want = None
+    for kind in kinds:
+        same = asked.filter(F.struct(*names) == F.struct(*(F.lit(v) for v in kind)))
+        one = sprites.single_sprite(same, prompt, seed, **dict(zip(names, kind)))
+        want = one if want is None else want.unionByName(one)
+    assert got.columns == want.columns
+    got, want = sorted(map(tuple, got.collect())), sorted(map(tuple, want.collect()))
+    assert got == want and len(got) == 4 * sum(k[1] * k[2] for k in kinds)
+
+
 def python_value(text):
     """The typing rule in plain Python: bool, then int, then float, else string."""
     if text.lower() in ("true", "false"):
