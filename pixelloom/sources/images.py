@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,29 +50,53 @@ def _rows_of(blobs: DataFrame, order: str = "bgra") -> DataFrame:
     )
 
 
-def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Pixels and images of the PNG files under ``path``; the id is the file name.
+def _image_id(path: str, origin: Column) -> Column:
+    """A file's name below the folder ``path``, without extension; the base name where the folder is not in it (as for a glob)."""
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/") + "/"
+    at = F.locate(folder, origin)
+    name = F.when(at > 0, F.substring(origin, at + len(folder), F.length(origin))).otherwise(
+        F.regexp_extract(origin, r"([^/]+)$", 1)
+    )
+    return F.regexp_replace(name, r"(?<=[^/])\.[^./]*$", "")
+
 
-    Spark's image source decodes on the executors. Files it cannot decode are
-    listed in the image table with kind ``invalid`` and have no pixels.
+def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels and images of the PNG files under ``path``.
+
+    The id is the file's path below ``path`` without its extension, so files of
+    one name in different folders stay apart. Spark's image source decodes on
+    the executors. Files it cannot decode are listed in the image table with
+    kind ``invalid``, files that would share an id with kind ``double``; both
+    have no pixels. Names are listed before, without reading the files, so
+    pictures are joined with the list of shared ids only where there is one.
     """
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(_image_id(path, F.col("path")).alias("image_id"))
+    )
+    doubles = listed.groupBy("image_id").count().filter("count > 1").select("image_id", F.lit(True).alias("double"))
     files = (
         spark.read.format("image")
         .option("dropInvalid", "false")
         .option("recursiveFileLookup", "true")
         .load(path)
         .select("image.*")
-        .withColumn("image_id", F.regexp_extract("origin", r"([^/]+?)(\.[^./]*)?$", 1))
+        # the image source gives names in URL encoding, where "+" stands for itself
+        .withColumn("origin", F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))))
+        .withColumn("image_id", _image_id(path, F.col("origin")))
     )
+    if doubles.isEmpty():
+        judged = files.withColumn("double", F.lit(None).cast("boolean"))
+    else:
+        judged = files.join(doubles, "image_id", "left")
     valid = (F.col("width") > 0) & (F.col("height") > 0)
-    blobs = files.filter(valid).select(
+    blobs = judged.filter(valid & F.col("double").isNull()).select(
         "image_id", "width", "height", F.col("nChannels").alias("channels"), "data"
     )
-    images = files.select(
+    images = judged.select(
         "image_id",
         "width",
         "height",
-        F.when(valid, "image").otherwise("invalid").alias("kind"),
+        F.when(F.col("double"), "double").when(valid, "image").otherwise("invalid").alias("kind"),
         F.create_map(F.lit("origin"), F.col("origin")).alias("meta"),
     )
     return _rows_of(blobs), images

@@ -61,6 +61,22 @@ def test_png_decoding_of_all_filters_and_spark_reader(spark, images, tmp_path, c
     assert {(r.image_id, r.kind) for r in table.collect()} == {("one", "image"), ("broken", "invalid")}
 
 
+def test_image_ids_lie_below_the_folder_and_doubles_are_listed(spark, images, tmp_path):
+    folder = tmp_path / "in put"
+    names = ("a.png", "sub/a.png", "sub/b c+d%.x.png", "sub/twice.png", "sub/twice.PNG", ".hid/x.png")
+    for i, name in enumerate(names):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(b"".join(png_parts(2, 1, [noise(2, 1, seed=i).astype(np.uint8).tobytes()])))
+    for path in (str(folder), f"{folder}/", f"file://{folder}"):
+        pixels, table = image_source.read_images(spark, path)
+        kinds = sorted((r.image_id, r.kind) for r in table.collect())
+        assert kinds == [("a", "image"), ("sub/a", "image"), ("sub/b c+d%.x", "image"), ("sub/twice", "double"), ("sub/twice", "double")]
+        assert {r.image_id for r in pixels.collect()} == {"a", "sub/a", "sub/b c+d%.x"}
+    (tmp_path / "none").mkdir()
+    pixels, table = image_source.read_images(spark, str(tmp_path / "none"))
+    assert pixels.count() == table.count() == 0
+
+
 def test_written_pngs_come_back_also_in_several_bands(spark, images, tmp_path, monkeypatch):
     monkeypatch.setattr(artifacts, "BAND_PIXELS", 40)
     table = images.table(n=noise(13, 9), d=disc(20, 20), wide=noise(50, 3), one=noise(1, 1))
